@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import decontaminate, exact_dedup, mixing, secrets, sharding, toxicity
+from leadloom.llm import decontaminate, exact_dedup, jaccard, mixing, pii, repeats, secrets, sharding, toxicity
 from leadloom.llm.common import documents
 
 
@@ -26,6 +26,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placement(documents(spark, sf_dir))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.mark_repeats(documents(spark, sf_dir))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -39,6 +51,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op5_sharding": op5_sharding,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_repeats": op7_repeats,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
 }
