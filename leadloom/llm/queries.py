@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import decontaminate, exact_dedup, jaccard, mixing, pii, repeats, secrets, sharding, toxicity
+from leadloom.llm import decontaminate, exact_dedup, jaccard, mixing, pii, repeats, secrets, sharding, token_output, toxicity
 from leadloom.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placement(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_token_output": op4_token_output,
     "op5_sharding": op5_sharding,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_repeats": op7_repeats,
