@@ -129,51 +129,78 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, tokens binary")
 
 
+class _Joined(dict):
+    """Which documents a block has found to be connected."""
+
+    def root(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = x = self.setdefault(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self[self.root(a)] = self.root(b)
+
+
 def _open(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between the members (role 0) and the queries (role 1) of each block of each group; rows: grp, block, role, doc, tokens.
+    """Links between the members (role 0) and the queries (role 1) of each block of each group; rows: grp, block, role, doc, linked, tokens.
 
-    Rows come sorted, members first, and a block's members are all that a task holds. A query stops at its first link in
-    a block: its members are of one component already.
+    Rows come sorted, members first, and a block's members are all that a task holds. Members that are linked to the
+    group's leader are connected to begin with. A query is compared with a member unless they are connected already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, sets = None, [], []
+        at, ids, sets, joined = None, [], [], _Joined()
         for batch in batches:
             found = []
-            columns = [batch.column(c).to_pylist() for c in ("grp", "block", "role", "doc", "tokens")]
-            for grp, block, role, doc, tokens in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("grp", "block", "role", "doc", "linked")]
+            tokens = batch.column("tokens")
+            for k, (grp, block, role, doc, linked) in enumerate(zip(*columns, strict=True)):
                 if (grp, block) != at:
-                    at, ids, sets = (grp, block), [], []
-                own = np.frombuffer(tokens, np.uint64)
+                    at, ids, sets, joined = (grp, block), [], [], _Joined()
+                own = np.frombuffer(tokens[k].as_buffer(), np.uint64)
                 if role == 0:
                     ids.append(doc)
-                    sets.append(own)
+                    sets.append(own.copy())
+                    if linked:
+                        joined.join(doc, grp)
                     continue
                 for other, theirs in zip(ids, sets, strict=True):
                     small, large = sorted((len(own), len(theirs)))
-                    if doc == other or 100 * small < percent * large:
+                    if doc == other or 100 * small < percent * large or joined.root(doc) == joined.root(other):
                         continue
                     here = np.searchsorted(theirs, own)
                     both = int((theirs[np.minimum(here, len(theirs) - 1)] == own).sum())
                     if 100 * both >= percent * (small + large - both):
                         found.append((doc, other))
-                        break
+                        joined.join(doc, other)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "role", "doc").mapInArrow(run, "a long, b long")
 
 
+def _dealt(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members in the blocks of their groups. groups: grp, blocks."""
+    return rows.join(groups, "grp").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("blocks")
+
+
+def _to_all(rows: DataFrame) -> DataFrame:
+    """Queries (with the number of blocks) in every block of the group that they open."""
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+
 def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(classes, links). classes: doc, n, signature of every row; links (a, b) connect all representatives of equal sets
     that a chain of similar pairs connects, by pairs that were verified.
 
     1. Equal sets are one class, represented by its smallest id. A sketch of fixed size counts tokens over all texts.
-    2. Prefix tokens that several representatives have name a leader, the smallest id among them. Whoever is verified to
-       be similar to a leader is in its group; the others are groups of their own.
+    2. Representatives are partitioned into groups of similar ones: each prefix token names as leader the smallest id
+       that has it, and a document joins the leader with which it shares most (SHARED at least), else it leads itself.
+       Members that are verified to be similar to their leader are linked; those are one component.
     3. The token-group matrix holds the union of the prefix tokens of each group, once for each token and group however
-       many members have it. A representative that shares SHARED tokens or more with another group's union, of fitting
-       size, opens that group and is compared with its members, block by block, up to its first link. Of two groups the
-       smaller one asks. Pairs inside a group are never listed: its members are connected by their leader.
+       many members have it. A member's overlap with another group's union bounds its overlap with the members, so it
+       opens only groups with which it shares SHARED tokens or more, of fitting size; of two groups the smaller one
+       asks. A member that isn't linked to its leader opens its own group too. An opened group is compared block by
+       block, leaving out pairs that are connected already, so members linked to the leader are never compared.
     """
     spark = docs.sparkSession
     texts = _texts(docs, key, text)
@@ -185,29 +212,34 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     shared = postings.select("token", "doc", "n", F.first(F.struct("doc", "n")).over(by_token).alias("lead"), F.lead("doc").over(by_token).alias("next"))
     shared = saved(shared.filter("next is not null or doc <> lead.doc").drop("next"), "postings")
     fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
-    stars = saved(shared.filter(f"doc <> lead.doc and {fits}").groupBy(F.col("lead.doc").alias("grp"), "doc").count().filter(f"count >= {SHARED}").select("grp", "doc"), "stars")
-    wanted = shared.groupBy("doc").count().filter(f"count >= {SHARED}").select("doc")
-    tokens = saved(_sets(_filtered(texts, wanted, "doc").join(wanted, "doc", "left_semi"), width), "tokens")
-
-    blocks = stars.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    leaders = blocks.join(tokens.withColumnRenamed("doc", "grp"), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("grp").alias("doc"), "tokens")
-    followers = stars.join(blocks, "grp").join(tokens, "doc").select("grp", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "doc", "tokens")
-    near = saved(_open(leaders.unionByName(followers), percent).distinct(), "near")
-
-    member = near.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("grp"))
-    grouped = shared.select("token", "doc", "n").join(member, "doc", "left").withColumn("grp", F.coalesce("grp", "doc"))
-    grouped = saved(grouped, "grouped")
-    sizes = grouped.select("grp", "doc", "n").distinct().groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    led = shared.filter(f"doc <> lead.doc and {fits}").groupBy("doc", F.col("lead.doc").alias("grp")).count().filter(f"count >= {SHARED}")
+    home = saved(led.groupBy("doc").agg(F.max(F.struct("count", (-F.col("grp")).alias("minus"))).alias("best")).select("doc", (-F.col("best.minus")).alias("grp")), "home")
+    grouped = saved(shared.select("token", "doc", "n").join(home, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")), "grouped")
+    member = saved(grouped.groupBy("doc", "grp", "n").agg(F.lit(1).alias("one")).drop("one"), "members")
+    sizes = member.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = grouped.groupBy("token", "grp").agg(F.lit(1).alias("one")).drop("one").join(sizes, "grp")
     own = grouped.join(sizes.select("grp", "members"), "grp").select("token", "doc", "n", F.col("grp").alias("of"), F.col("members").alias("beside"))
     asks = "grp <> of and (members > beside or members = beside and grp < of)"
     fits = f"100 * n >= {percent} * low and 100 * high >= {percent} * n"
-    opened = own.join(matrix, "token").filter(f"{asks} and {fits}").groupBy("doc", "grp").agg(F.count("*").alias("c"), F.first("members").alias("members"))
-    opened = saved(opened.filter(f"c >= {SHARED}").select("doc", "grp", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks")), "opened")
-    queries = opened.join(tokens, "doc").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "doc", "tokens")
-    groups = opened.select("grp", "blocks").distinct()
-    members = grouped.select("doc", "grp").distinct().join(groups, "grp").join(tokens, "doc").select("grp", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "doc", "tokens")
-    return classes.drop("prefix"), near.unionByName(_open(members.unionByName(queries), percent))
+    across = own.join(matrix, "token").filter(f"{asks} and {fits}").groupBy("doc", "grp").agg(F.count("*").alias("c"), F.first("members").alias("members"))
+    across = saved(across.filter(f"c >= {SHARED}").select("doc", "grp", "members"), "across")
+
+    # the sets of the documents that any group needs: leaders and those they lead, queries, and members of groups they open
+    wanted = home.select("doc").union(home.select("grp")).union(across.select("doc")).union(member.join(across.select("grp").distinct(), "grp", "left_semi").select("doc")).distinct()
+    wanted = saved(wanted, "wanted")
+    tokens = saved(_sets(_filtered(texts, wanted, "doc").join(wanted, "doc", "left_semi"), width), "tokens")
+
+    groups = home.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    leaders = _to_all(groups.select("grp", "blocks", F.lit(0).alias("role"), F.col("grp").alias("doc"), F.lit(False).alias("linked")))
+    followers = _dealt(home.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), groups)
+    near = saved(_open(leaders.unionByName(followers).join(tokens, "doc"), percent).distinct(), "near")
+
+    member = member.join(near.select(F.col("a").alias("doc"), F.lit(True).alias("linked")).distinct(), "doc", "left").withColumn("linked", F.coalesce("linked", F.col("doc") == F.col("grp")))
+    inside = member.filter("not linked").join(sizes.filter("members > 1").select("grp", "members"), "grp").select("doc", "grp", "members")
+    opened = saved(across.unionByName(inside).select("doc", "grp", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks")), "opened")
+    queries = _to_all(opened.select("grp", "blocks", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")))
+    members = _dealt(member.select("grp", F.lit(0).alias("role"), "doc", "linked"), opened.select("grp", "blocks").distinct())
+    return classes.drop("prefix"), near.unionByName(_open(members.unionByName(queries).join(tokens, "doc"), percent))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
