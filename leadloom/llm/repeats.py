@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import SpanHash, flat, merged, steps, text_of
+from leadloom.llm.common import SpanHash, flat, merged, mix64, steps, text_of
 from leadloom.llm.exact_dedup import NULL_ID
 
 #: Bytes of a repeat, and of the grams whose least hash in it is its anchor.
@@ -63,7 +63,7 @@ class Windows:
         keep = valid[cuts[:-1]]
         self.starts, self.stops = cuts[:-1][keep], cuts[1:][keep] - 1 + length
         self.row = np.searchsorted(self.bounds, self.starts, "right") - 1
-        self.prints = hashes[anchor[self.starts]]
+        self.prints = mix64(hashes[anchor[self.starts]] + np.array([1], np.uint64))  # anchors' hashes are small ones: spread them again
 
 
 def _bucket(prints: np.ndarray, buckets: int) -> np.ndarray:
@@ -120,7 +120,7 @@ def repeated_anchors(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     packed = texts.select("text").mapInArrow(pack, "bucket int, prints binary")
     counted = packed.repartition(min(buckets, 2048), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, marks binary, hot binary")
     out, hot = np.zeros(bits // 8, np.uint8), []
-    for r in counted.toLocalIterator():
+    for r in counted.collect():
         a, b = _bytes_of(r["bucket"], buckets, bits)
         out[a:b] |= np.frombuffer(bytes(r["marks"]), np.uint8)
         hot.append(np.frombuffer(bytes(r["hot"]), np.uint64))
