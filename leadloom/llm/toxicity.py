@@ -106,19 +106,24 @@ class FactorizationMachine:
         return self
 
 
-def choose(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, most: int = TERMS, least_rows: int = 4) -> np.ndarray:
-    """The bins whose presence tells most about the label, in order of number: those whose G statistic stands out from that many tests."""
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    found, back = np.unique(index, return_inverse=True)
-    n = np.bincount(back, minlength=len(found)).astype(float)
-    n1 = np.bincount(back, label[row], len(found))
-    p, total = label.mean(), len(label)
+def choose(parts: list[np.ndarray], label: np.ndarray, most: int = TERMS, least_rows: int = 4) -> np.ndarray:
+    """The bins whose presence tells most about the label, in order of number: those whose G statistic stands out from that many tests.
+
+    parts: each row's distinct bins. Counts by bin are all that is held besides.
+    """
+    n, n1 = np.zeros(BINS), np.zeros(BINS)
+    for own, y in zip(parts, label, strict=True):
+        n[own] += 1
+        if y:
+            n1[own] += 1
+    found = np.flatnonzero(n >= least_rows)
+    tests, p, total, ones = int((n > 0).sum()), label.mean(), len(label), label.sum()
+    n, n1 = n[found], n1[found]
     with np.errstate(divide="ignore", invalid="ignore"):
         part = lambda a, b: np.where(a > 0, a * np.log(a / b), 0)
-        g = part(n1, n * p) + part(n - n1, n * (1 - p)) + part(label.sum() - n1, (total - n) * p) + part(total - n - label.sum() + n1, (total - n) * (1 - p))
-    g[n < least_rows] = -1
+        g = part(n1, n * p) + part(n - n1, n * (1 - p)) + part(ones - n1, (total - n) * p) + part(total - n - ones + n1, (total - n) * (1 - p))
     keep = np.argsort(-g, kind="stable")[:most]
-    return np.sort(found[keep[g[keep] > np.log(max(2, len(found)))]])
+    return np.sort(found[keep[g[keep] > np.log(max(2, tests))]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS):
@@ -138,21 +143,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), step.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "bins"])
 
     table = rows.mapInArrow(featurise, "doc_id long, label int, bins binary").toArrow().sort_by([("doc_id", "ascending"), ("bins", "ascending")])
-    y = table.column("label").to_numpy().astype(float)
-    parts = [np.frombuffer(b, np.int32) for b in table.column("bins").to_pylist()[:sample_rows]]
-    y = y[: len(parts)]
-    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    index = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    y = table.column("label").to_numpy().astype(float)[:sample_rows]
+    parts = [np.frombuffer(b.as_buffer(), np.int32) for b in table.column("bins")[:sample_rows]]
     if not len(y) or y.min() == y.max():
         machine = FactorizationMachine(0)
         machine.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return np.zeros(0, np.int64), machine
-    chosen = choose(index, bounds, y)
-    at = np.searchsorted(chosen, index)
-    known = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == index) if len(chosen) else np.zeros(len(index), bool)
-    row = np.repeat(np.arange(len(parts)), np.diff(bounds))[known]
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(parts)))]).astype(np.int64)
-    return chosen, FactorizationMachine(len(chosen)).fit(at[known], bounds, y)
+    chosen = choose(parts, y)
+    number = np.full(BINS, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    known = [t[t >= 0] for t in (number[p] for p in parts)]
+    bounds = np.concatenate([[0], np.cumsum([len(k) for k in known])]).astype(np.int64)
+    return chosen, FactorizationMachine(len(chosen)).fit(np.concatenate(known).astype(np.int64), bounds, y)
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: bool = False, **options) -> DataFrame:
