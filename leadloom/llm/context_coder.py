@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids of a block, blocks that are coded side by side, ids after which order 0 is sorted anew, slots of a context table.
-BLOCK, LANES, REFRESH, SLOTS = 2048, 6144, 512, 1024
+BLOCK, LANES, REFRESH, SLOTS = 2048, 4096, 512, 1024
 _TOP, _WORD = np.uint64(1 << 32), np.uint64(16)
 _MASK48, _MASK16 = np.uint64((1 << 48) - 1), np.uint64(0xFFFF)
 
@@ -126,15 +126,21 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     model = _Model(lanes)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     cap = longest + longest // 2 + 16
-    words, used = np.zeros(lanes * cap, np.int32), np.arange(lanes, dtype=np.int64) * cap + 1  # word 0 takes a carry
+    words, used = np.zeros(lanes * cap, np.uint16), np.arange(lanes, dtype=np.int64) * cap + 1
+
+    def carry(at: np.ndarray) -> None:
+        """Adds 1 to the words, and to those before while they overflow."""
+        while len(at):
+            words[at] += 1
+            at = at[words[at] == 0] - 1
 
     def settle(n: int) -> None:
         """Narrow ranges put out a word. A carry goes to the word before; ranges are nested, so there is one at most."""
         thin = np.flatnonzero(wide[:n] < _TOP)
         while len(thin):
             own, at = low[thin], used[thin]
-            words[at - 1] += (own >> np.uint64(48)).astype(np.int32)
-            words[at] = ((own & _MASK48) >> np.uint64(32)).astype(np.int32)
+            carry(at[own > _MASK48] - 1)
+            words[at] = ((own & _MASK48) >> np.uint64(32)).astype(np.uint16)
             used[thin] = at + 1
             low[thin] = (own << _WORD) & _MASK48
             narrow = wide[thin] << _WORD
@@ -183,21 +189,14 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             wide[raw] = part
         settle(n)
         model.update(n, now, hit, hit1, asked1, asked0 if total else None, among)
-    words[used - 1] += (low >> np.uint64(48)).astype(np.int32)
+    carry(used[low > _MASK48] - 1)
     for shift in (32, 16, 0):
-        words[used] = ((low >> np.uint64(shift)) & _MASK16).astype(np.int32)
+        words[used] = ((low >> np.uint64(shift)) & _MASK16).astype(np.uint16)
         used += 1
     table = words.reshape(lanes, cap)
-    while len(rows := np.flatnonzero((table > 0xFFFF).any(axis=1))):
-        part = table[rows]
-        carry = part >> 16
-        part &= 0xFFFF
-        part[:, :-1] += carry[:, 1:]
-        table[rows] = part
-    table = table.astype("<u2")
     out: list[bytes] = [b""] * lanes
     for row, k in enumerate(order):
-        out[k] = table[row, 1 : used[row] - row * cap].tobytes() if sizes[row] else b""
+        out[k] = table[row, 1 : used[row] - row * cap].astype("<u2").tobytes() if sizes[row] else b""
     return out
 
 

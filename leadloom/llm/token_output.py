@@ -17,7 +17,7 @@ from leadloom.llm import context_coder
 from leadloom.llm.common import scratch, steps, text_of
 
 #: The id that ends each document, ids of a unit (it ends with the document that reaches them), pieces whose ids a worker remembers.
-END_ID, UNIT_IDS, REMEMBERED = 2, context_coder.BLOCK * context_coder.LANES, 600_000
+END_ID, UNIT_IDS, REMEMBERED = 2, context_coder.BLOCK * context_coder.LANES, 400_000
 # The head of a unit and of its tables.
 MAGIC, HEAD = b"TKC1", struct.Struct("<4sIQII")
 
@@ -35,6 +35,10 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a token of a byte-level vocabulary has one character for each of its bytes
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.forget()
 
     def forget(self) -> None:
@@ -43,17 +47,28 @@ class Tokens:
         self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids = found.ids
-            if self.filled + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint16)])
-            k = len(self.number)
-            if k == len(self.first):
-                self.first, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.first, self.size))
-            self.number[piece] = k
-            self.first[k], self.size[k] = self.filled, len(ids)
-            self.ids[self.filled : self.filled + len(ids)] = ids
-            self.filled += len(ids)
+        """Pieces that start with a space are encoded as one text, whose ids are dealt out again by the bytes they stand for."""
+        joined = [p for p in pieces if p[0:1] == " "]
+        for k in range(0, len(joined), 20_000):
+            part = joined[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])) + 1
+            self._keep(part, ids, np.diff(ends, prepend=0))
+        alone = [p for p in pieces if p[0:1] != " "]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        self._keep(alone, np.array([i for f in found for i in f], np.uint16), np.array([len(f) for f in found], np.int64))
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        n = len(self.number)
+        while n + len(pieces) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.size[n : n + len(pieces)] = sizes
+        self.first[n : n + len(pieces)] = self.filled + np.cumsum(sizes) - sizes
+        self.filled += len(ids)
 
     def of(self, texts: list[str], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, and how many each text has (with the end id)."""
@@ -71,8 +86,7 @@ class Tokens:
             counts[i] = len(own)
             pieces += own
         fresh = list(dict.fromkeys(p for p in pieces if p not in self.number))
-        for k in range(0, len(fresh), 50_000):
-            self._learn(fresh[k : k + 50_000])
+        self._learn(fresh)
         at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         size, first = self.size[at], self.first[at]
         ends = np.cumsum(size)
