@@ -213,7 +213,7 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     shared = saved(shared.filter("next is not null or doc <> lead.doc").drop("next"), "postings")
     fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
     led = shared.filter(f"doc <> lead.doc and {fits}").groupBy("doc", F.col("lead.doc").alias("grp")).count().filter(f"count >= {SHARED}")
-    home = saved(led.groupBy("doc").agg(F.max(F.struct("count", (-F.col("grp")).alias("minus"))).alias("best")).select("doc", (-F.col("best.minus")).alias("grp")), "home")
+    home = saved(led.groupBy("doc").agg(F.min(F.struct((-F.col("count")).alias("fewer"), "grp")).alias("best")).select("doc", "best.grp"), "home")
     grouped = saved(shared.select("token", "doc", "n").join(home, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")), "grouped")
     member = saved(grouped.groupBy("doc", "grp", "n").agg(F.lit(1).alias("one")).drop("one"), "members")
     sizes = member.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -262,4 +262,4 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs with one row of each component: the one whose id names it. Rows with a null id, or without words, stay."""
     found = jaccard_components(docs, key, **options).filter("doc_id is not null").select(F.col("doc_id").alias(key), "component_id").distinct()
-    return docs.join(found.filter(F.col(key) != F.col("component_id")).select(key), key, "left_anti")
+    return docs.join(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(key), key, "left_anti")

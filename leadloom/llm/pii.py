@@ -93,7 +93,7 @@ class Sequence:
         self.skip = []
         for i, (_, w) in enumerate(self.words):
             key = b"".join(NUMERAL.findall(w)) or w.lower().strip(b".,;:!?#$%&*|()<>\"'")
-            if key in last and last[key] + 1 != i:
+            if key in last and place[last[key]] + 1 != place[i]:
                 self.skip.append((last[key], i))
             last[key] = i
 
