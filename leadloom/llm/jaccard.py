@@ -214,14 +214,15 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
     led = shared.filter(f"doc <> lead.doc and {fits}").groupBy("doc", F.col("lead.doc").alias("grp")).count().filter(f"count >= {SHARED}")
     home = saved(led.groupBy("doc").agg(F.min(F.struct((-F.col("count")).alias("fewer"), "grp")).alias("best")).select("doc", "best.grp"), "home")
-    grouped = saved(shared.select("token", "doc", "n").join(home, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")), "grouped")
-    member = saved(grouped.groupBy("doc", "grp", "n").agg(F.lit(1).alias("one")).drop("one"), "members")
+    member = saved(shared.select("doc", "n").distinct().join(home, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")), "members")
     sizes = member.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = grouped.groupBy("token", "grp").agg(F.lit(1).alias("one")).drop("one").join(sizes, "grp")
-    own = grouped.join(sizes.select("grp", "members"), "grp").select("token", "doc", "n", F.col("grp").alias("of"), F.col("members").alias("beside"))
+    # sizes join members, not tokens: a large group's key has one row for each member here
+    grouped = saved(shared.select("token", "doc", "n").join(member.join(sizes, "grp"), ["doc", "n"]), "grouped")
+    matrix = grouped.groupBy("token", "grp").agg(*[F.max(c).alias(c) for c in ("members", "low", "high")])
+    own = grouped.select("token", "doc", "n", F.col("grp").alias("of"), F.col("members").alias("beside"))
     asks = "grp <> of and (members > beside or members = beside and grp < of)"
     fits = f"100 * n >= {percent} * low and 100 * high >= {percent} * n"
-    across = own.join(matrix, "token").filter(f"{asks} and {fits}").groupBy("doc", "grp").agg(F.count("*").alias("c"), F.first("members").alias("members"))
+    across = own.join(matrix, "token").filter(f"{asks} and {fits}").groupBy("doc", "grp").agg(F.count("*").alias("c"), F.max("members").alias("members"))
     across = saved(across.filter(f"c >= {SHARED}").select("doc", "grp", "members"), "across")
 
     # the sets of the documents that any group needs: leaders and those they lead, queries, and members of groups they open
