@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from leadloom.functions.entities import decode_all_entities, decode_entities
 from leadloom.operators import clean, diagnose, enrich, lookup, report
 from leadloom.plans import inputs, sql
 from leadloom.plans.inputs import QUERY_TEXTS, TEST_CONFIG
+from leadloom.shared import shared_path
 from leadloom.sources import leads as lead_files
 from leadloom.sources import queries as query_sources
 from leadloom.sources import serp
@@ -571,17 +571,9 @@ def serp_extract(spark, sf_dir):
 # Streams.
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines share: below spark.checkpoint.dir, or where that is unset, below the warehouse."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return os.path.join(root, f"leadloom-{name}-{uuid.uuid4().hex}") if "://" not in root else f"{root.rstrip('/')}/leadloom-{name}-{uuid.uuid4().hex}"
-
-
 def _arrivals(spark, sf_dir, name: str, files: int = 3) -> DataFrame:
     """raw_results as a stream of some files."""
-    path = _shared(spark, name)
+    path = shared_path(spark, name)
     raw = inputs.raw_results(spark, sf_dir)
     raw.repartition(files, "position").write.parquet(path)
     return incremental.read_stream(spark, path, raw.schema, 1)
@@ -589,7 +581,7 @@ def _arrivals(spark, sf_dir, name: str, files: int = 3) -> DataFrame:
 
 def _collected(stream: DataFrame, spark, name: str) -> DataFrame:
     """What an append stream gives once all input is read."""
-    path, mark = _shared(spark, name), _shared(spark, f"{name}-mark")
+    path, mark = shared_path(spark, name), shared_path(spark, f"{name}-mark")
     stream.writeStream.format("parquet").option("checkpointLocation", mark).option("path", path).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
@@ -601,7 +593,7 @@ def stream_dedupe(spark, sf_dir):
 
 @query()
 def stream_upsert(spark, sf_dir):
-    path, mark = _shared(spark, "leads"), _shared(spark, "leads-mark")
+    path, mark = shared_path(spark, "leads"), shared_path(spark, "leads-mark")
     incremental.upsert_stream(_arrivals(spark, sf_dir, "arrivals"), path, mark, TEST_CONFIG).awaitTermination()
     return spark.read.parquet(f"{path}/batch=*").select("domain", "company_name", "website_url")
 
@@ -609,7 +601,7 @@ def stream_upsert(spark, sf_dir):
 @query()
 def stream_grade(spark, sf_dir):
     pages = inputs.site_pages(spark, sf_dir)
-    path = _shared(spark, "pages")
+    path = shared_path(spark, "pages")
     pages.repartition(2, "page_id").write.parquet(path)
     graded = incremental.grade_stream(incremental.read_stream(spark, path, pages.schema, 1), _leads(spark, sf_dir), TEST_CONFIG)
     return _collected(graded.select("domain", "lead_quality", "keyword_match_pct"), spark, "graded")
@@ -617,12 +609,12 @@ def stream_grade(spark, sf_dir):
 
 @query()
 def stream_counts(spark, sf_dir):
-    path = _shared(spark, "counts")
+    path = shared_path(spark, "counts")
 
     def put(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     counts = incremental.live_counts(_arrivals(spark, sf_dir, "arrivals"))
-    counts.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", _shared(spark, "counts-mark")).trigger(availableNow=True).start().awaitTermination()
+    counts.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", shared_path(spark, "counts-mark")).trigger(availableNow=True).start().awaitTermination()
     every = spark.read.parquet(f"{path}/batch=*")
     return every.groupBy("engine").agg(F.max("n").alias("n"))
