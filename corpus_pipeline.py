@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.llm import decontaminate, jaccard, mixing, token_output, toxicity
-from leadloom.llm.common import documents, scratch
+from leadloom.llm.common import documents
+from leadloom.shared import shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage; each stage's is written as Parquet and read again as the next one's documents."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        path = scratch(spark, name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

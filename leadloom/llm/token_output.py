@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadloom.llm import context_coder
-from leadloom.llm.common import scratch, steps, text_of
+from leadloom.llm.common import steps, text_of
+from leadloom.shared import shared_path
 
 #: The id that ends each document, ids of a unit (it ends with the document that reaches them), pieces whose ids a worker remembers.
 END_ID, UNIT_IDS, REMEMBERED = 2, context_coder.BLOCK * context_coder.LANES, 400_000
@@ -213,6 +214,6 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         import public_tokenizers
 
         tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
-    path = scratch(docs.sparkSession, "tokens")
+    path = shared_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer)
     return read_tokens(docs.sparkSession, path)
