@@ -113,3 +113,13 @@ def sample_urls(urls: DataFrame, n: int = 5) -> DataFrame:
     """The first n distinct addresses of each engine, in order of position."""
     first = urls.groupBy("engine", "url").agg(F.min("position").alias("position"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("engine").orderBy("position"))).filter(F.col("place") <= n)
+
+
+def engine_diagnostics(pages: DataFrame, results: DataFrame, engines: list[str]) -> dict[str, DataFrame]:
+    """All reports on stored result pages (engine, http_status, html, ...) and the results extracted from them (engine, url, domain, position, ...)."""
+    covered = coverage(results, engines)
+    found = pages.select("engine").distinct().join(results.groupBy("engine").agg(F.count("*").alias("n")), "engine", "left").select("engine", F.coalesce("n", F.lit(0)).alias("n"))
+    return {
+        "health": pages.select("engine", "query_idx", "page_no", page_health(F.col("http_status"), F.col("html"), F.col("engine")).alias("labels")),
+        "markers": marker_counts(pages), "engines": engine_health(found), "samples": sample_urls(results), "coverage": covered, "yield": yield_estimate(covered), "loops": looping(results), "rejected": all_rejected(results),
+    }

@@ -568,6 +568,20 @@ def serp_extract(spark, sf_dir):
     return serp.extract_results(_result_pages(spark, sf_dir))
 
 
+@query()
+def serp_table_function(spark, sf_dir):
+    spark.udtf.register("result_rows", serp.result_rows())
+    _result_pages(spark, sf_dir).createOrReplaceTempView("result_pages")
+    return spark.sql("SELECT p.engine, p.query_idx, p.page_no, r.position, r.href, r.title FROM result_pages p, LATERAL result_rows(p.engine, p.html) r")
+
+
+@query()
+def engine_diagnostics(spark, sf_dir):
+    pages = _result_pages(spark, sf_dir)
+    found = diagnose.engine_diagnostics(pages, serp.extract_results(pages), ENGINES)
+    return found["engines"].join(found["coverage"], "engine", "left").join(found["markers"], "engine")
+
+
 # Streams.
 
 

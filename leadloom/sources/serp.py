@@ -228,3 +228,20 @@ def extract_results(pages: DataFrame) -> DataFrame:
     key = F.when(F.col("engine") == "duckduckgo", F.col("url")).when(F.col("engine") == "bing", F.col("position").cast("string")).otherwise(F.col("domain"))
     out = first_by(out.withColumn("_key", key), ["engine", "query_idx", "page_no", "_key"], [F.col("position")])
     return out.select("engine", "query_idx", "query", "page_no", "position", "url", "title", "snippet", "domain", "next_url")
+
+
+def result_rows():
+    """A table function (engine, html) -> rows of one page, to be used in SQL once it is registered: spark.udtf.register(name, result_rows())."""
+    from pyspark.sql.functions import udtf
+
+    layouts, feeds = dict(LAYOUTS), dict(FEEDS)
+
+    @udtf(returnType="position int, href string, title string, snippet string")
+    class Rows:
+        def eval(self, engine: str, html: str):
+            if html and engine in layouts:
+                found = feeds[engine](html) if engine in feeds else []
+                for k, row in enumerate(found or layouts[engine](tree(html))):
+                    yield (k, *row)
+
+    return Rows

@@ -43,3 +43,16 @@ def test_reports(spark):
 def test_last_name_wins(spark):
     rows = spark.createDataFrame([(" Acme ", "a", 1), ("acme", "b", 2), ("Other", "c", 0)], "name string, site string, input_pos int")
     assert {r.name_key: r.site for r in enrich.last_by_name(rows).collect()} == {"acme": "b", "other": "c"}
+
+
+def test_pages_are_never_shuffled(spark, tmp_path):
+    """No exchange carries page source, and pages are scanned once for both passes and the grade."""
+    import re
+
+    spark.createDataFrame([target("a.org")], TARGETS).write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([("https://a.org", "x@a.org", "static", 200)], PAGES).write.parquet(str(tmp_path / "p"))
+    out = enrich.enrich(spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "p")), CONFIG)
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    exchanges = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert exchanges and not any("html" in e for e in exchanges)
+    assert len(re.findall(r"ReadSchema: struct<[^>]*html", plan)) == 1 and "CartesianProduct" not in plan
