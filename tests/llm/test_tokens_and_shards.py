@@ -61,7 +61,7 @@ def test_token_round_trip(docs, spark, tmp_path):
 
 def test_pieces_equal_whole_texts():
     rng = random.Random(3)
-    texts = ["".join(rng.choice(["a", "The", " ", "'s", "\n", ".", "é", "1", "!", "don't", "_"]) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts = ["".join(rng.choice(["a", "The", " ", "'s", "\n", ".", "é", "1", "!", "don't", "_", "ñandú", "ß.", "x,", "ſo", "Ā", "漢", "¡a!"]) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     ids, sizes = token_output.Tokens(PATH).of(texts)
     assert sizes.tolist() == [n for _, _, n, _ in expected([*enumerate(texts)])]
     ends = np.cumsum(sizes)
