@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that chains of links connect (90 of 100 three-word shingles shared), the smallest doc_id stays."""
-    return jaccard.keep_one(docs)
+    """Of documents that chains of links connect (80 of 100 five-word shingles shared), the smallest doc_id stays."""
+    return jaccard.keep_one(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
