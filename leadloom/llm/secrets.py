@@ -24,8 +24,9 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make what follows them sensitive, and how far they reach.
 SENSITIVE = (b"passw", b"passphrase", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"access_key", b"accesskey", b"private", b"credential", b"bearer", b"authorization", b"signature", b"client_id", b"akia")
 REACH = 64
-#: Candidates: length in characters, and the least compressed bytes they must add for each of their own.
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,200}")
+#: Candidates: least length in characters, and the least compressed bytes they, or their head, must add for each of their own.
+SHORTEST, HEAD = 16, 200
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 NOVELTY = 0.6
 #: Bytes of code on each side that prime the compressor.
 AROUND = 2048
@@ -75,28 +76,40 @@ def base_spans(body: bytes) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(body: bytes, known: list[tuple[int, int, int]], novelty: Novelty, threshold: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Candidates within REACH of a sensitive word, apart from the known spans, that stay incompressible."""
+    """Candidates that start within REACH of a sensitive word, whole but for the known spans, that stay incompressible."""
     low = body.lower()
     cover = merged([(a, b) for a, b, _ in known])
     marks = sorted(p for w in SENSITIVE if w in low for p in (m.end() for m in re.finditer(re.escape(w), low)))
     out, done = [], 0
     for mark in marks:
-        for m in CANDIDATE.finditer(body, max(mark, done), min(len(body), mark + REACH + 200)):
-            if m.start() > mark + REACH:
-                break
-            done = m.end()
-            k = bisect_right(cover, m.start())
-            if k % 2 or k < len(cover) and cover[k] < m.end():
-                continue
-            found = m.group()
-            if not (re.search(rb"[0-9]", found) and re.search(rb"[A-Za-z]", found)):
-                continue
-            around = body[max(0, m.start() - AROUND) : m.start()] + body[m.end() : m.end() + AROUND]
-            if novelty.bits(found, around) >= threshold:
-                out.append((m.start(), m.end(), 3))
+        done = max(mark, done)
+        # the search ends where no candidate can start any more; what it finds goes on to its own end
+        while m := CANDIDATE.search(body, done, mark + REACH + SHORTEST):
+            start, done = m.start(), CANDIDATE.match(body, m.start()).end()
+            for a, b in _apart(start, done, cover):
+                found = body[a:b]
+                if not (re.search(rb"[0-9]", found) and re.search(rb"[A-Za-z]", found)):
+                    continue
+                around = body[max(0, a - AROUND) : a] + body[b : b + AROUND]
+                if novelty.bits(found, around) >= threshold or b - a > HEAD and novelty.bits(found[:HEAD], around) >= threshold:
+                    out.append((a, b, 3))
     return out
 
 
+def _apart(start: int, end: int, cover: list[int]) -> Iterator[tuple[int, int]]:
+    """The parts of a span outside the cover that are long enough for candidates."""
+    k = bisect_right(cover, start)
+    at = cover[k] if k % 2 else start
+    for a, b in zip(cover[k + k % 2 :: 2], cover[k + k % 2 + 1 :: 2], strict=True):
+        if a >= end:
+            break
+        if a - at >= SHORTEST:
+            yield at, a
+        at = b
+    if end - at >= SHORTEST:
+        yield at, end
+
+
 def _render(spans: list[tuple[int, int, int]], points: dict[int, int]) -> str:
     return ",".join(f"{KINDS[k]}:{points[a]}:{points[b]}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2])))
 
@@ -115,8 +128,9 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Whole texts are read; null counts as empty and has no spans. Rows that repeat a doc_id are rows of their own; an
     empty table gives an empty one; other columns aren't read. Spans are in code points, the end exclusive. A novel span
-    lies within REACH bytes of a sensitive word, overlaps no base span, has letters and digits, and adds at least
-    NOVELTY compressed bytes a byte when zstandard is primed with the code around it and a dictionary of identifiers.
+    is of a run, of any length, that starts within REACH bytes of a sensitive word; it overlaps no base span, has letters
+    and digits, and adds (or its first HEAD bytes add) at least NOVELTY compressed bytes a byte when zstandard is primed
+    with the code around it and a dictionary of identifiers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
