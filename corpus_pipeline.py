@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, written, read again and summed up."""
-    return token_output.round_trip(docs)
+    return token_output.round_trip(docs, special=True)
 
 
 STAGES = [

@@ -23,7 +23,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.round_trip(documents(spark, sf_dir))
+    return token_output.round_trip(documents(spark, sf_dir), special=True)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,14 +28,17 @@ class Tokens:
 
     A text in which every blank is a single space between other characters falls apart at its spaces: no pre-token of
     a byte-level tokenizer goes across them. Its pieces, most of which recur, are encoded once. Other texts go through
-    the tokenizer as they are.
+    the tokenizer as they are. A special token that a text spells out is text like any other, or with special=True has
+    its own id, as in a plain call of the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        #: texts that spell one of these out are encoded whole and alone
+        self.spelled = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         # a token of a byte-level vocabulary has one character for each of its bytes
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -47,15 +50,18 @@ class Tokens:
         self.ids, self.filled = np.zeros(1 << 20, np.uint16), 0
         self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
+    def _spells(self, text: str) -> bool:
+        return any(t in text for t in self.spelled)
+
     def _learn(self, pieces: list[str]) -> None:
         """Pieces that start with a space are encoded as one text, whose ids are dealt out again by the bytes they stand for."""
-        joined = [p for p in pieces if p[0:1] == " "]
+        joined = [p for p in pieces if p[0:1] == " " and not self._spells(p)]
         for k in range(0, len(joined), 20_000):
             part = joined[k : k + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint16)
             ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])) + 1
             self._keep(part, ids, np.diff(ends, prepend=0))
-        alone = [p for p in pieces if p[0:1] != " "]
+        alone = [p for p in pieces if p[0:1] != " " or self._spells(p)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
         self._keep(alone, np.array([i for f in found for i in f], np.uint16), np.array([len(f) for f in found], np.int64))
 
@@ -80,7 +86,7 @@ class Tokens:
         for i, t in enumerate(texts):
             own = t.split(" ")
             if len(own) > 1:
-                if all(own) and not any(a[-1].isspace() or a[0].isspace() for a in own):
+                if not self._spells(t) and all(own) and not any(a[-1].isspace() or a[0].isspace() for a in own):
                     own[1:] = [" " + p for p in own[1:]]
                 else:
                     own = [t]
@@ -133,15 +139,15 @@ def unpack(unit: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if x else i for i, x in zip(doc_ids.tolist(), null.tolist(), strict=True)], sizes.astype(np.int64), np.concatenate(found) if found else np.zeros(0, np.uint16)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", unit_ids: int = UNIT_IDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", unit_ids: int = UNIT_IDS, special: bool = False) -> None:
     """Token ids of all texts as units below path, in ascending order of doc_id (null first; equal ids by a hash of the text).
 
     path/part, seq order the units. Documents are dealt out by ranges of their ids; a unit ends with the document that
-    brings it to unit_ids, so a task holds one unit. Null texts are empty and have the end id alone.
+    brings it to unit_ids, so a task holds one unit. Null texts are empty and have the end id alone. special: as for Tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, seq = Tokens(tokenizer), TaskContext.get().partitionId(), 0
+        tokens, part, seq = Tokens(tokenizer, special), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -204,16 +210,16 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
-def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | None = None, special: bool = False) -> DataFrame:
     """The contract's columns, from files that were written and read again.
 
     Every row of docs is a document of its own, with its doc_id, also if that is null or repeats. An empty table gives
-    no units and an empty result; columns other than doc_id and text aren't read.
+    no units and an empty result; columns other than doc_id and text aren't read. special: as for Tokens.
     """
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
     path = shared_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer)
+    write_tokens(docs, path, tokenizer, special=special)
     return read_tokens(docs.sparkSession, path)
