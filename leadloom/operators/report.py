@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.config import ENGINE_ALIASES
 from leadloom.operators.enrich import QUALITIES
+from leadloom.shared import shared_path
 
 
 def lead_totals(leads: DataFrame, approximate: bool = False) -> DataFrame:
@@ -69,3 +70,18 @@ def progress(queries: DataFrame, done: DataFrame) -> DataFrame:
 def run_plan(pending: DataFrame, engines: list[str]) -> DataFrame:
     """Searches that remain: pending queries times engines."""
     return pending.agg(F.count("*").alias("pending")).select("pending", F.lit(len(engines)).cast("long").alias("engines"), (F.col("pending") * len(engines)).alias("operations"))
+
+
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their place in an order that tells every two of them apart.
+
+    Rows are dealt by ranges of the order and ranked inside each; what stands before a range is a running sum over
+    ranges. They are kept in between, so that both see the same ranges.
+    """
+    path = shared_path(df.sparkSession, "placed")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = kept.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    inside = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return inside.join(F.broadcast(starts), "_range").withColumn("place", F.col("_before") + F.col("_rank")).select(*[F.col(f"`{c}`") for c in df.columns], "place")

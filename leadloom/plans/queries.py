@@ -422,6 +422,13 @@ def quality_order(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(Window.orderBy(*enrich.by_quality(g), "page_id")).cast("long"))
 
 
+@query(f"WITH {BODY_SQL}, m AS (SELECT *, {sql.keyword_match('body', 'query')} AS match FROM b), g AS (SELECT page_id, {sql.grade('match', *[sql.matches('body', p) for p in sql.SIGNALS.values()], sql.noise('body'))} AS lead_quality, match AS score FROM m) SELECT page_id, lead_quality, score, row_number() OVER (ORDER BY list_position({sql.array(enrich.QUALITIES)}, lead_quality), score DESC, page_id) AS place FROM g")
+def quality_order_whole(spark, sf_dir):
+    """All graded leads; quality_order and its SQL give the first hundred."""
+    g = relevance_grade(spark, sf_dir).withColumnRenamed("keyword_match_pct", "score")
+    return report.placed(g, *enrich.by_quality(g), F.col("page_id"))
+
+
 # Result pages and engines.
 
 REDIRECTS_SQL = f"""{sql.RAW}, h AS (SELECT position, url,
