@@ -473,6 +473,15 @@ def english_filter(spark, sf_dir):
     return d.select("doc_id", urls.is_english(F.col("title"), F.col("d")).cast("int").alias("english"))
 
 
+@query(f"WITH s AS (SELECT doc_id, text, split_part(text, '.', 1) AS title FROM documents), t AS (SELECT doc_id, title, substr(text, length(title) + 1) || CASE WHEN doc_id % 7 = 0 THEN '/de/' ELSE '' END AS d FROM s) SELECT doc_id, {_english('title', 'd')}::INTEGER AS english FROM t")
+def english_filter_whole(spark, sf_dir):
+    """Whole texts: what stands before the first full stop is the title, all the rest the description."""
+    d = inputs.table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", ".", 1))
+    rest = F.substring(F.col("text"), F.length("title") + 1, F.length("text"))
+    d = d.select("doc_id", "title", F.concat(rest, F.when(F.col("doc_id") % 7 == 0, "/de/").otherwise("")).alias("d"))
+    return d.select("doc_id", urls.is_english(F.col("title"), F.col("d")).cast("int").alias("english"))
+
+
 def _health_pages(spark, sf_dir) -> DataFrame:
     i = F.col("page_id")
     status = F.element_at(F.array(*map(F.lit, [200, 200, 403, 500, 202, 429, 503])), (i % 7 + 1).cast("int"))
@@ -495,6 +504,15 @@ def page_blocks(spark, sf_dir):
     return _health_pages(spark, sf_dir).select("page_id", diagnose.blocked(F.col("engine"), t).cast("int").alias("blocked"))
 
 
+@query(f"WITH {HEALTH_SQL}, t AS (SELECT page_id, 0 AS variant, engine, html AS t FROM hp UNION ALL SELECT page_id, 1, engine, substr(html, 1, (page_id % 20 * 100)::INTEGER) FROM hp WHERE page_id % 10 < 3) SELECT page_id, variant, (CASE engine WHEN 'mojeek' THEN length(t) < 300 WHEN 'duckduckgo' THEN length(t) < 1000 OR contains(lower(t), 'captcha') ELSE length(t) < 300 OR contains(lower(t), 'captcha') END)::INTEGER AS blocked FROM t")
+def page_blocks_whole(spark, sf_dir):
+    """Every page as it is (variant 0), and short pages that are derived from some of them (variant 1)."""
+    p = _health_pages(spark, sf_dir)
+    short = F.substring(F.col("html"), F.lit(1), (F.col("page_id") % 20 * 100).cast("int"))
+    pages = p.withColumn("variant", F.lit(0)).unionByName(p.filter("page_id % 10 < 3").withColumns({"variant": F.lit(1), "html": short}))
+    return pages.select("page_id", "variant", diagnose.blocked(F.col("engine"), F.col("html")).cast("int").alias("blocked"))
+
+
 @query(f"WITH {HEALTH_SQL} SELECT engine, " + ", ".join(f"sum(len(regexp_extract_all(html, {sql.q(p)})))::BIGINT AS {k}" for k, p in diagnose.MARKERS.items()) + " FROM hp GROUP BY 1")
 def marker_counts(spark, sf_dir):
     return diagnose.marker_counts(_health_pages(spark, sf_dir))
