@@ -576,8 +576,9 @@ def sample_urls(spark, sf_dir):
 
 
 def _result_pages(spark, sf_dir) -> DataFrame:
-    """Result pages in each engine's layout, made of raw results, ten a page."""
+    """Result pages in each engine's layout, made of raw results, at most ten a page: each 600 positions are asked for by queries of their own."""
     r = _redirects(spark, sf_dir).join(inputs.raw_results(spark, sf_dir).select("position", "engine", "query_idx", "query", "page_no", "title", "snippet"), "position")
+    r = r.withColumn("query_idx", F.col("query_idx") + len(QUERY_TEXTS) * F.floor(F.col("position") / 600))
     row = (
         F.when(F.col("engine") == "mojeek", F.concat(F.lit("<li><a class='ob' href='"), "url", F.lit("'>go</a><h2>"), "title", F.lit("</h2><p class='s'>"), "snippet", F.lit("</p></li>")))
         .when(F.col("engine") == "duckduckgo", F.concat(F.lit("<tr><td><a class='result-link' href='"), "uddg", F.lit("'>"), "title", F.lit("</a></td></tr><tr><td class='result-snippet'>"), "snippet", F.lit("</td></tr>")))

@@ -111,13 +111,15 @@ def _result_link_layout(page: Element) -> list[tuple]:
     low = text.lower()
     if len(text) < 1000 or "captcha" in low or "select all squares" in low or (len(text) < 13_000 and not links):
         return []
-    out = []
+    out, following = [], {}
     for a in links:
         row, snippet = a.above("tr"), ""
         if row is not None:
-            rows = [c for c in row.parent.children if isinstance(c, Element) and c.tag == "tr"]
-            after = rows[rows.index(row) + 1 :][:1]
-            snippet = _first(after[0].find("td", "result-snippet")) if after else ""
+            if id(row.parent) not in following:
+                rows = [c for c in row.parent.children if isinstance(c, Element) and c.tag == "tr"]
+                following[id(row.parent)] = {id(x): y for x, y in zip(rows, rows[1:])}  # noqa: B905
+            after = following[id(row.parent)].get(id(row))
+            snippet = _first(after.find("td", "result-snippet")) if after is not None else ""
         out.append(((a.attributes.get("href") or "").strip(), a.text(), snippet))
     out = [r for r in out if r[0].startswith("http")]
     if out:
