@@ -15,7 +15,7 @@ from leadloom.llm.common import merged, steps, text_of
 
 WINDOW = 10
 #: Benchmark text that one pass over the documents looks for; larger benchmarks take several.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 _SPACES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
 
@@ -26,30 +26,35 @@ def words(text: str) -> list[bytes]:
 
 
 class TestSuffixes:
-    """The suffixes of benchmark items, cut to one window each, grouped by window length.
+    """The suffixes of benchmark items, cut to one window each, grouped by window length, each distinct window once.
 
     An item of `window` words or more has a suffix for each window; a shorter one is a window as a whole.
     """
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: list[tuple] = []
-        by_length: dict[int, list] = {}
+        self.item_ids, numbers = [], []
         for item_id, text in items:
             own = words(text or "")
-            if not own:
-                continue
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
-            length = min(window, len(ids))
-            for j in range(len(ids) - length + 1):
-                by_length.setdefault(length, []).append((ids[j : j + length], len(self.items), j))
-            self.items.append((item_id, ids))
+            if own:
+                numbers.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own), np.int32, len(own)))
+                self.item_ids.append(item_id)
+        self.text = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+        sizes = np.array([len(n) for n in numbers], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.lengths = {}
-        for length, rows in by_length.items():
-            keys = _keys(np.array([r[0] for r in rows], np.int64))
+        for length in np.unique(np.minimum(sizes, window)).tolist():
+            own = np.flatnonzero(np.minimum(sizes, window) == length)
+            each = sizes[own] - length + 1
+            item = np.repeat(own, each)
+            at = np.repeat(self.starts[own] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            rows = self.text[at[:, None] + np.arange(length)]
+            keys, number = np.unique(_keys(rows), return_inverse=True)
             used = np.zeros(len(self.vocabulary) + 1, bool)
-            used[[w for r in rows for w in r[0]]] = True
-            self.lengths[length] = (keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), used)
+            used[rows] = True
+            # the items of each distinct window, each once
+            pairs = np.unique(number.astype(np.int64) * len(sizes) + item)
+            self.lengths[length] = (keys, np.searchsorted(pairs // len(sizes), np.arange(len(keys) + 1)), pairs % len(sizes), used)
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -58,34 +63,108 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return rows.view(f"S{4 * rows.shape[1]}").ravel()
 
 
-def shard_matches(ids: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes):
-    """Every occurrence in a shard of every window: (document index, document word, item index, item word, longest match).
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1 .. (counts[0] of them), starts[1] ..."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+class _Ranks:
+    """Ranks of a text's suffixes by their first 1, 2, 4 .. words, by prefix doubling, until `longest` words are covered."""
+
+    def __init__(self, text: np.ndarray, longest: int):
+        self.levels = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
+        while 1 << (len(self.levels) - 1) < longest:
+            rank, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            beyond = np.zeros(len(rank), np.int64)
+            beyond[: max(0, len(rank) - step)] = rank[step:] + 1
+            self.levels.append(np.unique(rank * (len(rank) + 2) + beyond, return_inverse=True)[1].astype(np.int64))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words suffixes a[i] and b[i] share."""
+        n, last = np.zeros(len(a), np.int64), len(self.levels[0]) - 1
+        for k in range(len(self.levels) - 1, -1, -1):
+            same = (np.maximum(a, b) + n <= last) & (self.levels[k][np.minimum(a + n, last)] == self.levels[k][np.minimum(b + n, last)])
+            n += same << k
+        return n
+
+
+def search_shard(ids: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes):
+    """(hit, matches) of a shard: which words are hit, and rows (document, document word, item, item word, longest match).
 
     ids: word numbers of the shard's documents in turn, 0 for a word that no item has; starts: where documents start,
-    and the end. The shard's suffix array holds, in order of their next words, only suffixes that can match: those whose
-    next `length` words all occur in items and in one document. Each test suffix is binary-searched in it; the range
-    found are its locations, and each is followed on to its longest verbatim match.
+    and the end. The shard's suffix array holds, in the order of their next `length` words, the suffixes that can match:
+    those whose words occur in items, in one document. Every distinct test window is binary-searched in it; the range
+    found are its locations, so each location comes up once, however often words repeat.
+
+    The locations' suffixes and the items' are then ranked together to their full length. Of an item, the suffixes next
+    to a location share most with it: its longest match. A match inside another one of that item isn't given.
     """
-    doc_of_end = np.searchsorted(starts, np.arange(len(ids)), "right") - 1 if len(ids) else np.zeros(0, np.int64)
-    for length, (keys, item, word, used) in suffixes.lengths.items():
-        hit = used[ids]
-        run = np.concatenate([[0], np.cumsum(hit)])
-        at = np.flatnonzero(run[length:] - run[:-length] == length)
-        at = at[starts[doc_of_end[at] + 1] - at >= length]
+    change = np.zeros(len(ids) + 1, np.int64)
+    document = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    places, items = [], []
+    for length, (keys, first, item, used) in suffixes.lengths.items():
+        run = np.concatenate([[0], np.cumsum(used[ids])])
+        at = np.flatnonzero(run[length:] - run[:-length] == length) if len(ids) >= length else np.zeros(0, np.int64)
+        at = at[starts[document[at] + 1] - at >= length]
         if not len(at):
             continue
         array = _keys(ids[at[:, None] + np.arange(length)])
         order = np.argsort(array, kind="stable")
         array, at = array[order], at[order]
         low, high = np.searchsorted(array, keys, "left"), np.searchsorted(array, keys, "right")
-        for k in np.flatnonzero(high > low):
-            own = suffixes.items[item[k]][1]
-            for p in at[low[k] : high[k]]:
-                d, end = doc_of_end[p], length
-                stop = min(len(own) - word[k], starts[doc_of_end[p] + 1] - p)
-                while end < stop and ids[p + end] == own[word[k] + end]:
-                    end += 1
-                yield int(d), int(p - starts[d]), int(item[k]), int(word[k]), int(end)
+        met = np.flatnonzero(high > low)
+        place = at[_spread(low[met], (high - low)[met])]
+        window = np.repeat(met, (high - low)[met])
+        change[place] += 1
+        change[place + length] -= 1
+        # each location with each item of its window
+        many = (first[1:] - first[:-1])[window]
+        places.append(np.repeat(place, many))
+        items.append(item[_spread(first[window], many)])
+    hit = np.cumsum(change[:-1]) > 0
+    if not places or not sum(map(len, places)):
+        return hit, np.zeros((0, 5), np.int64)
+    pairs = np.unique(np.concatenate(items) * len(ids) + np.concatenate(places))
+    place, item = pairs % len(ids), pairs // len(ids)
+    # the hit words and the items that were met as one text; a word in between ends every match
+    known = np.unique(item)
+    sizes = np.diff(suffixes.starts)[known]
+    inside = np.flatnonzero(hit)
+    apart = np.cumsum((np.diff(inside, prepend=-2) > 1) | np.isin(inside, starts)) - 1
+    text = np.zeros(len(inside) + (apart[-1] + 1) + sizes.sum() + len(sizes), np.int64)
+    spot = np.zeros(len(ids), np.int64)
+    spot[inside] = np.arange(len(inside)) + apart
+    text[spot[inside]] = ids[inside]
+    base = len(inside) + (apart[-1] + 1) + np.cumsum(sizes + 1) - sizes - 1
+    text[_spread(base, sizes)] = suffixes.text[_spread(suffixes.starts[known], sizes)]
+    text[base + sizes] = -1
+    ranks = _Ranks(text, int(sizes.max()))
+    rank, wide = ranks.levels[-1], len(text) + 1
+    k = np.searchsorted(known, item)
+    own = np.repeat(np.arange(len(known)), sizes)
+    theirs = _spread(base, sizes)
+    order = np.lexsort((theirs, rank[theirs], own))
+    theirs, sorted_keys = theirs[order], (own * wide + rank[theirs])[order]
+    here = spot[place]
+    after = np.searchsorted(sorted_keys, k * wide + rank[here])
+    ends = np.cumsum(sizes)
+    best, where = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    for beside in (after - 1, after):
+        able = (beside >= (ends - sizes)[k]) & (beside < ends[k])
+        other = theirs[np.clip(beside, 0, len(theirs) - 1)]
+        n = np.where(able, ranks.common(here, other), 0)
+        better = n > best
+        best, where = np.where(better, n, best), np.where(better, other - base[k], where)
+    # pairs are in order of item and place: a match that ends no later than one before it is inside that one
+    end = item * (len(ids) + 1) + place + best
+    keep = np.concatenate([[True], end[1:] > np.maximum.accumulate(end)[:-1]])
+    place, item, best, where = place[keep], item[keep], best[keep], where[keep]
+    return hit, np.stack([document[place], place - starts[document[place]], item, where, best], 1)
+
+
+def shard_matches(ids: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes):
+    """The matches of search_shard(), as tuples."""
+    return map(tuple, search_shard(ids, starts, suffixes)[1].tolist())
 
 
 def _search(suffixes, window: int):
@@ -100,23 +179,17 @@ def _search(suffixes, window: int):
                     own = words(t)
                     numbers.append(np.fromiter(map(get, own, repeat(0)), np.int64, len(own)))
                     starts.append(starts[-1] + len(own))
-                found: dict[int, list] = {}
-                ids = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-                for d, p, item, word, n in shard_matches(ids, np.array(starts), known):
-                    found.setdefault(d, []).append((p, min(window, len(known.items[item][1])), known.items[item][0], word, n))
-                before = step.column("matches").to_pylist()
-                spans = step.column("spans").to_pylist()
-                for d, rows in found.items():
-                    spans[d] = merged([*zip(spans[d][::2], spans[d][1::2], strict=True), *((r[0], r[0] + r[1]) for r in rows)])
-                    best: dict[tuple, tuple] = {}
-                    for p, _, item, word, n in rows:  # one row for each stretch: the suffixes inside it have the same end
-                        end = (item, word - p, p + n)
-                        if end not in best or best[end][2] > p:
-                            best[end] = (item, word, p, n)
-                    before[d] = [*before[d], *({"item_id": i, "item_word": w, "doc_word": p, "n_words": n} for i, w, p, n in best.values())]
-                n_words = pa.array(np.diff(starts), pa.int64())
+                ids, starts = np.concatenate(numbers) if numbers else np.zeros(0, np.int64), np.array(starts)
+                hit, matches = search_shard(ids, starts, known)
+                before, spans = step.column("matches").to_pylist(), step.column("spans").to_pylist()
+                for d in np.unique(matches[:, 0]).tolist():
+                    a, b = starts[d], starts[d + 1]
+                    own = np.flatnonzero(np.diff(hit[a:b].astype(np.int8), prepend=0, append=0)).tolist()
+                    spans[d] = merged([*zip(spans[d][::2], spans[d][1::2], strict=True), *zip(own[::2], own[1::2], strict=True)])
+                for d, p, item, word, n in matches.tolist():
+                    before[d].append({"item_id": known.item_ids[item], "item_word": word, "doc_word": p, "n_words": n})
                 yield pa.RecordBatch.from_arrays(
-                    [step.column("doc_id"), step.column("text").cast(pa.string()), n_words, pa.array(spans, pa.list_(pa.int32())), pa.array(before, _MATCHES), step.column("row")],
+                    [step.column("doc_id"), step.column("text").cast(pa.string()), pa.array(np.diff(starts), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(before, _MATCHES), step.column("row")],
                     ["doc_id", "text", "n_words", "spans", "matches", "row"],
                 )
 
@@ -124,11 +197,11 @@ def _search(suffixes, window: int):
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple]]:
-    """Items in blocks of about `limit` bytes of text; a null item_id has no place in results and is left out."""
+    """Items in blocks of about `limit` bytes of text."""
     block, held = [], 0
-    for r in benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string"), text).toLocalIterator():
+    for r in benchmark.select(F.col(item).cast("string"), text, F.octet_length(text)).toLocalIterator():
         block.append((r[0], r[1]))
-        held += len(r[1] or "")
+        held += r[2] or 0
         if held >= limit:
             yield block
             block, held = [], 0
@@ -137,11 +210,12 @@ def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
-    """For every row of docs: doc_id, n_words, n_hit, item_ids (array), matches (longest verbatim ones with locations), contaminated.
+    """For every row of docs: doc_id, n_words, n_hit, item_ids (array), matches (for each item the longest verbatim ones with locations), contaminated.
 
     A window is `window` consecutive words of an item, or a shorter item as a whole; words inside any occurrence are hit.
-    Null texts have no words. Items without words, and null items, match nothing. Repeated rows and doc_ids are rows of
-    their own. Nothing is shuffled: each Arrow step of a task is a shard with a suffix array of its own, and the
+    Null texts have no words; items without words match nothing. An item with a null item_id hits words like any other and
+    has matches, but no place among item_ids; items that share an item_id count there as one. Repeated rows and doc_ids of
+    docs are rows of their own, other columns don't matter. Nothing is shuffled: each Arrow step of a task is a shard with a suffix array of its own, and the
     benchmark goes out in blocks of block_bytes, each a pass over the documents. keep: also return all columns of docs
     (in a struct named row).
     """
@@ -157,7 +231,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
         out = out.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(TestSuffixes([], window)), window), schema)
     pairs = F.expr("transform(sequence(0, size(spans) - 1, 2), i -> spans[i + 1] - spans[i])")
     hit = F.when(F.size("spans") > 0, F.aggregate(pairs, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("long")
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    items = F.array_sort(F.array_compact(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))))
     out = out.select("doc_id", "n_words", hit.alias("n_hit"), items.alias("item_ids"), "matches", "row").withColumn("contaminated", F.col("n_hit") > 0)
     return out if keep else out.drop("row")
 
@@ -168,9 +242,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns, and the longest match of each document: how many words, of which item, and where in both."""
     out = find_contamination(docs, benchmark)
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+    longest = F.array_max(F.transform("matches", lambda m: F.struct(m["n_words"], (-m["doc_word"]).alias("d"), (-m["item_word"]).alias("w"), m["item_id"])))
+    return out.withColumn("longest", longest).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated",
+        F.coalesce("longest.n_words", F.lit(0)).alias("longest_words"), F.col("longest.item_id").alias("longest_item"), (-F.col("longest.d")).alias("longest_at"), (-F.col("longest.w")).alias("longest_item_at"),
+    )
 
 
 def digest(item_ids: list[str]) -> str:
