@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from leadloom.functions import urls
 from leadloom.operators.lookup import first_by
 
+#: Elements inside which an element lies at most; those below are siblings of the last one, so that no page makes a deep tree.
+DEPTH = 256
+#: What a start tag closes, if it is open inside the nearest of the elements named next: end tags that pages may leave out.
+BLOCK = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "a": ({"a"}, {"td", "th", "table"}),
+    "option": ({"option"}, {"select"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), **{t: ({"p"}, {"td", "th", "table", "button"}) for t in BLOCK},
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -24,22 +32,35 @@ class Element:
     attributes: dict
     parent: Element | None = None
     children: list = field(default_factory=list)
+    depth: int = 0
+    found: dict = field(default_factory=dict)
 
     def walk(self) -> Iterator[Element]:
-        for c in self.children:
-            if isinstance(c, Element):
-                yield c
-                yield from c.walk()
+        left = [c for c in reversed(self.children) if isinstance(c, Element)]
+        while left:
+            e = left.pop()
+            yield e
+            left += [c for c in reversed(e.children) if isinstance(c, Element)]
 
     def text(self) -> str:
         """Its text, pieces stripped and joined, without scripts and styles."""
-        return "".join(c.strip() if isinstance(c, str) else c.text() for c in self.children if isinstance(c, str) or c.tag not in ("script", "style", "template"))
+        out, left = [], self.children[::-1]
+        while left:
+            c = left.pop()
+            if isinstance(c, str):
+                out.append(c.strip())
+            elif c.tag not in ("script", "style", "template"):
+                left += c.children[::-1]
+        return "".join(out)
 
     def has(self, tag: str = "", cls: str = "", attribute: str = "") -> bool:
         return (not tag or self.tag == tag) and (not cls or cls in (self.attributes.get("class") or "").split()) and (not attribute or attribute in self.attributes)
 
     def find(self, tag: str = "", cls: str = "", attribute: str = "") -> Element | None:
-        return next((e for e in self.walk() if e.has(tag, cls, attribute)), None)
+        key = (tag, cls, attribute)
+        if key not in self.found:  # a box with many links is searched once, not once a link
+            self.found[key] = next((e for e in self.walk() if e.has(tag, cls, attribute)), None)
+        return self.found[key]
 
     def all(self, tag: str = "", cls: str = "", attribute: str = "") -> list[Element]:
         return [e for e in self.walk() if e.has(tag, cls, attribute)]
@@ -59,14 +80,27 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("", {})
+        self.below = 0
 
     def handle_starttag(self, tag, attrs):
-        e = Element(tag, dict(attrs), self.at)
+        closed, bounds = CLOSES.get(tag, ((), ()))
+        e = self.at if closed else self.root
+        while e.parent is not None and e.tag not in closed and e.tag not in bounds:
+            e = e.parent
+        if e.tag in closed and e.parent is not None:
+            self.at, self.below = e.parent, 0
+        e = Element(tag, dict(attrs), self.at, depth=self.at.depth + 1)
         self.at.children.append(e)
         if tag not in VOID:
-            self.at = e
+            if e.depth < DEPTH:
+                self.at = e
+            else:
+                self.below += 1
 
     def handle_endtag(self, tag):
+        if self.below:
+            self.below -= 1
+            return
         e = self.at
         while e.parent is not None and e.tag != tag:
             e = e.parent
