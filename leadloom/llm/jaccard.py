@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from leadloom.llm.common import SpanHash, flat, mix64, saved, steps, text_of
+from leadloom.llm.common import SpanHash, flat, mix64, saved, spread_join, steps, text_of
 from leadloom.llm.components import components
 from leadloom.llm.exact_dedup import NULL_ID, _filtered
 
@@ -19,8 +18,8 @@ from leadloom.llm.exact_dedup import NULL_ID, _filtered
 COUNTERS, SLICES = 1 << 19, 64
 #: Tokens of their prefixes that two similar documents share at least; prefixes have as many more.
 SHARED = 3
-#: Members of a group that one task compares with a query at a time.
-BLOCK_MEMBERS = 512
+#: Members of a group that one task compares with a query at a time, and their tokens, about.
+BLOCK_MEMBERS, BLOCK_TOKENS = 512, 2 << 20
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(1, 65)]
@@ -178,9 +177,15 @@ def _open(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "role", "doc").mapInArrow(run, "a long, b long")
 
 
-def _dealt(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members in the blocks of their groups. groups: grp, blocks."""
-    return rows.join(groups, "grp").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("blocks")
+def _blocks():
+    """How many blocks a group of `members` members with `tokens` tokens in all has."""
+    return F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")
+
+
+def _dealt(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """Members in the blocks of their groups. groups: grp, members, blocks."""
+    dealt = spread_join(rows, groups.select("grp", "members", "blocks"), "grp", "members", total)
+    return dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("blocks", "members")
 
 
 def _to_all(rows: DataFrame) -> DataFrame:
@@ -207,39 +212,43 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     counts = spark.sparkContext.broadcast(sketch(texts, width))
     classes = saved(prefixes(texts, counts, width, percent), "sets")
     heads = classes.filter("signature is not null").groupBy("signature").agg(F.min(F.struct("doc", "n", "prefix")).alias("r")).select("r.*")
-    postings = heads.filter("size(prefix) > 0").select("doc", "n", F.explode("prefix").alias("token"))
-    by_token = Window.partitionBy("token").orderBy("doc")
-    shared = postings.select("token", "doc", "n", F.first(F.struct("doc", "n")).over(by_token).alias("lead"), F.lead("doc").over(by_token).alias("next"))
-    shared = saved(shared.filter("next is not null or doc <> lead.doc").drop("next"), "postings")
+    postings = saved(heads.filter("size(prefix) > 0").select("doc", "n", F.explode("prefix").alias("token")), "postings")
+    total = postings.count()
+    leads = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("times"))
+    leads = saved(leads.filter("times > 1"), "leads")
+    shared = saved(spread_join(postings, leads, "token", "times", total).drop("times"), "shared")
     fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
     led = shared.filter(f"doc <> lead.doc and {fits}").groupBy("doc", F.col("lead.doc").alias("grp")).count().filter(f"count >= {SHARED}")
     home = saved(led.groupBy("doc").agg(F.min(F.struct((-F.col("count")).alias("fewer"), "grp")).alias("best")).select("doc", "best.grp"), "home")
     member = saved(shared.select("doc", "n").distinct().join(home, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")), "members")
-    sizes = member.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    sizes = member.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum("n").alias("tokens"))
+    sizes = saved(sizes.select("*", _blocks()), "sizes")
     # sizes join members, not tokens: a large group's key has one row for each member here
-    grouped = saved(shared.select("token", "doc", "n").join(member.join(sizes, "grp"), ["doc", "n"]), "grouped")
+    grouped = saved(shared.select("token", "doc", "n").join(spread_join(member, sizes.select("grp", "members", "low", "high"), "grp", "members", total), ["doc", "n"]), "grouped")
     matrix = grouped.groupBy("token", "grp").agg(*[F.max(c).alias(c) for c in ("members", "low", "high")])
     own = grouped.select("token", "doc", "n", F.col("grp").alias("of"), F.col("members").alias("beside"))
     asks = "grp <> of and (members > beside or members = beside and grp < of)"
     fits = f"100 * n >= {percent} * low and 100 * high >= {percent} * n"
-    across = own.join(matrix, "token").filter(f"{asks} and {fits}").groupBy("doc", "grp").agg(F.count("*").alias("c"), F.max("members").alias("members"))
-    across = saved(across.filter(f"c >= {SHARED}").select("doc", "grp", "members"), "across")
+    across = own.join(matrix, "token").filter(f"{asks} and {fits}").groupBy("doc", "grp").agg(F.count("*").alias("c"))
+    across = saved(across.filter(f"c >= {SHARED}").select("doc", "grp"), "across")
+    asked = saved(across.groupBy("grp").agg(F.count("*").alias("queries")).join(sizes, "grp"), "asked")
 
     # the sets of the documents that any group needs: leaders and those they lead, queries, and members of groups they open
-    wanted = home.select("doc").union(home.select("grp")).union(across.select("doc")).union(member.join(across.select("grp").distinct(), "grp", "left_semi").select("doc")).distinct()
-    wanted = saved(wanted, "wanted")
+    opens = spread_join(member, asked.select("grp", "members"), "grp", "members", total)
+    wanted = saved(home.select("doc").union(home.select("grp")).union(across.select("doc")).union(opens.select("doc")).distinct(), "wanted")
     tokens = saved(_sets(_filtered(texts, wanted, "doc").join(wanted, "doc", "left_semi"), width), "tokens")
 
-    groups = home.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    leaders = _to_all(groups.select("grp", "blocks", F.lit(0).alias("role"), F.col("grp").alias("doc"), F.lit(False).alias("linked")))
-    followers = _dealt(home.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), groups)
+    led = home.groupBy("grp").agg(F.lit(1).alias("one")).join(sizes, "grp")
+    leaders = _to_all(led.select("grp", "blocks", F.lit(0).alias("role"), F.col("grp").alias("doc"), F.lit(False).alias("linked")))
+    followers = _dealt(home.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), led, total)
     near = saved(_open(leaders.unionByName(followers).join(tokens, "doc"), percent).distinct(), "near")
 
     member = member.join(near.select(F.col("a").alias("doc"), F.lit(True).alias("linked")).distinct(), "doc", "left").withColumn("linked", F.coalesce("linked", F.col("doc") == F.col("grp")))
-    inside = member.filter("not linked").join(sizes.filter("members > 1").select("grp", "members"), "grp").select("doc", "grp", "members")
-    opened = saved(across.unionByName(inside).select("doc", "grp", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks")), "opened")
-    queries = _to_all(opened.select("grp", "blocks", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")))
-    members = _dealt(member.select("grp", F.lit(0).alias("role"), "doc", "linked"), opened.select("grp", "blocks").distinct())
+    member = saved(member, "linked")
+    inside = member.filter("not linked").select("doc", "grp")
+    opened = saved(across.unionByName(inside).groupBy("grp").agg(F.count("*").alias("queries")).join(sizes, "grp"), "opened")
+    queries = _to_all(spread_join(across.unionByName(inside), opened.select("grp", "queries", "blocks"), "grp", "queries", total).select("grp", "blocks", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")))
+    members = _dealt(member.select("grp", F.lit(0).alias("role"), "doc", "linked"), opened, total)
     return classes.drop("prefix"), near.unionByName(_open(members.unionByName(queries).join(tokens, "doc"), percent))
 
 
@@ -253,14 +262,28 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     classes, links = similar_links(docs, key, text, width, percent)
     reach = components(links)
-    ids = classes.filter("signature is not null").groupBy("signature").agg(F.min("doc").alias("node"))
-    ids = ids.join(reach, "node", "left").select("signature", F.coalesce("component", "node").alias("component"))
+    worded = classes.filter("signature is not null")
+    ids = worded.groupBy("signature").agg(F.min("doc").alias("node"), F.count("*").alias("copies"))
+    ids = saved(ids.join(reach, "node", "left").select("signature", "copies", F.coalesce("component", "node").alias("component")), "classes")
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    out = classes.join(ids, "signature", "left").withColumn("component", F.coalesce("component", "doc"))
+    out = spread_join(worded, ids, "signature", "copies", classes.count()).select("doc", "n", "component")
+    out = out.unionByName(classes.filter("signature is null").select("doc", "n", F.col("doc").alias("component")))
     return out.select(null("doc").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each component: the one whose id names it. Rows with a null id, or without words, stay."""
-    found = jaccard_components(docs, key, **options).filter("doc_id is not null").select(F.col("doc_id").alias(key), "component_id").distinct()
-    return docs.join(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(key), key, "left_anti")
+    """docs with one row of each component: that whose id names it. Rows with a null id, or without words, stay.
+
+    Of rows that repeat an id, one stays at most: the one whose columns have the least hash (of equal rows, any). Only rows of
+    repeated ids are shuffled for that.
+    """
+    found = jaccard_components(docs, key, **options).filter("doc_id is not null").select(F.col("doc_id").alias(key), "component_id", "n_shingles")
+    gone = found.filter("n_shingles > 0").select(key, "component_id").distinct().filter(~F.col(key).eqNullSafe(F.col("component_id")))
+    kept = docs.join(gone.select(key), key, "left_anti")
+    again = saved(docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_times")).filter("_times > 1").select(key), "repeated")
+    if again.isEmpty():
+        return kept
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, key, "left_semi").select(F.col(key).alias("_id"), whole.alias("_row"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]).alias("_hash"))
+    one = one.groupBy("_id").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
+    return kept.join(again, key, "left_anti").unionByName(one)
