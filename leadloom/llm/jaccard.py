@@ -18,8 +18,8 @@ from leadloom.llm.exact_dedup import NULL_ID, _filtered
 COUNTERS, SLICES = 1 << 19, 64
 #: Tokens of their prefixes that two similar documents share at least; prefixes have as many more.
 SHARED = 3
-#: Members of a group that one task compares with a query at a time, and their tokens, about.
-BLOCK_MEMBERS, BLOCK_TOKENS = 512, 2 << 20
+#: Members of a group that are compared with as many queries at a time, and their tokens, about.
+BLOCK_MEMBERS, BLOCK_TOKENS = 256, 1 << 20
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(1, 65)]
@@ -141,7 +141,7 @@ class _Joined(dict):
 
 
 def _open(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between the members (role 0) and the queries (role 1) of each block of each group; rows: grp, block, role, doc, linked, tokens.
+    """Links between the members (role 0) and the queries (role 1) of each block and part of each group; rows: grp, block, part, role, doc, linked, tokens.
 
     Rows come sorted, members first, and a block's members are all that a task holds. Members that are linked to the
     group's leader are connected to begin with. A query is compared with a member unless they are connected already.
@@ -151,11 +151,11 @@ def _open(rows: DataFrame, percent: int) -> DataFrame:
         at, ids, sets, joined = None, [], [], _Joined()
         for batch in batches:
             found = []
-            columns = [batch.column(c).to_pylist() for c in ("grp", "block", "role", "doc", "linked")]
+            columns = [batch.column(c).to_pylist() for c in ("grp", "block", "part", "role", "doc", "linked")]
             tokens = batch.column("tokens")
-            for k, (grp, block, role, doc, linked) in enumerate(zip(*columns, strict=True)):
-                if (grp, block) != at:
-                    at, ids, sets, joined = (grp, block), [], [], _Joined()
+            for k, (grp, block, part, role, doc, linked) in enumerate(zip(*columns, strict=True)):
+                if (grp, block, part) != at:
+                    at, ids, sets, joined = (grp, block, part), [], [], _Joined()
                 own = np.frombuffer(tokens[k].as_buffer(), np.uint64)
                 if role == 0:
                     ids.append(doc)
@@ -174,7 +174,7 @@ def _open(rows: DataFrame, percent: int) -> DataFrame:
                         joined.join(doc, other)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "role", "doc").mapInArrow(run, "a long, b long")
+    return rows.repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "role", "doc").mapInArrow(run, "a long, b long")
 
 
 def _blocks():
@@ -182,15 +182,11 @@ def _blocks():
     return F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")
 
 
-def _dealt(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """Members in the blocks of their groups. groups: grp, members, blocks."""
-    dealt = spread_join(rows, groups.select("grp", "members", "blocks"), "grp", "members", total)
-    return dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).drop("blocks", "members")
-
-
-def _to_all(rows: DataFrame) -> DataFrame:
-    """Queries (with the number of blocks) in every block of the group that they open."""
-    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+def _dealt(rows: DataFrame, groups: DataFrame, mine: str, others: str, count: str, total: int) -> DataFrame:
+    """Rows, each in one of its group's `mine` by a hash and in all of its `others`. groups: grp, blocks, parts and the count of rows."""
+    dealt = spread_join(rows, groups.select("grp", count, "blocks", "parts"), "grp", count, total)
+    dealt = dealt.withColumn(mine, F.pmod(F.xxhash64("doc"), F.col(f"{mine}s")).cast("int"))
+    return dealt.withColumn(others, F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1))).drop("blocks", "parts", count)
 
 
 def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -204,8 +200,9 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     3. The token-group matrix holds the union of the prefix tokens of each group, once for each token and group however
        many members have it. A member's overlap with another group's union bounds its overlap with the members, so it
        opens only groups with which it shares SHARED tokens or more, of fitting size; of two groups the smaller one
-       asks. A member that isn't linked to its leader opens its own group too. An opened group is compared block by
-       block, leaving out pairs that are connected already, so members linked to the leader are never compared.
+       asks. A member that isn't linked to its leader opens its own group too. An opened group's members are compared in
+       blocks with its queries in parts, leaving out pairs that are connected already, so members linked to the leader
+       are never compared.
     """
     spark = docs.sparkSession
     texts = _texts(docs, key, text)
@@ -239,16 +236,18 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     tokens = saved(_sets(_filtered(texts, wanted, "doc").join(wanted, "doc", "left_semi"), width), "tokens")
 
     led = home.groupBy("grp").agg(F.lit(1).alias("one")).join(sizes, "grp")
-    leaders = _to_all(led.select("grp", "blocks", F.lit(0).alias("role"), F.col("grp").alias("doc"), F.lit(False).alias("linked")))
-    followers = _dealt(home.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), led, total)
+    leaders = led.select("grp", F.lit(0).alias("role"), F.col("grp").alias("doc"), F.lit(False).alias("linked"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(0).alias("block"))
+    followers = _dealt(home.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), led.select("grp", "members", F.lit(1).alias("blocks"), F.col("blocks").alias("parts")), "part", "block", "members", total)
     near = saved(_open(leaders.unionByName(followers).join(tokens, "doc"), percent).distinct(), "near")
 
     member = member.join(near.select(F.col("a").alias("doc"), F.lit(True).alias("linked")).distinct(), "doc", "left").withColumn("linked", F.coalesce("linked", F.col("doc") == F.col("grp")))
     member = saved(member, "linked")
     inside = member.filter("not linked").select("doc", "grp")
-    opened = saved(across.unionByName(inside).groupBy("grp").agg(F.count("*").alias("queries")).join(sizes, "grp"), "opened")
-    queries = _to_all(spread_join(across.unionByName(inside), opened.select("grp", "queries", "blocks"), "grp", "queries", total).select("grp", "blocks", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")))
-    members = _dealt(member.select("grp", F.lit(0).alias("role"), "doc", "linked"), opened, total)
+    asked = across.unionByName(inside)
+    opened = asked.groupBy("grp").agg(F.count("*").alias("queries")).join(sizes, "grp").withColumn("parts", F.ceil(F.col("queries") / BLOCK_MEMBERS).cast("int"))
+    opened = saved(opened, "opened")
+    queries = _dealt(asked.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), opened, "part", "block", "queries", opened.agg(F.sum("queries")).first()[0] or 0)
+    members = _dealt(member.select("grp", F.lit(0).alias("role"), "doc", "linked"), opened, "block", "part", "members", total)
     return classes.drop("prefix"), near.unionByName(_open(members.unionByName(queries).join(tokens, "doc"), percent))
 
 
