@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.config import ENGINES, LEAD_HEADERS
 from leadloom.functions import company, contacts, tokens, urls
-from leadloom.functions.entities import decode_all_entities, decode_entities
+from leadloom.functions.entities import NAMES, decode_entities
 from leadloom.operators import clean, diagnose, enrich, lookup, report
 from leadloom.plans import inputs, sql
 from leadloom.plans.inputs import QUERY_TEXTS, TEST_CONFIG
@@ -276,9 +276,15 @@ def entities_subset(spark, sf_dir):
     return inputs.page_variants(spark, sf_dir).select("page_id", decode_entities(F.col("html")).alias("plain"))
 
 
-@query()
+#: References of every kind: with and without a semicolon, numbers that stand for others or for nothing, unknown names.
+REFERENCES = " &eacute;&Ouml; caf&eacute &copy2; &notit; &NoSuchName; &#8211;&#x1F600;&#128;&#0;&#11;&#x110000;&#65279; &amp;lt; &CounterClockwiseContourIntegral; a&b=c &#;&#x; &"
+
+
+@query(f"WITH {sql.PAGES}, t AS (SELECT page_id, html || {sql.q(REFERENCES)} || (page_id % 1200)::VARCHAR || ';&#' || (page_id * 7)::VARCHAR || ';' AS t FROM page_variants) SELECT page_id, sha256({sql.entities('t', NAMES)}) AS text_sha256 FROM t")
 def entities_full(spark, sf_dir):
-    return inputs.page_variants(spark, sf_dir).select("page_id", F.length(decode_all_entities("html")).alias("n_chars"))
+    i = F.col("page_id")
+    t = F.concat("html", F.lit(REFERENCES), (i % 1200).cast("string"), F.lit(";&#"), (i * 7).cast("string"), F.lit(";"))
+    return inputs.page_variants(spark, sf_dir).select("page_id", F.sha2(decode_entities(t), 256).alias("text_sha256"))
 
 
 EMAIL_ROWS_SQL = f"e AS (SELECT doc_id, unnest(list_concat({sql.plain_emails('text')}, [['info', 'sales', 'jane.roe', 'no-reply', 'hello'][doc_id % 5 + 1] || '@firm' || doc_id || '.co.uk'])) AS email FROM documents)"

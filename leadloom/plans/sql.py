@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from leadloom import config as fixed
 from leadloom.functions.contacts import CODED, EMAIL, WHOLE_EMAIL
-from leadloom.functions.entities import NAMED
+from leadloom.functions.entities import BARE, BARE_PATTERN, NAMED, NUMBERS
 from leadloom.plans.inputs import ADDITIONS, PATHS, QUERY_TEXTS, TEST_CONFIG
 
 PARTS = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
@@ -103,12 +105,22 @@ def rank(engine: str) -> str:
     return f"list_position({array(fixed.ENGINES)}, {engine})"
 
 
-def entities(x: str) -> str:
-    named = "map {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in NAMED.items()) + "}"
-    hexa, deci = "regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6});', 1)", "regexp_extract(p, '^#([0-9]{1,6});', 1)"
-    code = f"CASE WHEN {hexa} <> '' THEN ('0x' || {hexa})::INTEGER WHEN {deci} <> '' THEN {deci}::INTEGER END"
-    known = f"coalesce(CASE WHEN {code} BETWEEN 32 AND 126 OR {code} = 160 THEN chr({code}) END, {named}[regexp_extract(p, '^([a-z]{{2,6}});', 1)])"
-    rest = f"array_to_string(list_transform(string_split({x}, '&')[2:], lambda p: CASE WHEN {known} IS NULL THEN '&' || p ELSE {known} || regexp_replace(p, '^[^;]*;', '') END), '')"
+def entities(x: str, names: dict[str, str] = NAMED) -> str:
+    """Named references (with `names` alone where the text has no others) and all numeric ones."""
+    table = lambda d: "map {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in d.items()) + "}"
+    hexa, deci = "ltrim(regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1), '0')", "ltrim(regexp_extract(p, '^#([0-9]+)', 1), '0')"
+    code = (
+        f"CASE WHEN regexp_matches(p, '^#[0-9]') THEN CASE WHEN length({deci}) > 7 THEN 1114112 ELSE ('0' || {deci})::INTEGER END "
+        f"WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]') THEN CASE WHEN length({hexa}) > 6 THEN 1114112 ELSE ('0x0' || {hexa})::INTEGER END END"
+    )
+    never = "c BETWEEN 1 AND 8 OR c = 11 OR c BETWEEN 14 AND 31 OR c = 127 OR c BETWEEN 64976 AND 65007 OR c & 65534 = 65534"
+    odd = "map {" + ", ".join(f"{k}: chr({ord(v)})" for k, v in NUMBERS.items()) + "}"
+    char = f"CASE WHEN c < 160 AND {odd}[c] IS NOT NULL THEN {odd}[c] WHEN c BETWEEN 55296 AND 57343 OR c > 1114111 THEN chr(65533) WHEN {never} THEN '' ELSE chr(c) END"
+    number = f"list_transform([{code}], lambda c: CASE WHEN c IS NULL THEN '&' || p ELSE {char} || regexp_replace(p, '^#([0-9]+|[xX][0-9a-fA-F]+);?', '') END)[1]"
+    short = f"CASE WHEN regexp_matches(p, {q(BARE_PATTERN)}) THEN {table({k: html5[k] for k in BARE})}[regexp_extract(p, {q(BARE_PATTERN)}, 1)] || regexp_replace(p, {q(BARE_PATTERN)}, '') ELSE '&' || p END" if names is not NAMED else "'&' || p"
+    name = "regexp_extract(p, '^([A-Za-z0-9]{1,31});', 1)"
+    named = f"CASE WHEN {table(names)}[{name}] IS NOT NULL THEN {table(names)}[{name}] || regexp_replace(p, '^[^;]*;', '') ELSE {short} END"
+    rest = f"array_to_string(list_transform(string_split({x}, '&')[2:], lambda p: CASE WHEN starts_with(p, '#') THEN {number} ELSE {named} END), '')"
     return f"CASE WHEN contains({x}, '&') THEN string_split({x}, '&')[1] || {rest} ELSE {x} END"
 
 

@@ -37,7 +37,7 @@ def test_scores(values):
 
 
 def test_entities(values):
-    assert values(decode_entities, "a &amp;lt; b &#43;&#x28; &nbsp;&unknown; & &#233;", "plain", "", None) == ["a &lt; b +(  &unknown; & &#233;", "plain", "", None]
+    assert values(decode_entities, "a &amp;lt; b &#43;&#x28; &nbsp;&unknown; & &#233;", "plain", "", None) == ["a &lt; b +(  &unknown; & é", "plain", "", None]
     assert values(decode_all_entities, "&eacute;&#233;&amp;", None) == ["éé&", None]
 
 
