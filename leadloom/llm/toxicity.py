@@ -129,11 +129,12 @@ def choose(parts: list[np.ndarray], label: np.ndarray, most: int = TERMS, least_
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS):
     """(terms' bins, machine) from at most sample_rows labelled rows outside the held-out part, the first by a hash of the id.
 
-    Labels other than 0 and 1 aren't used. Without any usable row the machine scores everything 0.5 or, with one class
+    Labels other than 0 and 1 aren't used; an id with both counts as toxic. Of rows of docs that repeat an id one is learned
+    from, the one with the least bins. Without any usable row the machine scores everything 0.5 or, with one class
     only, by that class's share.
     """
     usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label"))
-    sample = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 found = [np.unique(np.array([b for w in set(words(t)) for b in bins(w)], np.int32)).tobytes() for t in step.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), step.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "bins"])
 
-    table = rows.mapInArrow(featurise, "doc_id long, label int, bins binary").toArrow().sort_by([("doc_id", "ascending"), ("bins", "ascending")])
-    y = table.column("label").to_numpy().astype(float)[:sample_rows]
-    parts = [np.frombuffer(b.as_buffer(), np.int32) for b in table.column("bins")[:sample_rows]]
+    once = rows.mapInArrow(featurise, "doc_id long, label int, bins binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("bins").alias("bins"))
+    table = once.toArrow().sort_by("doc_id")
+    y = table.column("label").to_numpy().astype(float)
+    parts = [np.frombuffer(b.as_buffer(), np.int32) for b in table.column("bins")]
     if not len(y) or y.min() == y.max():
         machine = FactorizationMachine(0)
         machine.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
@@ -188,5 +190,5 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows predicted toxic."""
-    return score(docs, labels, keep=True, **options).filter("predicted = 0").select("row.*")
+    """docs without the rows predicted toxic. A score of just 0.5 decides nothing (without labels all have it): such rows stay."""
+    return score(docs, labels, keep=True, **options).filter("score <= 0.5").select("row.*")

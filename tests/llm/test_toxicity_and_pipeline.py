@@ -1,10 +1,14 @@
+import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from leadloom.llm import mixing, toxicity
+from leadloom.llm import toxicity
 
 GROUPS, INSULTS = ["martians", "robots", "pirates"], ["fools", "liars", "pests"]
 
@@ -59,11 +63,44 @@ def test_without_labels(spark, docs):
     assert toxicity.score(docs([]), none).count() == 0
 
 
+def copies(doc_id, sources, seed=17):
+    """How often a document repeats: the first count whose summed probability is above the hashed number. Weights are roots of the sources' sizes."""
+    n = Counter(sources.values())
+    rate = math.sqrt(n[sources[doc_id]]) / sum(map(math.sqrt, n.values())) * sum(n.values()) / n[sources[doc_id]]
+    u, k, p = (int(hashlib.md5(f"{seed}/{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52, 0, math.exp(-rate)
+    below = p
+    while below <= u:
+        k += 1
+        p *= rate / k
+        below += p
+    return k
+
+
+ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)], [(None, "null id", "en", "a", 7), (None, "null id", "en", "a", 7), (1, None, None, None, None), (1, "", "en", "b", 0), (1, "same id", "en", "b", 7), (2, "x " * 40_000, "en", "a", 80_000)]])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    """Empty tables, null ids and texts, repeated rows and ids, and columns more than documents have run through."""
+    spark.createDataFrame([(*r, 1, "x") for r in rows], f"{ROWS}, n_copies int, tokens string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (3, "ten words that no document of this small table has at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert sorted(docs.columns) == sorted([*(c.split()[0] for c in ROWS.split(", ")), "n_copies", "tokens"])
+        assert k or docs.count() == len(rows)  # without labels nothing is found toxic
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    near = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(str(r.doc_id) for r in near.collect()) == sorted(["None"] * sum(r[0] is None for r in rows) + ["1", "2"] * (len(rows) > 1))
+
+
 def test_pipeline(spark):
     """Each stage against plain Python on its own input, and run() against the last."""
     from tests.llm.test_decontaminate import brute as contaminated
-    from tests.llm.test_jaccard import brute as components
-    from tests.llm.test_tokens_and_shards import expected
+    from tests.llm.test_near_stage import kept
+    from tests.llm.test_special_tokens import plain
+    from tests.llm.test_toxic_labels import plain_score
 
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
@@ -72,13 +109,13 @@ def test_pipeline(spark):
         out.append(stage(spark, out[-1], sf_dir).cache())
     texts = [[(r.doc_id, r.text) for r in d.collect()] for d in out[:-1]]
     assert all(d.columns == docs.columns for d in out[:-1])
-    scores = {r.doc_id: r.predicted for r in toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
-    assert sorted(texts[1]) == sorted(r for r in texts[0] if not scores[r[0]])
-    keep = {i for i, _, c in components(texts[1]) if i == c}
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert sorted(texts[1]) == sorted(r for r in texts[0] if plain_score(r[1], *model) < 0.5)
+    keep = kept(texts[1])
     assert sorted(texts[2]) == sorted(r for r in texts[1] if r[0] in keep)
     bad = contaminated(texts[2], [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
     assert sorted(texts[3]) == sorted(r for r in texts[2] if not bad[r[0]][-1])
-    copies = {r.doc_id: r.n_copies for r in mixing.mix(out[3]).collect()}
-    assert sorted(texts[4]) == sorted(r for r in texts[3] for _ in range(copies.get(r[0], 0)))
-    assert sorted(tuple(r) for r in out[5].collect()) == sorted(expected(sorted(texts[4])))
+    sources = {r.doc_id: r.source for r in out[3].collect()}
+    assert sorted(texts[4]) == sorted(r for r in texts[3] for _ in range(copies(r[0], sources)))
+    assert sorted(tuple(r) for r in out[5].collect()) == sorted(plain(sorted(texts[4])))
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(tuple(r) for r in out[5].collect())
