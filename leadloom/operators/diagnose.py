@@ -112,7 +112,7 @@ def until_failure(log: DataFrame) -> DataFrame:
 def sample_urls(urls: DataFrame, n: int = 5) -> DataFrame:
     """The first n distinct addresses of each engine, in order of position."""
     first = urls.groupBy("engine", "url").agg(F.min("position").alias("position"))
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("engine").orderBy("position"))).filter(F.col("place") <= n)
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("engine").orderBy("position", "url"))).filter(F.col("place") <= n)
 
 
 def engine_diagnostics(pages: DataFrame, results: DataFrame, engines: list[str]) -> dict[str, DataFrame]:

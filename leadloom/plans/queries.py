@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,11 +157,10 @@ def seen_domains_anti(spark, sf_dir):
 # Queries and progress.
 
 
-@query("WITH u AS (SELECT DISTINCT 1 AS k, item_id AS p, trim(split_part(text, '.', 1)) AS query FROM benchmark UNION ALL SELECT 2, conv_id * 1000 + turn, trim(split_part(text, '.', 1)) FROM conversations), f AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY k, p) AS place, k, p FROM u WHERE query <> '' AND NOT starts_with(query, '#')) SELECT query, k::INTEGER AS source, p AS position FROM f WHERE place = 1")
+@query("WITH u AS (SELECT DISTINCT 1 AS k, item_id AS p, trim(text) AS query FROM benchmark UNION ALL SELECT 2, conv_id * 1000 + turn, trim(text) FROM conversations), f AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY k, p) AS place, k, p FROM u WHERE query <> '' AND NOT starts_with(query, '#')) SELECT query, k::INTEGER AS source, p AS position FROM f WHERE place = 1")
 def query_union(spark, sf_dir):
-    head = F.trim(F.split_part("text", F.lit("."), F.lit(1)))
-    a = inputs.table(spark, sf_dir, "benchmark").select(head.alias("query"), F.col("item_id").alias("position"))
-    b = inputs.table(spark, sf_dir, "conversations").select(head.alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"))
+    a = inputs.table(spark, sf_dir, "benchmark").select(F.col("text").alias("query"), F.col("item_id").alias("position"))
+    b = inputs.table(spark, sf_dir, "conversations").select(F.col("text").alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"))
     out = query_sources.union_in_order(query_sources.distinct_in_order(a), query_sources.distinct_in_order(b))
     return out.select("query", (F.col("position.source") + 1).alias("source"), F.col("position.position").alias("position"))
 
@@ -419,20 +419,15 @@ def quality_distribution(spark, sf_dir):
     return report.quality_distribution(enrich_leads(spark, sf_dir))
 
 
-@query(f"WITH {BODY_SQL}, m AS (SELECT *, {sql.keyword_match('body', 'query')} AS match FROM b), g AS (SELECT page_id, {sql.grade('match', *[sql.matches('body', p) for p in sql.SIGNALS.values()], sql.noise('body'))} AS lead_quality, match AS score FROM m) SELECT page_id, lead_quality, score, row_number() OVER (ORDER BY list_position({sql.array(enrich.QUALITIES)}, lead_quality), score DESC, page_id) AS place FROM g ORDER BY place LIMIT 100")
+@query(f"WITH {BODY_SQL}, m AS (SELECT *, {sql.keyword_match('body', 'query')} AS match FROM b), g AS (SELECT page_id, {sql.grade('match', *[sql.matches('body', p) for p in sql.SIGNALS.values()], sql.noise('body'))} AS lead_quality, match AS score FROM m) SELECT page_id, lead_quality, score, row_number() OVER (ORDER BY list_position({sql.array(enrich.QUALITIES)}, lead_quality), score DESC, page_id) AS place FROM g")
 def quality_order(spark, sf_dir):
+    """All graded leads in order of quality."""
     g = relevance_grade(spark, sf_dir).withColumnRenamed("keyword_match_pct", "score")
-    top = g.orderBy(*enrich.by_quality(g), "page_id").limit(100)
-    from pyspark.sql import Window
-
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*enrich.by_quality(g), "page_id")).cast("long"))
+    return report.placed(g, *enrich.by_quality(g), F.col("page_id"))
 
 
-@query(f"WITH {BODY_SQL}, m AS (SELECT *, {sql.keyword_match('body', 'query')} AS match FROM b), g AS (SELECT page_id, {sql.grade('match', *[sql.matches('body', p) for p in sql.SIGNALS.values()], sql.noise('body'))} AS lead_quality, match AS score FROM m) SELECT page_id, lead_quality, score, row_number() OVER (ORDER BY list_position({sql.array(enrich.QUALITIES)}, lead_quality), score DESC, page_id) AS place FROM g")
-def quality_order_whole(spark, sf_dir):
-    """All graded leads; quality_order and its SQL give the first hundred."""
-    g = relevance_grade(spark, sf_dir).withColumnRenamed("keyword_match_pct", "score")
-    return report.placed(g, *enrich.by_quality(g), F.col("page_id"))
+#: The name that the query had while quality_order gave the first hundred only.
+QUERIES["quality_order_whole"], ORACLE_SQL["quality_order_whole"] = quality_order, ORACLE_SQL["quality_order"]
 
 
 # Result pages and engines.
@@ -473,10 +468,10 @@ def _english(t: str, d: str) -> str:
     return f"(NOT {_foreign(t)} >= 0.30 AND NOT (coalesce(length({d}), 0) > 50 AND ({_foreign(d)} >= 0.25 OR {sql.any_of(f'lower({d})', sql.fixed.LOCALE_MARKS)})))"
 
 
-@query(f"WITH t AS (SELECT doc_id, substr(text, 1, 12) AS title, substr(text, 13, 80) || CASE WHEN doc_id % 7 = 0 THEN '/de/' ELSE '' END AS d FROM documents) SELECT doc_id, {_english('title', 'd')}::INTEGER AS english FROM t")
+@query(f"WITH {sql.RAW} SELECT position, {_english('title', 'snippet')}::INTEGER AS english FROM raw")
 def english_filter(spark, sf_dir):
-    d = inputs.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("title"), F.concat(F.substring("text", 13, 80), F.when(F.col("doc_id") % 7 == 0, "/de/").otherwise("")).alias("d"))
-    return d.select("doc_id", urls.is_english(F.col("title"), F.col("d")).cast("int").alias("english"))
+    """Titles and snippets of results, as they are; english_filter_whole judges documents."""
+    return inputs.raw_results(spark, sf_dir).select("position", urls.is_english(F.col("title"), F.col("snippet")).cast("int").alias("english"))
 
 
 @query(f"WITH s AS (SELECT doc_id, text, split_part(text, '.', 1) AS title FROM documents), t AS (SELECT doc_id, title, substr(text, length(title) + 1) || CASE WHEN doc_id % 7 = 0 THEN '/de/' ELSE '' END AS d FROM s) SELECT doc_id, {_english('title', 'd')}::INTEGER AS english FROM t")
@@ -504,10 +499,10 @@ def page_health(spark, sf_dir):
     return _health_pages(spark, sf_dir).select("page_id", F.array_join(diagnose.page_health(F.col("status"), F.col("html"), F.col("engine")), "|").alias("health"))
 
 
-@query(f"WITH {HEALTH_SQL}, t AS (SELECT page_id, engine, substr(html, 1, (page_id % 20 * 100)::INTEGER) AS t FROM hp) SELECT page_id, (CASE engine WHEN 'mojeek' THEN length(t) < 300 WHEN 'duckduckgo' THEN length(t) < 1000 OR contains(lower(t), 'captcha') ELSE length(t) < 300 OR contains(lower(t), 'captcha') END)::INTEGER AS blocked FROM t")
+@query(f"WITH {HEALTH_SQL} SELECT page_id, (CASE engine WHEN 'mojeek' THEN length(html) < 300 WHEN 'duckduckgo' THEN length(html) < 1000 OR contains(lower(html), 'captcha') ELSE length(html) < 300 OR contains(lower(html), 'captcha') END)::INTEGER AS blocked FROM hp")
 def page_blocks(spark, sf_dir):
-    t = F.substring(F.col("html"), F.lit(1), (F.col("page_id") % 20 * 100).cast("int"))
-    return _health_pages(spark, sf_dir).select("page_id", diagnose.blocked(F.col("engine"), t).cast("int").alias("blocked"))
+    """Whole pages; page_blocks_whole has short ones besides."""
+    return _health_pages(spark, sf_dir).select("page_id", diagnose.blocked(F.col("engine"), F.col("html")).cast("int").alias("blocked"))
 
 
 @query(f"WITH {HEALTH_SQL}, t AS (SELECT page_id, 0 AS variant, engine, html AS t FROM hp UNION ALL SELECT page_id, 1, engine, substr(html, 1, (page_id % 20 * 100)::INTEGER) FROM hp WHERE page_id % 10 < 3) SELECT page_id, variant, (CASE engine WHEN 'mojeek' THEN length(t) < 300 WHEN 'duckduckgo' THEN length(t) < 1000 OR contains(lower(t), 'captcha') ELSE length(t) < 300 OR contains(lower(t), 'captcha') END)::INTEGER AS blocked FROM t")
@@ -595,25 +590,84 @@ def _result_pages(spark, sf_dir) -> DataFrame:
     return page.withColumn("html", F.concat(F.lit("<html><body><table>"), "rows", F.lit("</table><p>"), F.repeat(F.lit("text "), 400), F.lit("</p><a rel='next' href='/next'>Next</a></body></html>"))).withColumn("http_status", F.lit(200))
 
 
-@query()
+def _clean_title(t: str) -> str:
+    return rf"trim(string_split_regex(regexp_replace(trim(regexp_replace({t}, 'https?://\S.*$', '')), '\s{{2,}}', ' ', 'g'), '\s+[›»]\s+')[1])"
+
+
+#: Result pages and the rows in them: `shown` has each row's place in its page, `res` the results that remain of it.
+SHOWN_SQL = f"""{REDIRECTS_SQL}, shown AS (SELECT r.engine, r.query_idx + {len(QUERY_TEXTS)} * (r.position // 600) AS query_idx, r.query, r.page_no, r.position AS spot, r.url, r.title, r.snippet, h.ru, h.uddg, h.u,
+  {sql.domain('r.url')} AS domain, row_number() OVER (PARTITION BY r.engine, r.query_idx, r.position // 600, r.page_no ORDER BY r.position)::INTEGER - 1 AS position FROM raw r JOIN h ON h.position = r.position)"""
+RESULTS_SQL = f"""{SHOWN_SQL}, placed AS (SELECT * EXCLUDE (title, snippet), CASE engine WHEN 'yahoo' THEN {_clean_title(f"trim({sql.entities('title')})")} ELSE trim({sql.entities('title')}) END AS title, trim({sql.entities('snippet')}) AS snippet,
+  row_number() OVER (PARTITION BY engine, query_idx, page_no, CASE engine WHEN 'duckduckgo' THEN url WHEN 'bing' THEN position::VARCHAR ELSE domain END ORDER BY position) AS place FROM shown),
+res AS (SELECT engine, query_idx, query, page_no, position, url, title, snippet, domain, '/next' AS next_url FROM placed WHERE place = 1)"""
+_put = lambda *parts: " || ".join(x if k % 2 else sql.q(x) for k, x in enumerate(parts))
+PAGE_ROWS_SQL = (
+    "CASE engine WHEN 'mojeek' THEN " + _put("<li><a class='ob' href='", "url", "'>go</a><h2>", "title", "</h2><p class='s'>", "snippet", "</p></li>")
+    + " WHEN 'duckduckgo' THEN " + _put("<tr><td><a class='result-link' href='", "uddg", "'>", "title", "</a></td></tr><tr><td class='result-snippet'>", "snippet", "</td></tr>")
+    + " WHEN 'yahoo' THEN " + _put("<li><div class='compTitle'><h3><a href='", "ru", "'>", "title", "</a></h3></div><div class='compText'>", "snippet", "</div></li>")
+    + " ELSE " + _put("<li class='b_algo'><h2><a href='", "u", "'>", "title", "</a></h2><p>", "snippet", "</p></li>") + " END"
+)
+PAGE_END = sql.q("</table><p>" + "text " * 400 + "</p><a rel='next' href='/next'>Next</a></body></html>")
+RESULT_PAGES_SQL = f"""{RESULTS_SQL}, rp AS (SELECT engine, query_idx, page_no, '<html><body><table>' || string_agg({PAGE_ROWS_SQL}, '' ORDER BY spot) || {PAGE_END} AS html FROM shown GROUP BY ALL)"""
+
+
+@query(f"WITH {RESULTS_SQL} SELECT * FROM res")
 def serp_extract(spark, sf_dir):
     return serp.extract_results(_result_pages(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {SHOWN_SQL} SELECT engine, query_idx, page_no, position, CASE engine WHEN 'mojeek' THEN url WHEN 'duckduckgo' THEN uddg WHEN 'yahoo' THEN ru ELSE u END AS href, trim({sql.entities('title')}) AS title FROM shown")
 def serp_table_function(spark, sf_dir):
     spark.udtf.register("result_rows", serp.result_rows())
     _result_pages(spark, sf_dir).createOrReplaceTempView("result_pages")
     return spark.sql("SELECT p.engine, p.query_idx, p.page_no, r.position, r.href, r.title FROM result_pages p, LATERAL result_rows(p.engine, p.html) r")
 
 
-@query()
+#: The reports of engine_diagnostics in SQL, over `rp` and `res`.
+REPORTS_SQL = f"""{RESULT_PAGES_SQL},
+n AS (SELECT e.engine, count(r.engine) AS n FROM (SELECT DISTINCT engine FROM rp) e LEFT JOIN res r ON r.engine = e.engine GROUP BY 1),
+eng AS (SELECT engine, n, CASE WHEN n >= CASE engine WHEN 'yahoo' THEN 7 WHEN 'bing' THEN 5 ELSE 10 END THEN 'OK' WHEN n > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS health FROM n),
+ranked AS (SELECT *, {sql.rank('engine')} AS k, min({sql.rank('engine')}) OVER (PARTITION BY domain) AS k0 FROM res),
+cov AS (SELECT engine, count(*) AS urls, count(*) FILTER (WHERE k = k0 AND domain <> '') AS new_domains FROM ranked GROUP BY 1),
+mark AS (SELECT engine, {", ".join(f"sum(len(regexp_extract_all(html, {sql.q(p)})))::BIGINT AS {k}" for k, p in diagnose.MARKERS.items())} FROM rp GROUP BY 1)"""
+
+
+@query(f"WITH {REPORTS_SQL} SELECT * FROM eng LEFT JOIN cov USING (engine) JOIN mark USING (engine)")
 def engine_diagnostics(spark, sf_dir):
     pages = _result_pages(spark, sf_dir)
     found = diagnose.engine_diagnostics(pages, serp.extract_results(pages), ENGINES)
     return found["engines"].join(found["coverage"], "engine", "left").join(found["markers"], "engine")
 
 
+def _lines(report: str, engine: str, item: str, value: str) -> str:
+    return f"'{report}' AS report, {engine} AS engine, {item} AS item, {value} AS value"
+
+
+@query(
+    f"WITH {REPORTS_SQL}, u AS (SELECT engine, url, min(position) AS position FROM res GROUP BY 1, 2), su AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY position, url) AS place FROM u), "
+    f"p AS (SELECT DISTINCT engine, query_idx, page_no, domain FROM res WHERE domain <> ''), l AS (SELECT p.*, EXISTS (SELECT 1 FROM p x WHERE x.engine = p.engine AND x.query_idx = p.query_idx AND x.domain = p.domain AND x.page_no = 1) AS k FROM p WHERE page_no > 1) "
+    f"SELECT {_lines('health', 'engine', 'concat_ws(chr(47), query_idx, page_no)', "CASE WHEN length(html) < 5000 AND engine <> 'bing' THEN 'short' ELSE '' END")} FROM rp "
+    f"UNION ALL SELECT {_lines('engines', 'engine', 'health', 'n::VARCHAR')} FROM eng UNION ALL SELECT {_lines('coverage', 'engine', sql.q("urls/new_domains"), 'concat_ws(chr(47), urls, new_domains)')} FROM cov "
+    f"UNION ALL SELECT {_lines('yield', chr(39) * 2, sql.q("low/high"), 'concat_ws(chr(47), (sum(new_domains) * 4)::BIGINT, (sum(new_domains) * 6)::BIGINT)')} FROM cov "
+    f"UNION ALL SELECT {_lines('samples', 'engine', 'place::VARCHAR', 'url')} FROM su WHERE place <= 5 "
+    f"UNION ALL SELECT {_lines('loops', 'engine', 'concat_ws(chr(47), query_idx, page_no)', 'bool_and(k)::VARCHAR')} FROM l GROUP BY engine, query_idx, page_no "
+    f"UNION ALL SELECT {_lines('rejected', 'engine', 'query_idx::VARCHAR', '(count(*) FILTER (WHERE ' + _english('title', 'snippet') + ') = 0)::VARCHAR')} FROM res WHERE page_no = 1 GROUP BY engine, query_idx "
+    + "".join(f"UNION ALL SELECT {_lines('markers', 'engine', sql.q(k), k + '::VARCHAR')} FROM mark " for k in diagnose.MARKERS)
+)
+def engine_reports(spark, sf_dir):
+    """Every report on result pages, a line for each value."""
+    pages = _result_pages(spark, sf_dir)
+    found = diagnose.engine_diagnostics(pages, serp.extract_results(pages), ENGINES)
+    spot, pair = F.concat_ws("/", "query_idx", "page_no"), lambda a, b: F.concat_ws("/", a, b)
+    parts = [
+        ("health", F.col("engine"), spot, F.array_join("labels", ",")), ("engines", F.col("engine"), F.col("health"), F.col("n")), ("coverage", F.col("engine"), F.lit("urls/new_domains"), pair("urls", "new_domains")),
+        ("yield", F.lit(""), F.lit("low/high"), pair("low", "high")), ("samples", F.col("engine"), F.col("place"), F.col("url")), ("loops", F.col("engine"), spot, F.col("loops")), ("rejected", F.col("engine"), F.col("query_idx"), F.col("all_rejected")),
+        *(("markers", F.col("engine"), F.lit(k), F.col(k)) for k in diagnose.MARKERS),
+    ]
+    out = [found[r].select(F.lit(r).alias("report"), e.alias("engine"), i.cast("string").alias("item"), v.cast("string").alias("value")) for r, e, i, v in parts]
+    return reduce(DataFrame.unionByName, out)
+
+
 # Streams.
 
 
@@ -632,19 +686,20 @@ def _collected(stream: DataFrame, spark, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-@query()
+@query(f"WITH {sql.RAW}, {sql.cleaned('raw')} SELECT DISTINCT domain FROM x")
 def stream_dedupe(spark, sf_dir):
     return _collected(incremental.dedupe_stream(_arrivals(spark, sf_dir, "arrivals"), TEST_CONFIG).select("domain"), spark, "deduped")
 
 
-@query()
+@query(f"WITH {sql.RAW}, {sql.cleaned('raw')} SELECT domain, company_name, {sql.visit_key('website_url')} AS site FROM leads")
 def stream_upsert(spark, sf_dir):
     path, mark = shared_path(spark, "leads"), shared_path(spark, "leads-mark")
     incremental.upsert_stream(_arrivals(spark, sf_dir, "arrivals"), path, mark, TEST_CONFIG).awaitTermination()
-    return spark.read.parquet(f"{path}/batch=*").select("domain", "company_name", "website_url")
+    # which of a domain's addresses is its website depends on what arrived first; the site is the same
+    return spark.read.parquet(f"{path}/batch=*").select("domain", "company_name", enrich.visit_key(F.col("website_url")).alias("site"))
 
 
-@query()
+@query(f"WITH {sql.RAW}, {sql.cleaned('raw')}, {sql.FACTS}, m AS (SELECT l.domain, f.body, {sql.keyword_match('f.body', 'l.search_query')} AS match FROM leads l JOIN facts f ON f.page_key = {sql.visit_key('l.website_url')}) SELECT domain, {sql.grade('match', *[sql.matches('body', p) for p in sql.SIGNALS.values()], sql.noise('body'))} AS lead_quality, match AS keyword_match_pct FROM m")
 def stream_grade(spark, sf_dir):
     pages = inputs.site_pages(spark, sf_dir)
     path = shared_path(spark, "pages")
@@ -653,7 +708,7 @@ def stream_grade(spark, sf_dir):
     return _collected(graded.select("domain", "lead_quality", "keyword_match_pct"), spark, "graded")
 
 
-@query()
+@query(f"WITH {sql.RAW} SELECT engine, count(*) AS n FROM raw GROUP BY 1")
 def stream_counts(spark, sf_dir):
     path = shared_path(spark, "counts")
 
