@@ -10,6 +10,7 @@ from leadloom.config import LeadConfig
 from leadloom.functions.entities import decode_entities, let
 from leadloom.functions.urls import contains_any
 
+# Patterns.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 WHOLE_EMAIL = r"^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$"
 CODED = [r"/cdn-cgi/l/email-protection#([a-f0-9]+)", r'data-cfemail="([a-f0-9]+)"']
@@ -49,9 +50,10 @@ def valid_phones(raw: Column) -> Column:
     """Of an array of candidates the valid ones, the first of those with equal digits: no decimal point, no three zeros in a row, 7 to 15 digits."""
     pairs = F.transform(raw, lambda r: F.struct(F.trim(r).alias("raw"), F.regexp_replace(r, "[^0-9]", "").alias("digits")))
     good = F.filter(pairs, lambda p: ~p["raw"].rlike(r"\.[0-9]") & ~p["digits"].contains("000") & F.length(p["digits"]).between(7, 15))
-    none = F.slice(F.array(F.struct(F.lit("").alias("raw"), F.lit("").alias("digits"))), 1, 0)
-    add = lambda kept, p: F.when(F.exists(kept, lambda q: q["digits"] == p["digits"]), kept).otherwise(F.concat(kept, F.array(p)))
-    return F.transform(F.aggregate(good, none, add), lambda p: p["raw"])
+    # the first of equal digits: next to each other in order of digits and place, then back in order of place
+    placed = F.array_sort(F.transform(good, lambda p, i: F.struct(p["digits"].alias("digits"), i.alias("place"), p["raw"].alias("raw"))))
+    first = let(placed, lambda all_: F.filter(all_, lambda p, i: (i == 0) | (p["digits"] != F.get(all_, i - 1)["digits"])))
+    return F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["place"].alias("place"), p["raw"].alias("raw")))), lambda p: p["raw"])
 
 
 def phones(html: Column) -> Column:

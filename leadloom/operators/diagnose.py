@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from leadloom.config import ENOUGH_RESULTS
 from leadloom.functions.urls import is_english
-from leadloom.operators.lookup import engine_rank
+from leadloom.operators.lookup import engine_rank, running
 
+# Patterns and limits.
 #: Patterns that count what a layout's results look like.
 MARKERS = {
     "b_algo": r'<li[^>]*class="[^"]*\bb_algo\b',
@@ -84,22 +85,29 @@ def all_rejected(results: DataFrame) -> DataFrame:
     return results.filter("page_no = 1").groupBy("engine", "query_idx").agg((F.count_if(ok) == 0).alias("all_rejected"))
 
 
+#: Attempts that one task orders.
+BUCKET_ATTEMPTS = 100_000
+
+
+def _runs(log: DataFrame) -> DataFrame:
+    """log with _group: how many other statuses an engine has had before, which is the same for all 429 in a row."""
+    return running(log, ["engine"], [F.col("attempt")], F.floor(F.col("attempt") / BUCKET_ATTEMPTS), (F.col("http_status") != 429).cast("int"), "_group")
+
+
 def ban_runs(log: DataFrame, least: int = 3) -> DataFrame:
     """engine, run_start, run_length of each run of `least` statuses 429 or more in a row, by attempt."""
-    order = Window.partitionBy("engine").orderBy("attempt")
-    runs = log.withColumn("_group", F.sum((F.col("http_status") != 429).cast("int")).over(order)).filter("http_status = 429")
+    runs = _runs(log).filter("http_status = 429")
     return runs.groupBy("engine", "_group").agg(F.min("attempt").alias("run_start"), F.count("*").alias("run_length")).filter(F.col("run_length") >= least).drop("_group")
 
 
 def until_ban(log: DataFrame, least: int = 3) -> DataFrame:
     """Attempts up to the end of the query in which an engine's ban falls."""
-    order = Window.partitionBy("engine").orderBy("attempt")
-    group = F.sum((F.col("http_status") != 429).cast("int")).over(order)
-    marked = log.withColumn("_group", group)
-    inside = Window.partitionBy("engine", "_group").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.count_if(F.col("http_status") == 429).over(inside) >= least
-    first = F.min(F.when(hit & (F.col("http_status") == 429), F.col("query_idx"))).over(Window.partitionBy("engine"))
-    return marked.withColumn("_ban", first).filter("_ban is null or query_idx <= _ban").drop("_group", "_ban")
+    refused = running(_runs(log).filter("http_status = 429"), ["engine"], [F.col("attempt")], F.floor(F.col("attempt") / BUCKET_ATTEMPTS), F.lit(1), "_place")
+    runs = refused.groupBy("engine", "_group").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    # the attempt by which a run is long enough, by its place among the engine's refusals: one row a run
+    last = refused.join(runs.select("engine", (F.col("_first") + least - 1).alias("_place")), ["engine", "_place"])
+    ban = last.groupBy("engine").agg(F.min("query_idx").alias("_ban"))
+    return log.join(ban, "engine", "left").filter("_ban is null or query_idx <= _ban").drop("_ban")
 
 
 def until_failure(log: DataFrame) -> DataFrame:

@@ -54,5 +54,19 @@ def merge_later_wins(earlier: DataFrame, later: DataFrame, key: str) -> DataFram
 
 
 def engine_rank(engine: Column, engines: list[str]) -> Column:
-    """The place of an engine in the list, from 1; 0 if it isn't there."""
-    return F.array_position(F.array(*map(F.lit, engines)), engine).cast("int")
+    """The place of an engine in the list, from 1; one that isn't there comes after all others."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, engines)), engine).cast("int"), F.lit(0)), F.lit(len(engines) + 1))
+
+
+def running(df: DataFrame, group: list[str], order: list[Column], bucket: Column, value: Column, name: str) -> DataFrame:
+    """df with the sum of value over all rows of its group up to this one, in an order that tells rows apart.
+
+    bucket is a number or time that grows with the order: sums inside buckets run apart, and only one row a bucket meets in
+    the window over a whole group, so that a few long groups don't make a few long tasks.
+    """
+    rows, keys = df.withColumn("_bucket", bucket), [*group, "_bucket"]
+    sums = rows.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, inside).join(before, keys).withColumn(name, F.col(name) + F.col("_before")).drop("_bucket", "_before")

@@ -47,6 +47,16 @@ def engine_tag(leads: DataFrame) -> DataFrame:
     return leads.agg(F.array_join(F.transform(F.filter(engines, lambda e: e != ""), shorten), "_").alias("engine_tag"))
 
 
+def output_name(leads: DataFrame, day: Column, at: Column) -> DataFrame:
+    """The name under which a run's leads are written: the day and its engines in short, or without any the time."""
+    short = {v: k for k, v in ENGINE_ALIASES.items()}
+    engines = F.array_sort(F.collect_set(F.lower(F.trim("search_engine"))))
+    shorten = lambda e: F.coalesce(*[F.when(e == k, F.lit(v)) for k, v in short.items()], e)
+    tag = F.array_join(F.transform(F.filter(engines, lambda e: e != ""), shorten), "-")
+    stem = leads.agg(tag.alias("tag")).select(F.concat_ws("_", F.lit("leads"), F.date_format(day, "yyyy-MM-dd"), F.coalesce(F.nullif("tag", F.lit("")), F.date_format(at, "HH-mm"))).alias("output_name"))
+    return stem
+
+
 def contact_rates(targets: DataFrame, contacts: DataFrame) -> DataFrame:
     """Targets, those with any contact, an email, a phone, none, and rounded shares (null without targets)."""
     out = targets.select("key").join(contacts.select("key", "email", "phone"), "key", "left").agg(

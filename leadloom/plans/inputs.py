@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadloom.config import DIRECTORY_DOMAINS, ALWAYS_EXCLUDED, EXCLUDED_DOMAINS, ENGINES, LeadConfig
 from leadloom.functions import urls
+from leadloom.operators.lookup import running
 
 QUERY_TEXTS = ["attion thanedble eriner suppliers", "within thnterble atst heenwh that firms", "onwh bleenat ster nicht services"]
 TEST_CONFIG = LeadConfig(
@@ -93,5 +94,5 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", 429).when((F.col("event_type") == "purchase") & (F.col("user_id") % 7 == 0), 500).otherwise(200)
     log = e.select(_pick(ENGINES, F.col("event_id") % 4).alias("engine"), "event_id", "ts", status.alias("http_status"))
-    attempt = F.row_number().over(Window.partitionBy("engine").orderBy("ts", "event_id"))
-    return log.select("engine", F.floor((attempt - 1) / 10).alias("query_idx"), attempt.alias("attempt"), "http_status")
+    log = running(log, ["engine"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), F.lit(1), "attempt")
+    return log.select("engine", F.floor((F.col("attempt") - 1) / 10).alias("query_idx"), F.col("attempt").cast("int").alias("attempt"), "http_status")

@@ -453,6 +453,23 @@ def redirect_unwrap(spark, sf_dir):
     return out.select("position", "from_ru", "from_uddg", "from_u", (F.col("from_ru") == F.col("url")).alias("same"))
 
 
+@query(
+    f"WITH {REDIRECTS_SQL} SELECT position, CASE position % 4 WHEN 0 THEN url WHEN 1 THEN '' WHEN 2 THEN url_encode(url) ELSE url END AS from_ru, "
+    "CASE position % 4 WHEN 0 THEN '//duckduckgo.com/y.js?ad=1' ELSE url END AS from_uddg, "
+    "CASE position % 4 WHEN 0 THEN url WHEN 1 THEN '' WHEN 2 THEN '' ELSE url END AS from_u FROM h"
+)
+def redirect_others(spark, sf_dir):
+    """Addresses without a wrapper or without its part, coded twice, or with a broken code; every fourth is plain."""
+    i, u = F.col("position") % 4, F.col("url")
+    twice = F.url_encode(F.url_encode(u))
+    h = _redirects(spark, sf_dir).select(
+        "position", F.when(i == 0, F.col("ru")).when(i == 1, "https://r.search.yahoo.com/none").when(i == 2, F.concat(F.lit("https://r.search.yahoo.com/RU="), twice, F.lit("/RK=2"))).otherwise(u).alias("ru"),
+        F.when(i == 0, "//duckduckgo.com/y.js?ad=1").when(i == 1, F.col("uddg")).when(i == 2, F.concat(F.lit("https://duckduckgo.com/l/?uddg="), twice)).otherwise(u).alias("uddg"),
+        F.when(i == 0, F.col("u")).when(i == 1, "https://www.bing.com/ck/a?!&&p=1&ntb=1").when(i == 2, "https://www.bing.com/ck/a?!&&u=a1@@@&ntb=1").otherwise(u).alias("u"),
+    )
+    return h.select("position", urls.unwrap_ru(F.col("ru")).alias("from_ru"), urls.unwrap_uddg(F.col("uddg")).alias("from_uddg"), urls.unwrap_u(F.col("u")).alias("from_u"))
+
+
 @query(rf"WITH {sql.RAW}, t AS (SELECT position, title || CASE position % 3 WHEN 0 THEN '   https://a.example/x y' WHEN 1 THEN ' › ' || engine ELSE '' END AS t FROM raw) SELECT position, trim(string_split_regex(regexp_replace(trim(regexp_replace(t, 'https?://\S.*$', '')), '\s{{2,}}', ' ', 'g'), '\s+[›»]\s+')[1]) AS title FROM t")
 def title_clean(spark, sf_dir):
     i = F.col("position")
@@ -668,6 +685,86 @@ def engine_reports(spark, sf_dir):
     return reduce(DataFrame.unionByName, out)
 
 
+# Files, written below the shared folder and read back.
+
+LINE_SQL = "trim(regexp_replace(text, '[\\s\"\\\\]+', ' ', 'g'))"
+
+
+@query(
+    f"WITH u AS (SELECT 1 AS source, item_id AS p, {LINE_SQL} AS query FROM benchmark UNION ALL SELECT 2, conv_id * 1000 + turn, {LINE_SQL} FROM conversations UNION ALL SELECT 3, 0, 'roof repairs'), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY source, p) AS place FROM u WHERE query <> '' AND NOT starts_with(query, '#')) SELECT query, source::INTEGER AS source FROM f WHERE place = 1"
+)
+def query_files(spark, sf_dir):
+    """Queries from a text file, a CSV column and a literal, each once, at its first source."""
+    line = F.trim(F.regexp_replace("text", r'[\s"\\]+', " "))
+    lines, table = shared_path(spark, "queries"), shared_path(spark, "query-table")
+    inputs.table(spark, sf_dir, "benchmark").select(line.alias("value")).write.text(lines)
+    inputs.table(spark, sf_dir, "conversations").select("conv_id", line.alias("question")).write.csv(table, header=True)
+    sources = [query_sources.from_text(spark, lines), query_sources.from_csv(spark, table, "question"), query_sources.literal(spark, " roof repairs ")]
+    return query_sources.union_in_order(*sources).select("query", (F.col("position.source") + 1).alias("source"))
+
+
+@query(f"WITH {sql.RAW}, {sql.cleaned('raw')} SELECT lower(company_name) AS key, company_name AS name, website_url AS website, search_query, search_engine, flagged::INTEGER AS flagged FROM leads")
+def lead_files_newest(spark, sf_dir):
+    """Leads written twice, in part and whole; the files that are newer are read by the roles of their headers."""
+    paths = [shared_path(spark, "leads-part"), shared_path(spark, "leads-whole")]
+    found = _leads(spark, sf_dir)
+    lead_files.write_leads(found.filter("score < 0"), paths[0])
+    lead_files.write_leads(found, paths[1])
+    newest = lead_files.newest(spark, paths).rsplit("/", 1)[0]
+    table = spark.read.csv(newest, header=True)
+    targets, _ = lead_files.read_leads(spark, newest)
+    engine = table.select(F.lower(F.trim("Company Name")).alias("key"), F.col("Website URL").alias("website"), F.col("Search Engine").alias("search_engine"))
+    return targets.join(engine, ["key", "website"]).select("key", "name", "website", "search_query", "search_engine", F.col("flagged").cast("int").alias("flagged"))
+
+
+@query(f"WITH {sql.RAW}, {sql.cleaned('raw')} SELECT count(*) FILTER (WHERE flagged AND flag_reason = 'pattern') AS skipped FROM leads")
+def lead_files_skipped(spark, sf_dir):
+    """How many rows of a lead file are left out, with pattern flags written as those of directories."""
+    path = shared_path(spark, "leads-flagged")
+    reason = F.when(F.col("flag_reason") == "pattern", "directory").otherwise(F.col("flag_reason"))
+    lead_files.write_leads(_leads(spark, sf_dir).withColumn("flag_reason", reason), path)
+    return lead_files.read_leads(spark, path)[1]
+
+
+@query(f"WITH {sql.GRADED} SELECT lower(name) AS key, name, website, email, phone, lead_quality, keyword_match_pct FROM enriched")
+def contact_files(spark, sf_dir):
+    """Contacts written under display headers and read again."""
+    path = shared_path(spark, "contacts")
+    lead_files.write_contacts(enrich_leads(spark, sf_dir), path)
+    return lead_files.read_contacts(spark, path).select("key", "name", "website", "email", "phone", "lead_quality", "keyword_match_pct")
+
+
+@query(f"WITH {ALL_QUERIES_SQL}, {DONE_SQL} SELECT item_id, engine FROM q WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.engine = q.engine AND d.query = q.query)")
+def resumed_queries(spark, sf_dir):
+    """What remains after the latest progress that can be read: of three versions the last was broken off."""
+    path, done = shared_path(spark, "progress"), _done(spark, sf_dir).select("engine", "query")
+    incremental.save_progress(done.filter("engine = 'mojeek'"), path, "1")
+    incremental.save_progress(done, path, "2")
+    return incremental.pending(_searches(spark, sf_dir), incremental.load_progress(spark, path, ["1", "2", "3"])).select("item_id", "engine")
+
+
+@query(f"WITH {ALL_QUERIES_SQL} SELECT item_id, engine FROM q")
+def fresh_queries(spark, sf_dir):
+    """A fresh start: no progress was ever saved."""
+    return incremental.pending(_searches(spark, sf_dir), incremental.load_progress(spark, shared_path(spark, "no-progress"), ["1"])).select("item_id", "engine")
+
+
+@query(f"WITH {sql.GRADED} SELECT key, 'old@' || key AS email, nullif(phone, '') AS phone, NULL AS lead_quality FROM targets WHERE input_pos % 2 = 0 UNION ALL SELECT e.key, e.email, e.phone, e.lead_quality FROM enriched e JOIN targets t ON t.key = e.key WHERE t.input_pos % 2 <> 0")
+def enrich_the_rest(spark, sf_dir):
+    """Enrichment with earlier contacts: only the other targets are looked at, and both come back."""
+    t = inputs.targets(spark, sf_dir)
+    earlier = t.filter("input_pos % 2 = 0").select("key", F.concat(F.lit("old@"), "key").alias("email"), F.nullif("phone", F.lit("")).alias("phone"))
+    return enrich.enrich(t, inputs.site_pages(spark, sf_dir), TEST_CONFIG, earlier).select("key", "email", "phone", "lead_quality")
+
+
+@query(f"WITH {sql.RAW}, {sql.cleaned('raw')}, t AS (SELECT list_sort(list(DISTINCT search_engine)) AS e FROM leads) SELECT 'leads_2024-05-06_' || array_to_string(list_transform(e, lambda x: CASE WHEN x = 'duckduckgo' THEN 'ddg' ELSE x END), '-') AS output_name FROM t UNION ALL SELECT 'leads_2024-05-06_07-08'")
+def output_name(spark, sf_dir):
+    """The name of a run's output, and of one without engines."""
+    found, day = _leads(spark, sf_dir), F.to_timestamp(F.lit("2024-05-06 07:08:09"))
+    return report.output_name(found, day, day).unionByName(report.output_name(found.filter("false"), day, day))
+
+
 # Streams.
 
 

@@ -11,9 +11,11 @@ _OWN: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary folder serves."""
+    """A new path below spark.checkpoint.dir. Only where that is unset on a local master, as in tests, a temporary folder serves."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="leadloom-"))
         root = _OWN[0]

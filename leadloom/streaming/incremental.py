@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,8 +35,8 @@ def upsert_stream(raw: DataFrame, path: str, checkpoint: str, config: LeadConfig
         spark = rows.sparkSession
         try:
             seen = spark.read.parquet(f"{path}/batch=*").filter(F.col("batch_id") < number).select("domain")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             seen = None
         clean_results(rows, config, seen).withColumn("batch_id", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -65,8 +66,8 @@ def load_progress(spark: SparkSession, path: str, runs: list[str]) -> DataFrame
     for run in sorted(runs, reverse=True):
         try:
             return spark.read.parquet(f"{path}/run={run}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
     return None
 
