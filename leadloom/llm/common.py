@@ -21,27 +21,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: its lineage ends there, and lost executors lose none of it."""
+    """df, written as a table in the shared folder and read again: its lineage ends there, and lost executors lose none of it.
+
+    A table with a key once is written before rows with hot keys are joined with it: the join's inputs are then plain
+    shuffles, whose large partitions adaptive execution splits, and a small table is broadcast up to Spark's own bound.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: The most keys of a join whose rows aren't shuffled.
-MOST_HOT = 2_000
-
-
-def spread_join(rows: DataFrame, table: DataFrame, on: str, count: str, total: int) -> DataFrame:
-    """rows.join(table, on), where table has a key once and its column `count` says how many rows have it, of `total` in all at most.
-
-    Keys with more than one row in MOST_HOT, of which there are MOST_HOT at most, are broadcast with their columns, and their
-    rows stay where they are; the others are joined by shuffle, and none of them is large. Both tables are read twice.
-    """
-    hot = F.col(count) > F.lit(max(64, total // MOST_HOT))
-    few, rest = table.filter(hot), table.filter(~hot)
-    return rows.join(F.broadcast(few), on).unionByName(rows.join(F.broadcast(few.select(on)), on, "left_anti").join(rest, on))
-
-
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

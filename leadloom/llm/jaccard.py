@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import SpanHash, flat, mix64, saved, spread_join, steps, text_of
+from leadloom.llm.common import SpanHash, flat, mix64, saved, steps, text_of
 from leadloom.llm.components import components
 from leadloom.llm.exact_dedup import NULL_ID, _filtered
 
@@ -182,11 +182,10 @@ def _blocks():
     return F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks")
 
 
-def _dealt(rows: DataFrame, groups: DataFrame, mine: str, others: str, count: str, total: int) -> DataFrame:
-    """Rows, each in one of its group's `mine` by a hash and in all of its `others`. groups: grp, blocks, parts and the count of rows."""
-    dealt = spread_join(rows, groups.select("grp", count, "blocks", "parts"), "grp", count, total)
-    dealt = dealt.withColumn(mine, F.pmod(F.xxhash64("doc"), F.col(f"{mine}s")).cast("int"))
-    return dealt.withColumn(others, F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1))).drop("blocks", "parts", count)
+def _dealt(rows: DataFrame, groups: DataFrame, mine: str, others: str) -> DataFrame:
+    """Rows, each in one of its group's `mine` by a hash and in all of its `others`. groups: a table of grp, blocks, parts."""
+    dealt = rows.join(groups.select("grp", "blocks", "parts"), "grp").withColumn(mine, F.pmod(F.xxhash64("doc"), F.col(f"{mine}s")).cast("int"))
+    return dealt.withColumn(others, F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1))).drop("blocks", "parts")
 
 
 def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
@@ -210,34 +209,32 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     classes = saved(prefixes(texts, counts, width, percent), "sets")
     heads = classes.filter("signature is not null").groupBy("signature").agg(F.min(F.struct("doc", "n", "prefix")).alias("r")).select("r.*")
     postings = saved(heads.filter("size(prefix) > 0").select("doc", "n", F.explode("prefix").alias("token")), "postings")
-    total = postings.count()
     leads = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("times"))
-    leads = saved(leads.filter("times > 1"), "leads")
-    shared = saved(spread_join(postings, leads, "token", "times", total).drop("times"), "shared")
+    leads = saved(leads.filter("times > 1").drop("times"), "leads")
+    shared = saved(postings.join(leads, "token"), "shared")
     fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
     led = shared.filter(f"doc <> lead.doc and {fits}").groupBy("doc", F.col("lead.doc").alias("grp")).count().filter(f"count >= {SHARED}")
     home = saved(led.groupBy("doc").agg(F.min(F.struct((-F.col("count")).alias("fewer"), "grp")).alias("best")).select("doc", "best.grp"), "home")
     member = saved(shared.select("doc", "n").distinct().join(home, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")), "members")
     sizes = member.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum("n").alias("tokens"))
     sizes = saved(sizes.select("*", _blocks()), "sizes")
-    # sizes join members, not tokens: a large group's key has one row for each member here
-    grouped = saved(shared.select("token", "doc", "n").join(spread_join(member, sizes.select("grp", "members", "low", "high"), "grp", "members", total), ["doc", "n"]), "grouped")
+    grouped = saved(shared.select("token", "doc", "n").join(member.join(sizes.select("grp", "members", "low", "high"), "grp"), ["doc", "n"]), "grouped")
     matrix = grouped.groupBy("token", "grp").agg(*[F.max(c).alias(c) for c in ("members", "low", "high")])
     own = grouped.select("token", "doc", "n", F.col("grp").alias("of"), F.col("members").alias("beside"))
     asks = "grp <> of and (members > beside or members = beside and grp < of)"
     fits = f"100 * n >= {percent} * low and 100 * high >= {percent} * n"
     across = own.join(matrix, "token").filter(f"{asks} and {fits}").groupBy("doc", "grp").agg(F.count("*").alias("c"))
     across = saved(across.filter(f"c >= {SHARED}").select("doc", "grp"), "across")
-    asked = saved(across.groupBy("grp").agg(F.count("*").alias("queries")).join(sizes, "grp"), "asked")
+    asked = saved(across.select("grp").distinct(), "asked")
 
     # the sets of the documents that any group needs: leaders and those they lead, queries, and members of groups they open
-    opens = spread_join(member, asked.select("grp", "members"), "grp", "members", total)
+    opens = member.join(asked, "grp", "left_semi")
     wanted = saved(home.select("doc").union(home.select("grp")).union(across.select("doc")).union(opens.select("doc")).distinct(), "wanted")
     tokens = saved(_sets(_filtered(texts, wanted, "doc").join(wanted, "doc", "left_semi"), width), "tokens")
 
-    led = home.groupBy("grp").agg(F.lit(1).alias("one")).join(sizes, "grp")
+    led = saved(home.select("grp").distinct().join(sizes, "grp").select("grp", "blocks"), "led")
     leaders = led.select("grp", F.lit(0).alias("role"), F.col("grp").alias("doc"), F.lit(False).alias("linked"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(0).alias("block"))
-    followers = _dealt(home.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), led.select("grp", "members", F.lit(1).alias("blocks"), F.col("blocks").alias("parts")), "part", "block", "members", total)
+    followers = _dealt(home.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), led.select("grp", F.lit(1).alias("blocks"), F.col("blocks").alias("parts")), "part", "block")
     near = saved(_open(leaders.unionByName(followers).join(tokens, "doc"), percent).distinct(), "near")
 
     member = member.join(near.select(F.col("a").alias("doc"), F.lit(True).alias("linked")).distinct(), "doc", "left").withColumn("linked", F.coalesce("linked", F.col("doc") == F.col("grp")))
@@ -246,8 +243,8 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     asked = across.unionByName(inside)
     opened = asked.groupBy("grp").agg(F.count("*").alias("queries")).join(sizes, "grp").withColumn("parts", F.ceil(F.col("queries") / BLOCK_MEMBERS).cast("int"))
     opened = saved(opened, "opened")
-    queries = _dealt(asked.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), opened, "part", "block", "queries", opened.agg(F.sum("queries")).first()[0] or 0)
-    members = _dealt(member.select("grp", F.lit(0).alias("role"), "doc", "linked"), opened, "block", "part", "members", total)
+    queries = _dealt(asked.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), opened, "part", "block")
+    members = _dealt(member.select("grp", F.lit(0).alias("role"), "doc", "linked"), opened, "block", "part")
     return classes.drop("prefix"), near.unionByName(_open(members.unionByName(queries).join(tokens, "doc"), percent))
 
 
@@ -262,10 +259,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes, links = similar_links(docs, key, text, width, percent)
     reach = components(links)
     worded = classes.filter("signature is not null")
-    ids = worded.groupBy("signature").agg(F.min("doc").alias("node"), F.count("*").alias("copies"))
-    ids = saved(ids.join(reach, "node", "left").select("signature", "copies", F.coalesce("component", "node").alias("component")), "classes")
+    ids = worded.groupBy("signature").agg(F.min("doc").alias("node"))
+    ids = saved(ids.join(reach, "node", "left").select("signature", F.coalesce("component", "node").alias("component")), "classes")
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    out = spread_join(worded, ids, "signature", "copies", classes.count()).select("doc", "n", "component")
+    out = worded.join(ids, "signature").select("doc", "n", "component")
     out = out.unionByName(classes.filter("signature is null").select("doc", "n", F.col("doc").alias("component")))
     return out.select(null("doc").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"))
 
