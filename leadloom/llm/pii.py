@@ -23,11 +23,16 @@ DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(rb"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
-NUMERAL = re.compile(rb"[0-9]")
+NUMERAL, RUNS = re.compile(rb"[0-9]"), re.compile(rb"[0-9]+")
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
-#: Documents that the field is fitted on at most, passes over them, and the belief from which a token is reported.
-SAMPLE_DOCS, EPOCHS, BELIEF = 4_000, 30, 0.9
+#: Spelled-out signs of an address, with or without brackets around them.
+SIGN = re.compile(rb"[\[({<]?(at|dot)[\])}>]?", re.I)
+SPELLED = re.compile(rb"[\[({<](?:at|dot)[\])}>]|\x20dot\x20", re.I)
+#: Documents that the field is fitted on at most, their nodes at most, passes over them, and the belief from which a token is reported.
+SAMPLE_DOCS, SAMPLE_NODES, EPOCHS, BELIEF = 4_000, 400, 20, 0.9
+#: Weight of an unlabelled node that could be personal data in another form.
+DOUBT = 0.02
 #: Hash bins of the features, rounds of message passing.
 FEATURES, ROUNDS = 1 << 12, 8
 #: Label 0 is "none of them"; the others follow KINDS.
@@ -70,44 +75,99 @@ def base_spans(body: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def _written_otherwise(kind: int, raw: bytes, k: int) -> list[bytes]:
+    """A span in a form that its pattern misses, in the pieces that blanks part."""
+    digits = b"".join(NUMERAL.findall(raw))
+    if kind == 0:
+        local, _, domain = raw.partition(b"@")
+        return ([local, b"(at)", domain], [local, b"[at]", *domain.replace(b".", b" [dot] ").split()], [local, b"at", *domain.replace(b".", b" dot ").split()], [local + b"(at)" + domain])[k % 4]
+    if kind == 1:
+        return ([raw.replace(b".", b"[.]")], [raw.replace(b".", b"(.)")])[k % 2]
+    if kind == 2:
+        parts = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return ([b".".join(parts)], [b"_".join(parts)], [b"/".join(parts)])[k % 3]
+    end = digits[-10:]
+    return ([b"(" + end[:-7] + b")", end[-7:-4] + b"-" + end[-4:]], [b"-".join([end[:-7], end[-7:-4], end[-4:]])], [b".".join([end[:-7], end[-7:-4], end[-4:]])], raw.replace(b"+", b"").split())[k % 4]
+
+
+def perturbed(body: bytes, base: list[tuple[int, int, int]]) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """The text with its base spans written otherwise, and some of them again at its end, and where they are then: what the field learns from besides the text itself."""
+    out, spans, at = [], [], 0
+    last = -1
+    for kind, a, b in sorted(base, key=lambda x: x[1]):
+        if a < last:
+            continue
+        out.append(body[at:a])
+        new = b" ".join(_written_otherwise(kind, body[a:b], zlib.crc32(body[a:b])))
+        start = sum(map(len, out))
+        out.append(new)
+        spans.append((kind, start, start + len(new)))
+        if zlib.crc32(body[a:b]) % 3 == 0:  # as it was, later and without anything around it that tells
+            spans.append((kind, -len(new), b - a))
+        at = last = b
+    out.append(body[at:])
+    whole = b"".join(out)
+    found = []
+    for kind, a, b in spans:
+        if a < 0:
+            whole += b" " + new if (new := whole[found[-1][1] : found[-1][2]]) else b""
+            found.append((kind, len(whole) - len(new), len(whole)))
+        else:
+            found.append((kind, a, b))
+    return whole, found
+
+
 class Sequence:
     """The tokens of a document that could be personal data, and the edges between them.
 
-    Nodes are tokens with a numeral or an @. Chain edges join tokens next to each other; skip edges join a token to the
-    one before it that has the same numerals, or the same letters if it has no numerals. Edges grow with the tokens.
+    Nodes are tokens with a numeral or an @, and spelled-out signs of an address with the tokens beside them: those in
+    brackets, and a bare "at" that a "dot" follows. Chain edges join tokens next to each other; skip edges join a token
+    to the one before it that is the same or similar: with equal numerals, or the same last seven of them, or equal
+    letters. Edges grow with the tokens.
     """
 
     def __init__(self, body: bytes):
-        # only lines around candidates need tokens, but their neighbours matter, so all tokens are found
-        self.spans, self.words, place = [], [], []
-        before = b""
-        for k, m in enumerate(TOKEN.finditer(body)):
-            w = m.group()
-            if b"@" in w or NUMERAL.search(w):
-                self.spans.append((m.start(), m.end()))
-                self.words.append((before, w))
-                place.append(k)
-            before = w
+        spelled = SPELLED.search(body) is not None
+        tokens = [(m.start(), m.end()) for m in TOKEN.finditer(body)] if spelled or b"@" in body or NUMERAL.search(body) else []
+        words = [body[a:b] for a, b in tokens]
+        node = [bool(b"@" in w or NUMERAL.search(w)) for w in words]
+        if spelled:
+            sign = [m.group(1).lower() if (m := SIGN.fullmatch(w)) else None for w in words]
+            for k, w in enumerate(words):
+                if sign[k] and (not w.isalpha() or any(sign[j] and sign[j] != sign[k] for j in range(max(0, k - 4), min(len(words), k + 5)))):
+                    for j in range(max(0, k - 1), min(len(words), k + 2)):
+                        node[j] = True
+                elif SPELLED.search(w):
+                    node[k] = True
+        place = [k for k, x in enumerate(node) if x]
+        self.spans = [tokens[k] for k in place]
+        self.words = [(words[k - 1] if k else b"", words[k], words[k + 1] if k + 1 < len(words) else b"") for k in place]
         self.chain = [(i - 1, i) for i in range(1, len(place)) if place[i] == place[i - 1] + 1]
         last: dict[bytes, int] = {}
         self.skip = []
-        for i, (_, w) in enumerate(self.words):
-            key = b"".join(NUMERAL.findall(w)) or w.lower().strip(b".,;:!?#$%&*|()<>\"'")
+        for i, (_, w, _) in enumerate(self.words):
+            digits = b"".join(NUMERAL.findall(w))
+            key = digits[-7:] if digits else w.lower().strip(b".,;:!?#$%&*|()<>\"'")
+            if SIGN.fullmatch(w):
+                continue
             if key in last and place[last[key]] + 1 != place[i]:
                 self.skip.append((last[key], i))
             last[key] = i
 
     def features(self) -> list[list[int]]:
+        def shape(w: bytes) -> str:
+            return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "0", w[:40].decode("latin-1").lower())))
+
         out = []
-        for i, (before, w) in enumerate(self.words):
-            n = len(NUMERAL.findall(w))
+        for before, w, after in self.words:
+            digits = b"".join(NUMERAL.findall(w))
+            n = len(digits)
             own = [
                 f"n{min(n, 20)}", f"@{w.count(b'@')}", f".{min(w.count(b'.'), 4)}", f"-{min(w.count(b'-'), 3)}",
                 f"+{w[:1] == b'+'}", f"({b'(' in w}{b')' in w}", f"len{min(len(w) // 4, 12)}", f"abc{any(97 <= c | 32 <= 122 for c in w)}",
-                f"luhn{13 <= n <= 19 and luhn(bytes(NUMERAL.findall(w) and b''.join(NUMERAL.findall(w))))}",
-                "shape" + re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "0", w[:40].decode("latin-1").lower()))),
-                "before" + before[:20].decode("latin-1").lower(),
-                "beforeshape" + re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "0", before[:20].decode("latin-1").lower()))),
+                f"luhn{13 <= n <= 19 and luhn(digits)}", "shape" + shape(w), "runs" + "-".join(str(len(x)) for x in RUNS.findall(w)[:8]), "sign" + (w.lower().decode("latin-1") if SIGN.fullmatch(w) else ""),
+                "before" + before[:20].decode("latin-1").lower(), "beforeshape" + shape(before), "aftershape" + shape(after),
+                "signs" + "".join(str(int(SIGN.fullmatch(x) is not None)) for x in (before, after)),
             ]
             out.append([zlib.crc32(f.encode()) % FEATURES for f in own] + [FEATURES])
         return out
@@ -125,6 +185,16 @@ class Sequence:
         return out
 
 
+def weights(seq: Sequence, labels: np.ndarray) -> np.ndarray:
+    """How much each node counts when the field is fitted: unlabelled ones that could be what the patterns miss count little."""
+    many = [len(NUMERAL.findall(w)) for _, w, _ in seq.words]
+    beside = np.zeros(len(many), bool)
+    for i, j in seq.chain:
+        beside[[i, j]] |= many[i] >= 3 and many[j] >= 3
+    may = [n >= 7 or bool(SPELLED.search(w)) or any(SIGN.fullmatch(x) for x in (before, w, after)) or b"[.]" in w or b"(.)" in w for n, (before, w, after) in zip(many, seq.words, strict=True)]
+    return np.where((labels == 0) & (beside | np.array(may, bool)), DOUBT, 1.0)
+
+
 class SkipChainField:
     """Weights of features by label, and one potential table each for chain and skip edges."""
 
@@ -134,16 +204,17 @@ class SkipChainField:
         self.skip = np.zeros((LABELS, LABELS))
 
     def fit(self, docs: list[tuple], epochs: int = EPOCHS, rate: float = 0.2, shrink: float = 1e-4, seed: int = 3) -> SkipChainField:
-        """Pseudo-likelihood: each node given its neighbours' labels; AdaGrad steps. docs: (features, labels, chain, skip)."""
+        """Pseudo-likelihood: each node given its neighbours' labels; AdaGrad steps. docs: (features, labels, chain, skip, and weights if there are any)."""
         docs = [d for d in docs if len(d[1])]
         sums = [np.full_like(x, 1e-6) for x in (self.unary, self.chain, self.skip)]
         rng = np.random.default_rng(seed)
         for _ in range(epochs if docs else 0):
             for part in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 64)):
-                features, labels, chain, skip, base = [], [], [], [], 0
-                for f, y, c, s in (docs[i] for i in part):
+                features, labels, chain, skip, count, base = [], [], [], [], [], 0
+                for f, y, c, s, *w in (docs[i] for i in part):
                     features += f
                     labels.append(y)
+                    count.append(w[0] if w else np.ones(len(y)))
                     chain += [(a + base, b + base) for a, b in c]
                     skip += [(a + base, b + base) for a, b in s]
                     base += len(y)
@@ -156,7 +227,7 @@ class SkipChainField:
                 p = np.exp(energy - energy.max(1, keepdims=True))
                 slope = p / p.sum(1, keepdims=True)
                 slope[np.arange(len(y)), y] -= 1
-                slope /= len(part)
+                slope *= np.concatenate(count)[:, None] / len(part)
                 grads = [np.zeros_like(self.unary), np.zeros_like(self.chain), np.zeros_like(self.skip)]
                 np.add.at(grads[0], x.ravel(), np.repeat(slope, x.shape[1], 0))
                 for e, g in zip(edges, grads[1:], strict=True):
@@ -197,7 +268,8 @@ class SkipChainField:
 def plausible(kind: int, body: bytes) -> bool:
     """What an added span must have at least."""
     n = len(NUMERAL.findall(body))
-    return (b"@" in body[1:-1], body.count(b".") >= 3 and n >= 4, 12 <= n <= 19, 7 <= n <= 15)[kind]
+    signs = re.search(rb"@|[\[({<]at[\])}>]| at ", body[1:-1], re.I) is not None
+    return (signs, body.count(b".") >= 3 and n >= 4, 13 <= n <= 19 and luhn(b"".join(NUMERAL.findall(body))), 7 <= n <= 15)[kind]
 
 
 def added_spans(body: bytes, base: list[tuple[int, int, int]], field: SkipChainField, belief: float = BELIEF) -> list[tuple[int, int, int]]:
@@ -231,7 +303,11 @@ def _render(spans: list[tuple[int, int, int]], points: dict[int, int]) -> str:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> SkipChainField:
-    """A field fitted on the base spans of at most sample_docs documents with a numeral or an @, the first by a hash of the id."""
+    """A field fitted on at most sample_docs documents with a numeral or an @, the first by a hash of the id.
+
+    It learns from each as it is, labelled by its base spans, and with these spans written otherwise. Documents with more
+    than SAMPLE_NODES nodes aren't learned from.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
     sample = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
 
@@ -241,23 +317,28 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: i
                 out = []
                 for i, t in zip(step.column("doc_id").to_pylist(), step.column("text").to_pylist(), strict=True):
                     body = t.encode("utf-8", "surrogatepass")
-                    seq = Sequence(body)
-                    out.append({"doc_id": i, "x": [v for f in seq.features() for v in f], "y": seq.silver(base_spans(body)).tolist(), "chain": [v for e in seq.chain for v in e], "skip": [v for e in seq.skip for v in e]})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("x", "y", "chain", "skip"))]))
-
-    table = rows.join(F.broadcast(sample), "doc_id").mapInArrow(examples, "doc_id long, x array<int>, y array<int>, chain array<int>, skip array<int>").toArrow()
-    found = sorted(table.to_pylist(), key=lambda r: (r["doc_id"], r["x"]))[:sample_docs]
+                    base = base_spans(body)
+                    for text_, spans in [(body, base), *([perturbed(body, base)] if base else [])]:
+                        seq = Sequence(text_)
+                        if len(seq.spans) <= SAMPLE_NODES:
+                            y = seq.silver(spans)
+                            out.append({"doc_id": i, "x": [v for f in seq.features() for v in f], "y": y.tolist(), "chain": [v for e in seq.chain for v in e], "skip": [v for e in seq.skip for v in e], "w": weights(seq, y).tolist()})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("x", "y", "chain", "skip")), ("w", pa.list_(pa.float64()))]))
+
+    table = rows.join(F.broadcast(sample), "doc_id").mapInArrow(examples, "doc_id long, x array<int>, y array<int>, chain array<int>, skip array<int>, w array<double>").toArrow()
+    found = sorted(table.to_pylist(), key=lambda r: (r["doc_id"], r["x"]))[: 2 * sample_docs]
     pairs = lambda v: list(zip(v[::2], v[1::2], strict=True))
-    return SkipChainField().fit([(np.array(r["x"]).reshape(len(r["y"]), -1).tolist(), np.array(r["y"], np.int64), pairs(r["chain"]), pairs(r["skip"])) for r in found])
+    return SkipChainField().fit([(np.array(r["x"]).reshape(len(r["y"]), -1).tolist(), np.array(r["y"], np.int64), pairs(r["chain"]), pairs(r["skip"]), np.array(r["w"])) for r in found])
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans (base and added) for every row of docs.
 
     Whole texts are read; null counts as empty and has no spans. Rows that repeat a doc_id are rows of their own; a null
     doc_id stays null; an empty table gives an empty one; other columns aren't read. Spans are in code points, the end
-    exclusive. The field learns from the base spans of a bounded sample and adds tokens that look and stand like them,
-    or repeat one that does; added spans never overlap base ones.
+    exclusive. The field learns from the base spans of a bounded sample, as they are and written otherwise (signs spelled
+    out, no plus, other separators), and adds tokens that look and stand like them, or repeat one that does; added spans
+    never overlap base ones.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, key, text, **options))
 
@@ -269,14 +350,14 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
                 for i, t in zip(step.column("doc_id").to_pylist(), step.column("text").to_pylist(), strict=True):
                     body = t.encode("utf-8", "surrogatepass")
                     base = base_spans(body)
-                    added = added_spans(body, base, field) if NUMERAL.search(body) or b"@" in body else []
+                    added = added_spans(body, base, field)
                     at = [p for _, a, b in (*base, *added) for p in (a, b)]
                     points = dict(zip(at, code_points(t, body, at), strict=True))
                     n = [sum(k == x for k, _, _ in base) for x in range(4)]
-                    rows.append((i, *n, hashlib.sha256(_render(base, points).encode()).hexdigest(), _render(base + added, points), len(added)))
-                names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
-                kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
+                    rows.append((i, *n, hashlib.sha256(_render(base, points).encode()).hexdigest(), _render(base + added, points), len(added), len(base) + len(added)))
+                names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"]
+                kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
