@@ -19,7 +19,7 @@ import numpy as np
 
 #: Cursors of a block and steps of each at most (short blocks have fewer cursors), ids of a block, and blocks that are coded side by side at most.
 CURSORS, STEPS = 128, 512
-BLOCK, LANES = CURSORS * STEPS, 32
+BLOCK, LANES = CURSORS * STEPS, 16
 #: Steps after which predictions, lists and probabilities are taken anew.
 REFRESH = (1, 4, 16, 64, 208)
 #: Hash bits of an order-2 context and of the encoder's table of pairs; classes of a context; the least share of an outcome.

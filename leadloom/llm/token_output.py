@@ -20,7 +20,7 @@ from leadloom.llm.common import flat, steps, text_of
 from leadloom.shared import shared_path
 
 #: The id that ends each document, ids of a unit (it ends with the document that reaches them), pieces whose ids a worker remembers.
-END_ID, UNIT_IDS, REMEMBERED = 2, context_coder.BLOCK * context_coder.LANES, 1_500_000
+END_ID, UNIT_IDS, REMEMBERED = 2, 64 * context_coder.BLOCK, 800_000
 # The head of a unit and of its tables.
 MAGIC, HEAD = b"TKC2", struct.Struct("<4sIQII")
 
@@ -35,7 +35,7 @@ _KIND[39] = 4
 #: Whether a piece ends between a byte of one kind and a byte of the next.
 _ENDS = np.array([k in ((1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2), (4, 2)) for k in np.ndindex(6, 6)])
 #: Bytes of a short piece, which stands in the table as two numbers; slots of that table; bytes of a piece that isn't remembered.
-SHORT, SLOTS, LONG = 16, 1 << 22, 256
+SHORT, SLOTS, LONG = 16, 1 << 21, 256
 #: A pre-token as it stands: ASCII of one kind, or letters of ranges that have been all letters in every version of Unicode.
 PLAIN = re.compile("[ ]?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u0513]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+)")
 # How byte-level vocabularies spell bytes. Printed ones of Latin-1 stand for themselves, the others for what follows.
@@ -89,15 +89,15 @@ class Tokens:
         self.long: dict[bytes, int] = {}
         self.pieces, self.filled = 0, 0
         self.ids = np.zeros(1 << 20, np.uint16)
-        self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.low, self.high, self.length = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int64)
+        self.first, self.size = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.low, self.high, self.length = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.uint8)
         self.slots = np.full(SLOTS, -1, np.int32)
 
     @staticmethod
     def _slot(low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
         mixed = (low ^ (high * np.uint64(0xD6E8FEB86659FD93)) ^ length.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
-        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 22)).astype(np.int64)
+        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
 
     def _find(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Numbers of short pieces, -1 for new ones."""
@@ -182,7 +182,7 @@ class Tokens:
             known = self.long | dict(zip(unknown, self._learn(unknown).tolist(), strict=True)) if unknown else self.long
             number[others] = [known[p] for p in pieces]
             self.long.update((p, known[p]) for p in unknown if len(p) <= LONG)
-        size = self.size[number]
+        size = self.size[number].astype(np.int64)
         ends = np.cumsum(size)
         sizes = np.diff(np.concatenate([[0], ends])[np.searchsorted(starts, bounds)])
         out = np.empty(int(ends[-1] if len(ends) else 0) + (len(texts) if end is not None else 0), np.uint16)
@@ -271,7 +271,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
             return out
 
         for batch in batches:
-            for step in steps(batch, limit=4 << 20):
+            for step in steps(batch):
                 ids, own = tokens.of(step.column("text"))
                 doc_ids += step.column("doc_id").to_pylist()
                 held.append(ids)
@@ -291,11 +291,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
 def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 (and ids) of every document in the files.
 
-    Where a unit starts is a running sum over units, of which there is one for each UNIT_IDS ids; documents add what
-    stands before them in their unit.
+    Where a unit starts is a running sum over the units of its part, and one over the parts; documents add what stands
+    before them in their unit.
     """
     units = spark.read.schema("part int, seq int, n_docs long, n_ids long, unit binary").parquet(path)
-    places = units.select("part", "seq", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = units.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", earlier(Window.orderBy("part")).alias("start"))
+    places = units.select("part", "seq", earlier(Window.partitionBy("part").orderBy("seq")).alias("inside")).join(parts, "part").select("part", "seq", (F.col("start") + F.col("inside")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
