@@ -19,8 +19,8 @@ LENGTH, GRAM = 100, 32
 BUCKET_PRINTS, MOST_BUCKETS = 1 << 20, 1 << 16
 #: Bits of the filter of repeated anchors: 8 for each anchor up to this bound (128 MB), which no input moves.
 MOST_BITS = 1 << 30
-#: Places of one anchor from which its windows are dealt out one by one, or this share of all anchors if that is more.
-HOT_PLACES, HOT_SHARE = 5_000, 1e-6
+#: Places of one anchor from which its windows are dealt out one by one, and the bits of the filter of such anchors at most (16 MB).
+HOT_PLACES, HOT_BITS = 5_000, 1 << 27
 #: Bytes of places that a task holds to join equal ones before the shuffle, and that one index takes.
 HELD_BYTES, INDEX_BYTES = 48 << 20, 2 << 20
 
@@ -75,56 +75,64 @@ def _bit(prints: np.ndarray, bits: int) -> np.ndarray:
     return (((prints >> np.uint64(32)) * np.uint64(bits >> 16)) >> np.uint64(32)) * np.uint64(1 << 16) + (prints & np.uint64(0xFFFF))
 
 
+def _in(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """1 for each fingerprint whose slot is set."""
+    bit = _bit(prints, len(bitmap) * 8).astype(np.int64)
+    return bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+
+
 def repeated_anchors(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(filter of the anchors that occur more than once, those that occur very often), from the anchors of all texts.
+    """(filter of the anchors that occur more than once, filter of those that occur HOT_PLACES times or more), from the anchors of all texts.
 
-    Fingerprints travel packed, by bucket, and each bucket is counted in one task; what comes back is a bitmap whose
-    size is bounded and hot anchors, of which there are at most 1 / HOT_SHARE.
+    Fingerprints travel packed, by bucket, each with its count in a step, so that a hot one is an entry a step; each
+    bucket is counted in one task. What comes back are two bitmaps whose sizes are bounded. An anchor that only shares a
+    slot with a hot one is treated as hot, which changes nothing in the result.
     """
     anchors = max(1, size * 2 // (LENGTH - GRAM))
     buckets = int(min(MOST_BUCKETS, max(8, 1 << (anchors // BUCKET_PRINTS).bit_length())))
     bits = int(min(MOST_BITS, max(1 << 20, 1 << (8 * anchors).bit_length())))
-    hot_places = max(HOT_PLACES, int(anchors * HOT_SHARE))
+    hot_bits = min(HOT_BITS, bits)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch):
-                prints = np.sort(Windows(step.column("text")).prints)
-                bucket = _bucket(prints, buckets)
+                prints, n = np.unique(Windows(step.column("text")).prints, return_counts=True)
+                bucket, n = _bucket(prints, buckets), np.minimum(n, HOT_PLACES).astype("<u2")
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(prints) else np.zeros(1, np.int64)
+                own = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([prints[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "prints"]
+                    [pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([prints[a:b].tobytes() for a, b in own], pa.binary()), pa.array([n[a:b].tobytes() for a, b in own], pa.binary())], ["bucket", "prints", "n"]
                 )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = None, []
+        own, held, counts = None, [], []
+        out = []
 
-        def done():
-            prints, n = np.unique(np.frombuffer(b"".join(held), np.uint64), return_counts=True)
-            marked = np.unique(_bit(prints[n > 1], bits))
-            return own, marked.astype("<u4").tobytes(), prints[n >= hot_places].tobytes()
+        def done() -> None:
+            prints, back = np.unique(np.frombuffer(b"".join(held), np.uint64), return_inverse=True)
+            n = np.bincount(back, np.frombuffer(b"".join(counts), "<u2"))
+            out.append((own, _as_bitmap(own, _bit(prints[n > 1], bits), buckets, bits), _as_bitmap(own, _bit(prints[n >= HOT_PLACES], hot_bits), buckets, hot_bits)))
 
-        out = []
         for batch in batches:
-            for k, p in zip(batch.column("bucket").to_pylist(), batch.column("prints").to_pylist(), strict=True):
+            for k, p, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "prints", "n")), strict=True):
                 if k != own and held:
-                    out.append(done())
-                    held = []
+                    done()
+                    held, counts = [], []
                 own = k
                 held.append(p)
+                counts.append(n)
         if held:
-            out.append(done())
-        base = [(k, m, h) for k, m, h in out]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in base], pa.int32()), pa.array([_as_bitmap(x[0], x[1], buckets, bits) for x in base], pa.binary()), pa.array([x[2] for x in base], pa.binary())], ["bucket", "marks", "hot"])
+            done()
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "marks", "hot"])
 
-    packed = texts.select("text").mapInArrow(pack, "bucket int, prints binary")
+    packed = texts.select("text").mapInArrow(pack, "bucket int, prints binary, n binary")
     counted = packed.repartition(min(buckets, 2048), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, marks binary, hot binary")
-    out, hot = np.zeros(bits // 8, np.uint8), []
-    for r in counted.collect():
-        a, b = _bytes_of(r["bucket"], buckets, bits)
-        out[a:b] |= np.frombuffer(bytes(r["marks"]), np.uint8)
-        hot.append(np.frombuffer(bytes(r["hot"]), np.uint64))
-    return out, np.sort(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
+    found = [(np.zeros(n // 8, np.uint8), n) for n in (bits, hot_bits)]
+    for r in counted.toLocalIterator():
+        for (out, n), part in zip(found, (r["marks"], r["hot"]), strict=True):
+            a, b = _bytes_of(r["bucket"], buckets, n)
+            out[a:b] |= np.frombuffer(bytes(part), np.uint8)
+    return found[0][0], found[1][0]
 
 
 def _bytes_of(bucket: int, buckets: int, bits: int) -> tuple[int, int]:
@@ -135,10 +143,10 @@ def _bytes_of(bucket: int, buckets: int, bits: int) -> tuple[int, int]:
     return (low * pages >> 32) << 13, min(((high * pages >> 32) + 1) << 13, bits // 8)
 
 
-def _as_bitmap(bucket: int, marked: bytes, buckets: int, bits: int) -> bytes:
+def _as_bitmap(bucket: int, marked: np.ndarray, buckets: int, bits: int) -> bytes:
     a, b = _bytes_of(bucket, buckets, bits)
     flags = np.zeros((b - a) * 8, bool)
-    flags[np.frombuffer(marked, "<u4").astype(np.int64) - a * 8] = True
+    flags[marked.astype(np.int64) - a * 8] = True
     return np.packbits(flags, bitorder="little").tobytes()
 
 
@@ -266,10 +274,8 @@ def repeat_spans(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for step in steps(batch):
                 w = Windows(step.column("text"))
-                bit = _bit(w.prints, len(marks) * 8).astype(np.int64)
-                take = np.flatnonzero(marks[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                where = np.searchsorted(hot, w.prints[take])
-                often = (hot[np.minimum(where, len(hot) - 1)] == w.prints[take]) if len(hot) else np.zeros(len(take), bool)
+                take = np.flatnonzero(_in(marks, w.prints))
+                often = _in(hot, w.prints[take]) > 0
                 docs, ths = step.column("doc").to_numpy(), step.column("th").to_numpy()
                 raw = w.data.tobytes()
                 row = w.row[take]
