@@ -28,6 +28,8 @@ REACH = 64
 SHORTEST, HEAD = 16, 200
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 NOVELTY = 0.6
+#: The end of a line and what may stand around it where a key is broken.
+LINE = re.compile(rb"[\x20\x09\"'\\+,nr]{0,8}\r?\n[\x20\x09\"'>#*]{0,16}")
 #: Bytes of code on each side that prime the compressor.
 AROUND = 2048
 #: Identifiers and literals that code is full of.
@@ -84,8 +86,10 @@ def novel_spans(body: bytes, known: list[tuple[int, int, int]], novelty: Novelty
     for mark in marks:
         done = max(mark, done)
         # the search ends where no candidate can start any more; what it finds goes on to its own end
-        while m := CANDIDATE.search(body, done, mark + REACH + SHORTEST):
+        m = CANDIDATE.search(body, done, mark + REACH + SHORTEST)
+        while m:
             start, done = m.start(), CANDIDATE.match(body, m.start()).end()
+            before = len(out)
             for a, b in _apart(start, done, cover):
                 found = body[a:b]
                 if not (re.search(rb"[0-9]", found) and re.search(rb"[A-Za-z]", found)):
@@ -93,6 +97,9 @@ def novel_spans(body: bytes, known: list[tuple[int, int, int]], novelty: Novelty
                 around = body[max(0, a - AROUND) : a] + body[b : b + AROUND]
                 if novelty.bits(found, around) >= threshold or b - a > HEAD and novelty.bits(found[:HEAD], around) >= threshold:
                     out.append((a, b, 3))
+            # a key of several lines: what stands at the start of the next line goes with what was found
+            line = LINE.match(body, done) if len(out) > before else None
+            m = (line and CANDIDATE.match(body, line.end())) or CANDIDATE.search(body, done, mark + REACH + SHORTEST)
     return out
 
 
@@ -128,7 +135,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Whole texts are read; null counts as empty and has no spans. Rows that repeat a doc_id are rows of their own; an
     empty table gives an empty one; other columns aren't read. Spans are in code points, the end exclusive. A novel span
-    is of a run, of any length, that starts within REACH bytes of a sensitive word; it overlaps no base span, has letters
+    is of a run, of any length, that starts within REACH bytes of a sensitive word, or on the line after such a one; it overlaps no base span, has letters
     and digits, and adds (or its first HEAD bytes add) at least NOVELTY compressed bytes a byte when zstandard is primed
     with the code around it and a dictionary of identifiers.
     """
