@@ -73,6 +73,8 @@ def site_results(targets: DataFrame, facts: DataFrame, config: LeadConfig | None
     """
     config = config or LeadConfig()
     plans = [visit_plan(targets, config, m).withColumn("render_mode", F.lit(m)) for m in ("static", "rendered")]
+    # only static pages are graded: others' text is neither worked out nor shuffled
+    facts = facts.withColumn("body", F.when(F.col("render_mode") == "static", F.col("body")))
     visits = plans[0].unionByName(plans[1]).join(facts, ["page_key", "render_mode"])
     visits = visits.join(targets.select("key", "search_query"), "key")
     home = (F.col("visit") == 0) & (F.col("render_mode") == "static") & (F.col("search_query") != "")
