@@ -20,7 +20,7 @@ from leadloom.llm.common import flat, steps, text_of
 from leadloom.shared import shared_path
 
 #: The id that ends each document, ids of a unit (it ends with the document that reaches them), pieces whose ids a worker remembers.
-END_ID, UNIT_IDS, REMEMBERED = 2, 64 * context_coder.BLOCK, 800_000
+END_ID, UNIT_IDS, REMEMBERED = 2, 64 * context_coder.BLOCK, 1_200_000
 # The head of a unit and of its tables.
 MAGIC, HEAD = b"TKC2", struct.Struct("<4sIQII")
 
@@ -35,7 +35,7 @@ _KIND[39] = 4
 #: Whether a piece ends between a byte of one kind and a byte of the next.
 _ENDS = np.array([k in ((1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2), (4, 2)) for k in np.ndindex(6, 6)])
 #: Bytes of a short piece, which stands in the table as two numbers; slots of that table; bytes of a piece that isn't remembered.
-SHORT, SLOTS, LONG = 16, 1 << 21, 256
+SHORT, SLOTS, LONG = 16, 1 << 22, 256
 #: A pre-token as it stands: ASCII of one kind, or letters of ranges that have been all letters in every version of Unicode.
 PLAIN = re.compile("[ ]?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0400-\u0481\u048a-\u0513]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+)")
 # How byte-level vocabularies spell bytes. Printed ones of Latin-1 stand for themselves, the others for what follows.
@@ -97,7 +97,7 @@ class Tokens:
     def _slot(low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
         mixed = (low ^ (high * np.uint64(0xD6E8FEB86659FD93)) ^ length.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
-        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64)
+        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 22)).astype(np.int64)
 
     def _find(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Numbers of short pieces, -1 for new ones."""
