@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: its lineage ends there, and lost executors lose none of it.
 
@@ -35,6 +41,36 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def hashed_groups(rows: DataFrame, key: str, order: list[str], piece: str, separator: str) -> DataFrame:
+    """key and `sha256`: for each key the lowercase SHA-256 of its pieces, joined in the given order. A null key is a key.
+
+    SHA-256 reads one byte after the other, so a key's pieces pass through one task; they stream through it in the order of
+    Spark's sort, which spills, and only the hash's state is kept. Null pieces are empty.
+    """
+    joint = separator.encode()
+    kind = rows.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            keys, pieces, done = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for k, run in groupby(range(len(keys)), keys.__getitem__):
+                text = joint.join((pieces[i] or "").encode() for i in run)
+                if state is not None and k == at:
+                    state.update(joint + text)
+                    continue
+                if state is not None:
+                    done.append((at, state.hexdigest()))
+                at, state = k, hashlib.sha256(text)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], batch.schema.field(0).type), pa.array([h for _, h in done], pa.string())], [key, "sha256"])
+            arrow = batch.schema.field(0).type
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], arrow), pa.array([state.hexdigest()], pa.string())], [key, "sha256"])
+
+    placed = rows.repartition(key).sortWithinPartitions(key, *order).select(key, piece)
+    return placed.mapInArrow(run, f"`{key}` {kind.simpleString()}, sha256 string")
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `limit` bytes of text, whole rows each; null texts become empty."""
     text = pc.fill_null(batch.column(column).cast(pa.large_string()), "")

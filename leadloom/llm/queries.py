@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import decontaminate, exact_dedup, jaccard, mixing, pii, repeats, secrets, sharding, token_output, toxicity
-from leadloom.llm.common import documents
+from leadloom.llm import conversation_repair, conversation_sql, conversation_trie, decontaminate, exact_dedup, fingerprints, jaccard, mixing, pii, repeats, secrets, sharding, token_output, toxicity
+from leadloom.llm.common import conversations, documents
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.shared_prefixes(conversations(spark, sf_dir)).drop("prefix")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(conversations(spark, sf_dir))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +118,6 @@ SELECT doc_id, text, lang, source, n_chars, n_copies, copy_no,
        md5(concat_ws('/', '17', coalesce(doc_id::VARCHAR, 'null'), copy_no::VARCHAR)) AS mix_key
 FROM e
 """,
+    "op11_conversation_trie": conversation_sql.TRIE,
+    "op12_conversation_repair": conversation_sql.REPAIR,
 }
