@@ -126,9 +126,9 @@ def _buckets(docs: DataFrame) -> DataFrame:
     parts = max(1, -(-n // (CELLS * BUCKET_ROWS)))
     array = lambda xs: F.array(*[F.lit(x) for x in xs])
     cell = F.size(F.filter(array(lows), lambda b: b <= id_))
-    low, high = F.get(array(lows), F.col("_cell") - 1), F.get(array([*lows[1:], lows[-1] + 1]), F.col("_cell") - 1)
-    real = lambda c: c.cast("double")
-    part = F.floor((real(id_) - real(low)) / (real(high) - real(low)) * parts).cast("long")
+    at = lambda xs: F.get(array([float(x) for x in xs]), F.col("_cell") - 1)
+    low, width = at(lows), F.greatest(at([*lows[1:], lows[-1]]) - at(lows), F.lit(1.0))
+    part = F.floor((id_.cast("double") - low) / width * parts).cast("long")
     piece = F.when(id_.isNull() | id_.isin(sorted(hot)), F.conv(F.substring("text_md5", 1, 3), 16, 10).cast("int")).otherwise(F.lit(1 << 12))
     return docs.withColumn("_cell", F.when(id_.isNull(), F.lit(-1)).otherwise(cell)).withColumn("bucket", F.struct(F.col("_cell").alias("cell"), F.coalesce(part, F.lit(0)).alias("part"), piece.alias("piece"))).drop("_cell")
 
@@ -137,8 +137,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with anchors and, of the next row by descending doc_id, `next_text` and `next_anchors`; the first follows the last.
 
     Null ids come last; rows with one id are ordered by a hash of their text. Texts are shuffled once, by bucket of neighbouring
-    ids; the next row stands in the same bucket but for each bucket's last row, whose next, the first of another bucket,
-    comes from a table with one row for each bucket.
+    ids. The first row of each bucket, one row in some thousands, goes along with the bucket that it follows, as a ghost.
     """
     rows = _buckets(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("text_md5", F.md5(F.col("text").cast("binary"))))
     order = F.struct("doc_id", "text_md5")
@@ -150,12 +149,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     ends = ends.select("cell", F.coalesce(F.lead("lowest").over(every), F.min("lowest").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("above"))
     follows = tops.withColumn("above_here", F.lead("bucket").over(ladder)).withColumn("cell", F.col("bucket.cell")).join(F.broadcast(ends), "cell").select(F.coalesce("above_here", "above").alias("after"), "bucket", "top")
     first = rows.join(follows, (rows["bucket"] == follows["bucket"]) & rows["doc_id"].eqNullSafe(follows["top.doc_id"]) & (rows["text_md5"] == follows["top.text_md5"]))
-    first = saved(first.dropDuplicates(["after"]).select("after", F.col("text").alias("first_text")).withColumn("first_anchors", anchors(F.col("first_text"))), "firsts")
-    down = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.desc("text_md5"))
-    dealt = rows.repartition("bucket").withColumn("anchors", anchors(F.col("text")))
+    ghosts = saved(first.dropDuplicates(["after"]).select(rows["doc_id"], "text", "text_md5", F.col("after").alias("bucket")), "firsts")
+    down = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.desc("text_md5"))
+    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
+    dealt = both.repartition("bucket").withColumn("anchors", anchors(F.col("text")))
     near = dealt.withColumns({"next_text": F.lead("text").over(down), "next_anchors": F.lead("anchors").over(down)})
-    joined = near.join(first, near["bucket"] == first["after"], "left")
-    return joined.select("doc_id", "text", "anchors", *[F.when(F.col("next_text").isNull(), F.col(f"first_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in ("text", "anchors")])
+    return near.filter("not ghost").select("doc_id", "text", "anchors", "next_text", "next_anchors")
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
