@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
-# Word lists and limits.
+# Word lists, patterns and limits.
 ENGINES = ["mojeek", "duckduckgo", "yahoo", "bing"]
 ENGINE_ALIASES = {"ddg": "duckduckgo"}
 TRACKING_PARAMS = [
@@ -20,7 +20,7 @@ SUSPICIOUS_PATTERNS = [
     r"(?i)/jobs?/|/careers?/|/employment/",
     r"(?i)/press/|/news/|/blog/|/article/",
     r"(?i)/category/|/tag/|/topics?/",
-    r"(?i)/(en|us|uk)/[0-9]{4}/",
+    r"(?i)/(en|us|uk)/\d{4}/",
 ]
 ALWAYS_EXCLUDED = [
     "facebook.com", "twitter.com", "x.com", "instagram.com", "linkedin.com", "tiktok.com", "youtube.com", "pinterest.com", "reddit.com", "quora.com",
@@ -47,7 +47,7 @@ DIRECTORY_DOMAINS = [
 ]
 EXCLUDED_DOMAINS = ["facebook.com", "linkedin.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "wikipedia.org", "tiktok.com"]
 PARASITE_HOST = r"\.(com|co\.uk|org|net|io)\.[a-z]+\.(com|co\.uk|org|net|io)$"
-LISTICLE = r"(top-[0-9]|best-|guide-to|how-to|the-best|tips-for|vs\.|comparison)"
+LISTICLE = r"(top-\d|best-|guide-to|how-to|the-best|tips-for|vs\.|comparison)"
 STOP_WORDS = [
     "the", "and", "for", "in", "of", "to", "a", "an", "with", "is", "are", "we", "our", "your", "that", "this", "it", "at", "on", "by",
 ]
@@ -82,23 +82,25 @@ HAS_CONTACT = r"contact\s+us|enquir|get\s+in\s+touch|reach\s+us|call\s+us"
 HAS_ABOUT = r"about\s+us|our\s+team|who\s+we\s+are|founded\s+in|established"
 HAS_SERVICES = r"our\s+services|what\s+we\s+do|we\s+offer|we\s+provide|we\s+specialise"
 IS_JOB_BOARD = r"job\s+description.{0,200}(salary|per\s+annum)|salary.{0,100}per\s+annum.{0,200}apply\s+now|\bvacancies\b.{0,200}\bapply\b.{0,200}\bsalary\b"
-IS_DIRECTORY = r"showing\s+[0-9]+\s+results|sort\s+by.{0,60}filter\s+by|[0-9]+\s+businesses?\s+near|compare\s+quotes\s+from\s+[0-9]+"
-IS_NEWS = r"published\s+by\s+[a-z0-9_]|leave\s+a\s+comment|related\s+articles|comments?\s+\([0-9]+\)"
+IS_DIRECTORY = r"showing\s+\d+\s+results|sort\s+by.{0,60}filter\s+by|\d+\s+businesses?\s+near|compare\s+quotes\s+from\s+\d+"
+IS_NEWS = r"published\s+by\s+\w|leave\s+a\s+comment|related\s+articles|comments?\s+\(\d+\)"
 TITLE_ENDING = (
     r"(?i)\s*[|\-–—·•]\s*(home|welcome|about|contact|services|solutions|official\s+site|homepage|main\s+page|index|default|"
     r"property\s+management|block\s+management|letting\s+agents?|estate\s+agents?).{0,60}$"
 )
 TITLE_TAIL = r"\s*[|\-–—]\s*.{1,60}$"
 PHONE_PATTERNS = [
-    r"\+[0-9]{1,3}[\s\-.]?\(?[0-9]{1,4}\)?[\s\-.]?[0-9]{3,4}[\s\-.]?[0-9]{3,4}",
-    r"\([0-9]{2,5}\)[\s\-.]?[0-9]{3,4}[\s\-.]?[0-9]{3,4}",
-    r"\b[0-9]{3,5}[\s\-.][0-9]{3,4}[\s\-.][0-9]{3,4}\b",
+    r"\+\d{1,3}[\s\-\.]?\(?\d{1,4}\)?[\s\-\.]?\d{3,4}[\s\-\.]?\d{3,4}",
+    r"\(\d{2,5}\)[\s\-\.]?\d{3,4}[\s\-\.]?\d{3,4}",
+    r"\b\d{3,5}[\s\-\.]\d{3,4}[\s\-\.]\d{3,4}\b",
 ]
 LOCALE_MARKS = [
     "/de/", "/de-de/", "/ja/", "/ja-jp/", "/sr/", "/sr-latn/", "/fr/", "/fr-fr/", "/es/", "/es-es/", "/it/", "/it-it/", "/nl/", "/pl/", "/pt/", "/ru/",
     "/tr/", "/ko/", "/zh/", "hl=de", "hl=ja", "lang=de", "locale=de", "language=de",
 ]
 ENOUGH_RESULTS = {"mojeek": 10, "duckduckgo": 10, "yahoo": 7, "bing": 5}
+#: The last page of results that engines show, by the largest offset that they take; others have no end.
+MAX_PAGES = {"duckduckgo": 9, "yahoo": 10, "bing": 9}
 LEAD_HEADERS = {
     "score": "Score", "company_name": "Company Name", "website_url": "Website URL", "domain": "Domain", "search_query": "Search Query",
     "search_engine": "Search Engine", "date_found": "Date Found", "flagged": "Flagged", "flag_reason": "Flag Reason",
@@ -122,6 +124,7 @@ class LeadConfig:
     placeholder_domains: list[str] = field(default_factory=lambda: list(PLACEHOLDER_DOMAINS))
     contact_paths: list[str] = field(default_factory=lambda: list(CONTACT_PATHS))
     max_contact_paths: dict = field(default_factory=lambda: {"static": 4, "rendered": 2})
+    max_pages: dict = field(default_factory=lambda: dict(MAX_PAGES))
     columns: dict = field(default_factory=dict)
 
     def merged(self, settings: dict) -> LeadConfig:

@@ -56,9 +56,11 @@ def marker_counts(pages: DataFrame) -> DataFrame:
 
 def coverage(urls: DataFrame, engines: list[str]) -> DataFrame:
     """engine, urls, new_domains: addresses of each engine, and those whose domain no earlier engine had."""
-    rank = engine_rank(F.col("engine"), engines)
-    first = urls.withColumn("_rank", rank).withColumn("_first", F.min("_rank").over(Window.partitionBy("domain")))
-    return first.groupBy("engine").agg(F.count("*").alias("urls"), F.count_if(F.expr("_rank = _first and domain <> ''")).alias("new_domains"))
+    # summed by engine and domain before anything is shuffled, so that a hot domain is one row for each engine
+    each = urls.groupBy("engine", "domain").agg(F.count("*").alias("_n")).withColumn("_rank", engine_rank(F.col("engine"), engines))
+    least = each.filter("domain <> ''").groupBy("domain").agg(F.min("_rank").alias("_first"))
+    new = F.sum(F.when(F.col("_rank") == F.col("_first"), F.col("_n")).otherwise(0))
+    return each.join(least, "domain", "left").groupBy("engine").agg(F.sum("_n").alias("urls"), new.alias("new_domains"))
 
 
 def yield_estimate(covered: DataFrame) -> DataFrame:

@@ -26,12 +26,12 @@ def visit_plan(targets: DataFrame, config: LeadConfig | None = None, mode: str =
     return targets.select("key", base.alias("_base"), F.posexplode(F.array(*map(F.lit, paths)))).select("key", F.col("pos").alias("visit"), visit_key(F.concat("_base", "col")).alias("page_key"))
 
 
-def page_facts(pages: DataFrame, config: LeadConfig | None = None) -> DataFrame:
-    """url, html, render_mode, status -> what is extracted from each page that loaded; pages themselves are never shuffled."""
+def page_facts(pages: DataFrame, config: LeadConfig | None = None, kept: list[str] | None = None) -> DataFrame:
+    """url, html, render_mode, status -> what is extracted from each page that loaded, and kept columns; pages themselves are never shuffled."""
     shown = pages.filter("status < 400")
     return shown.select(
         visit_key(F.col("url")).alias("page_key"), "render_mode", contacts.all_emails(F.col("html"), config).alias("emails"), contacts.phones(F.col("html")).alias("phones"),
-        company.company_name(F.col("html"), F.lit(None).cast("string")).alias("page_name"), tokens.page_text(F.col("html")).alias("body"),
+        company.company_name(F.col("html"), F.lit(None).cast("string")).alias("page_name"), tokens.page_text(F.col("html")).alias("body"), *(kept or []),
     )
 
 
@@ -118,12 +118,16 @@ def enrich(targets: DataFrame, pages: DataFrame, config: LeadConfig | None = Non
     A target stays if an email or a phone was found or it came with a phone.
     """
     todo = without(targets, earlier, ["key"]) if earlier is not None else targets
-    found = site_results(todo, page_facts(pages, config), config).withColumnRenamed("phone", "_found")
-    out = todo.join(found, "key", "left").select(
+    out = with_found(todo, site_results(todo, page_facts(pages, config), config).withColumnRenamed("phone", "_found"))
+    return merge_later_wins(earlier, out, "key") if earlier is not None else out
+
+
+def with_found(targets: DataFrame, found: DataFrame) -> DataFrame:
+    """Targets with what was found (key, email, _found, page_name, lead_quality, keyword_match_pct), if that or the target has an email or a phone."""
+    out = targets.join(found, "key", "left").select(
         "key", F.coalesce("page_name", "name").alias("name"), "website", "email", F.coalesce("_found", F.nullif("phone", F.lit(""))).alias("phone"), "category", "lead_quality", "keyword_match_pct"
     )
-    out = out.filter("email is not null or phone is not null")
-    return merge_later_wins(earlier, out, "key") if earlier is not None else out
+    return out.filter("email is not null or phone is not null")
 
 
 def last_by_name(contacts_table: DataFrame, position: str = "input_pos") -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.urls import label_suffixes
+from leadloom.shared import shared_path
 
 #: Entries of a list up to which it is a literal in the plan, or broadcast; longer ones are joined by shuffle.
 LITERAL_LIST, BROADCAST_LIST = 1_000, 100_000
+#: Bloom filters: bits in a block (what Spark's bitmap functions make), hashes of a key, and blocks at most.
+BLOCK_BITS, FILTER_HASHES, FILTER_BLOCKS = 32_768, 5, 16_384
 
 
 def list_table(df: DataFrame, words: list[str], name: str) -> DataFrame:
@@ -40,6 +45,46 @@ def without(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(done.select(*keys), keys, "left_anti")
 
 
+def seen_filter(seen: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """A Bloom filter of seen keys as a table: block, bits. A key has FILTER_HASHES bits in one block of 32,768, some 12 bits for each key.
+
+    n: how many keys, counted if not given. There are at most FILTER_BLOCKS blocks (64 MB); with more keys than they hold
+    well, more rows count as perhaps seen.
+    """
+    n = seen.count() if n is None else n
+    blocks = min(FILTER_BLOCKS, max(1, -(-n * 12 // BLOCK_BITS)))
+    bit = F.explode(F.array(*[_bit(F.col(key), k) for k in range(FILTER_HASHES)]))
+    return seen.filter(F.col(key).isNotNull()).select(_block(F.col(key), blocks).alias("block"), bit.alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).withColumn("blocks", F.lit(blocks))
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("block")), F.lit(blocks)).cast("int")
+
+
+def _bit(key: Column, k: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(k)), F.lit(BLOCK_BITS))
+
+
+def without_seen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't among those seen. Those that a Bloom filter surely doesn't hold pass without a shuffle.
+
+    Only the others, few where most keys are new, are joined with the seen keys. The filter is broadcast, at most 64 MB. df is
+    read twice, once for each kind of row, so this pays where shuffling it costs more than reading it; where df is
+    shuffled by the key anyway, `without` comes with that shuffle. Rows with a null key stay.
+    """
+    filter_ = seen_filter(seen, key)
+    path = shared_path(df.sparkSession, "seen")
+    filter_.write.parquet(path)
+    table = df.sparkSession.read.schema(filter_.schema).parquet(path)
+    blocks = (table.select("blocks").first() or [1])[0]
+    byte = lambda bit: F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = reduce(lambda a, b: a & b, [F.getbit(byte(_bit(F.col(key), k)), (_bit(F.col(key), k) % 8).cast("int")) == 1 for k in range(FILTER_HASHES)])
+    marked = df.withColumn("_block", _block(F.col(key), blocks)).join(F.broadcast(table.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))), "_block", "left")
+    maybe = F.col(key).isNotNull() & F.col("_bits").isNotNull() & F.coalesce(held, F.lit(False))
+    sure = marked.filter(~maybe).select(*df.columns)
+    return sure.unionByName(without(marked.filter(maybe).select(*df.columns), seen, [key]))
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key; most others go before the shuffle."""
     return df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_row = 1").drop("_row")
@@ -58,6 +103,14 @@ def engine_rank(engine: Column, engines: list[str]) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, engines)), engine).cast("int"), F.lit(0)), F.lit(len(engines) + 1))
 
 
+def cap_pages(results: DataFrame, pages: int, caps: dict[str, int]) -> DataFrame:
+    """Results of the pages asked for, and of no page beyond the last that their engine shows; engines without a cap show all."""
+    most = F.lit(pages)
+    for engine, cap in caps.items():
+        most = F.when(F.col("engine") == engine, min(pages, cap)).otherwise(most)
+    return results.filter(F.col("page_no") <= most)
+
+
 def running(df: DataFrame, group: list[str], order: list[Column], bucket: Column, value: Column, name: str) -> DataFrame:
     """df with the sum of value over all rows of its group up to this one, in an order that tells rows apart.
 

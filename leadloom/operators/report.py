@@ -9,6 +9,9 @@ from leadloom.config import ENGINE_ALIASES
 from leadloom.operators.enrich import QUALITIES
 from leadloom.shared import shared_path
 
+#: Logarithm of a sketch's buckets: 4 kB at most.
+SKETCH_BITS = 12
+
 
 def lead_totals(leads: DataFrame, approximate: bool = False) -> DataFrame:
     distinct = F.approx_count_distinct("domain") if approximate else F.countDistinct("domain")
@@ -35,6 +38,19 @@ def engine_stats(leads: DataFrame, raw: DataFrame) -> DataFrame:
     return pages.join(counts(leads.withColumnRenamed("search_engine", "engine"), "engine", "leads"), "engine", "left").select("engine", F.coalesce("leads", F.lit(0)).alias("leads"), "pages")
 
 
+def domain_sketches(leads: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, records, sketch: a mergeable distinct-count sketch of the domains of each group (a day and engine, say), to be kept with the leads."""
+    return leads.groupBy(*keys).agg(F.count("*").alias("records"), F.hll_sketch_agg("domain", SKETCH_BITS).alias("sketch"))
+
+
+def sketched_totals(sketches: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """records and unique_domains (a sketch's estimate) over all groups, or by some of their keys, from sketches alone.
+
+    The estimate's standard error is 0.83 / sqrt(2**SKETCH_BITS), 1.3 %; up to some hundred domains it is exact.
+    """
+    return sketches.groupBy(*(keys or [])).agg(F.sum("records").alias("records"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_domains"))
+
+
 def category_counts(leads: DataFrame, column: str = "category") -> DataFrame:
     return counts(leads, column).orderBy(F.desc("n"), column)
 

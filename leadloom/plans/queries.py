@@ -17,8 +17,8 @@ from leadloom.plans.inputs import QUERY_TEXTS, TEST_CONFIG
 from leadloom.shared import shared_path
 from leadloom.sources import leads as lead_files
 from leadloom.sources import queries as query_sources
-from leadloom.sources import serp
-from leadloom.streaming import incremental
+from leadloom.sources import serp, versions
+from leadloom.streaming import incremental, sites
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,6 +154,13 @@ def seen_domains_anti(spark, sf_dir):
     return _leads(spark, sf_dir, seen=seen).select("domain", "search_engine", "score")
 
 
+@query(f"WITH {sql.VARIANTS}, d AS (SELECT position, engine, {sql.domain('url')} AS domain FROM variants) SELECT position, engine, domain FROM d WHERE domain IS NULL OR domain NOT IN (SELECT domain FROM d WHERE position % 5 < 2 AND domain IS NOT NULL)")
+def seen_domains_filtered(spark, sf_dir):
+    """Results of domains that two fifths of them don't have, by way of a Bloom filter: only those that it may hold are joined."""
+    found = inputs.variant_results(spark, sf_dir).select("position", "engine", urls.base_domain(F.col("url")).alias("domain"))
+    return lookup.without_seen(found, found.filter("position % 5 < 2").select("domain"), "domain")
+
+
 # Queries and progress.
 
 
@@ -201,6 +208,13 @@ def page_cap(spark, sf_dir):
     return inputs.raw_results(spark, sf_dir).filter("page_no <= 2").select("position", "engine", "page_no")
 
 
+@query(f"WITH {sql.RAW}, n AS (SELECT position, engine, position // 4 % 12 + 1 AS page_no FROM raw) SELECT position, engine, page_no FROM n WHERE page_no <= 11 AND page_no <= CASE engine WHEN 'duckduckgo' THEN 9 WHEN 'yahoo' THEN 10 WHEN 'bing' THEN 9 ELSE 11 END")
+def engine_page_caps(spark, sf_dir):
+    """Results of twelve pages, of which eleven were asked for, within what each engine shows."""
+    r = inputs.raw_results(spark, sf_dir).withColumn("page_no", F.floor(F.col("position") / 4) % 12 + 1)
+    return lookup.cap_pages(r, 11, TEST_CONFIG.max_pages).select("position", "engine", "page_no")
+
+
 # Reports on leads.
 
 
@@ -236,6 +250,16 @@ def engine_tag(spark, sf_dir):
     return report.engine_tag(inputs.raw_results(spark, sf_dir).select(F.upper("engine").alias("search_engine")))
 
 
+@query(f"WITH {sql.RAW}, d AS (SELECT engine, {sql.domain('url')} AS domain FROM raw) SELECT coalesce(engine, 'all') AS engine, count(*) AS records, count(DISTINCT domain) AS unique_domains FROM d GROUP BY ROLLUP (engine)")
+def sketched_domains(spark, sf_dir):
+    """Distinct domains by engine and in all, from sketches that were kept by day and engine; the results aren't scanned again."""
+    path = shared_path(spark, "sketches")
+    raw = inputs.raw_results(spark, sf_dir).select("engine", urls.base_domain(F.col("url")).alias("domain"), F.date_add(F.lit("2024-05-01").cast("date"), (F.col("position") % 7).cast("int")).alias("day"))
+    report.domain_sketches(raw, ["day", "engine"]).write.parquet(path)
+    kept = spark.read.parquet(path)
+    return report.sketched_totals(kept, ["engine"]).unionByName(report.sketched_totals(kept).withColumn("engine", F.lit("all")))
+
+
 @query(f"WITH {sql.SITES} SELECT category, count(*) AS n FROM targets GROUP BY 1 ORDER BY n DESC, 1")
 def category_counts(spark, sf_dir):
     return report.category_counts(inputs.targets(spark, sf_dir))
@@ -727,6 +751,16 @@ def lead_files_skipped(spark, sf_dir):
     return lead_files.read_leads(spark, path)[1]
 
 
+@query(f"WITH {sql.RAW}, {sql.cleaned('raw')}, t AS (SELECT *, flagged AND flag_reason = 'pattern' AS skip, position % 10 = 0 AS bare FROM leads) SELECT count(*) FILTER (WHERE NOT skip AND NOT bare) AS written, count(*) FILTER (WHERE skip AND NOT bare) AS skipped, count(*) FILTER (WHERE bare) AS no_website FROM t")
+def counts_while_writing(spark, sf_dir):
+    """What the job that writes usable targets counts on its way; pattern flags stand for those of directories, every tenth lead has no website."""
+    reason = F.when(F.col("flag_reason") == "pattern", "directory").otherwise(F.col("flag_reason"))
+    site = F.when(F.col("position") % 10 == 0, "").otherwise(F.col("website_url"))
+    table = clean.export(_leads(spark, sf_dir).withColumns({"flag_reason": reason, "website_url": site}), LEAD_HEADERS)
+    n = lead_files.write_usable(table, shared_path(spark, "usable"))
+    return spark.createDataFrame([(n["written"], n["skipped"], n["no_website"])], "written long, skipped long, no_website long")
+
+
 @query(f"WITH {sql.GRADED} SELECT lower(name) AS key, name, website, email, phone, lead_quality, keyword_match_pct FROM enriched")
 def contact_files(spark, sf_dir):
     """Contacts written under display headers and read again."""
@@ -737,11 +771,14 @@ def contact_files(spark, sf_dir):
 
 @query(f"WITH {ALL_QUERIES_SQL}, {DONE_SQL} SELECT item_id, engine FROM q WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.engine = q.engine AND d.query = q.query)")
 def resumed_queries(spark, sf_dir):
-    """What remains after the latest progress that can be read: of three versions the last was broken off."""
+    """What remains after the latest progress that can be read: of versions 1, 9, 10 and 11 the last was broken off."""
     path, done = shared_path(spark, "progress"), _done(spark, sf_dir).select("engine", "query")
     incremental.save_progress(done.filter("engine = 'mojeek'"), path, "1")
-    incremental.save_progress(done, path, "2")
-    return incremental.pending(_searches(spark, sf_dir), incremental.load_progress(spark, path, ["1", "2", "3"])).select("item_id", "engine")
+    incremental.save_progress(done, path, "10")
+    incremental.save_progress(done.filter("engine = 'bing'"), path, "9")
+    incremental.save_progress(done.limit(0), path, "11")
+    versions.break_off(spark, f"{path}/run=11")
+    return incremental.pending(_searches(spark, sf_dir), incremental.load_progress(spark, path)).select("item_id", "engine")
 
 
 @query(f"WITH {ALL_QUERIES_SQL} SELECT item_id, engine FROM q")
@@ -790,10 +827,71 @@ def stream_dedupe(spark, sf_dir):
 
 @query(f"WITH {sql.RAW}, {sql.cleaned('raw')} SELECT domain, company_name, {sql.visit_key('website_url')} AS site FROM leads")
 def stream_upsert(spark, sf_dir):
+    return _upserted(spark, sf_dir, _arrivals(spark, sf_dir, "arrivals")).select("domain", "company_name", enrich.visit_key(F.col("website_url")).alias("site"))
+
+
+def _upserted(spark, sf_dir, stream: DataFrame) -> DataFrame:
     path, mark = shared_path(spark, "leads"), shared_path(spark, "leads-mark")
-    incremental.upsert_stream(_arrivals(spark, sf_dir, "arrivals"), path, mark, TEST_CONFIG).awaitTermination()
-    # which of a domain's addresses is its website depends on what arrived first; the site is the same
-    return spark.read.parquet(f"{path}/batch=*").select("domain", "company_name", enrich.visit_key(F.col("website_url")).alias("site"))
+    incremental.upsert_stream(stream, path, mark, TEST_CONFIG).awaitTermination()
+    return incremental.lead_table(spark, path, TEST_CONFIG).read()
+
+
+LEAD_ROWS_SQL = "SELECT company_name, website_url, domain, search_query, search_engine, flagged::INTEGER AS flagged, flag_reason, score, query_idx, page_no, position FROM leads"
+LEAD_ROWS = ["company_name", "website_url", "domain", "search_query", "search_engine", "flag_reason", "score", "query_idx", "page_no", "position"]
+
+
+@query(f"WITH {sql.RAW}, {sql.cleaned('raw')} {LEAD_ROWS_SQL}")
+def stream_upsert_whole(spark, sf_dir):
+    """Leads of results that arrive worst engine first, in nine files, so that winners are replaced and runs merged: all columns."""
+    path, raw = shared_path(spark, "late-arrivals"), inputs.raw_results(spark, sf_dir)
+    raw.repartitionByRange(9, lookup.engine_rank(F.col("engine"), ENGINES).desc(), F.desc("position")).write.parquet(path)
+    leads = _upserted(spark, sf_dir, incremental.read_stream(spark, path, raw.schema, 1))
+    return leads.select(*LEAD_ROWS, F.col("flagged").cast("int").alias("flagged"))
+
+
+@query(f"WITH {sql.RAW}, {sql.cleaned('raw')} {LEAD_ROWS_SQL}")
+def stream_recovered(spark, sf_dir):
+    """Half of the results arrive and one batch of them is done; the run stops, the rest arrives, and another run goes on from the checkpoint."""
+    path, out, mark, raw = shared_path(spark, "halves"), shared_path(spark, "leads"), shared_path(spark, "leads-mark"), inputs.raw_results(spark, sf_dir)
+    often = {"processingTime": "0 seconds"}
+    for half in (0, 1):
+        raw.filter(F.col("position") % 2 == half).repartition(2, "position").write.mode("append").parquet(path)
+        run = incremental.upsert_stream(incremental.read_stream(spark, path, raw.schema, 1), out, mark, TEST_CONFIG, often)
+        incremental.until(run, batches=1) if half == 0 else run.processAllAvailable()
+        run.stop()
+    return incremental.lead_table(spark, out, TEST_CONFIG).read().select(*LEAD_ROWS, F.col("flagged").cast("int").alias("flagged"))
+
+
+@query(f"WITH {sql.GRADED} SELECT * FROM enriched")
+def stream_enrich(spark, sf_dir):
+    """enrich_leads by state kept for each site, from pages that arrive shuffled."""
+    pages, targets = inputs.site_pages(spark, sf_dir), inputs.targets(spark, sf_dir)
+    path, out = shared_path(spark, "shuffled-pages"), shared_path(spark, "sites")
+    pages.repartition(4, F.xxhash64("page_id")).write.parquet(path)
+    sites.enrich_stream(incremental.read_stream(spark, path, pages.schema, 1), targets, out, shared_path(spark, "sites-mark"), TEST_CONFIG).awaitTermination()
+    return sites.enriched(targets, out)
+
+
+#: Waves of arrivals a day apart, and of their rows those that come five days late.
+WAVES, FORGET = 8, "38 hours"
+
+
+@query(
+    f"WITH RECURSIVE {sql.RAW}, {sql.cleaned('raw')}, arrived AS (SELECT DISTINCT domain, position % {WAVES} AS wave FROM x WHERE NOT (position % {WAVES} > 3 AND position % 11 = 0)), "
+    "shown AS (SELECT domain, min(wave) AS wave FROM arrived GROUP BY 1 UNION ALL SELECT shown.domain, min(arrived.wave) FROM shown JOIN arrived ON arrived.domain = shown.domain AND arrived.wave >= shown.wave + 6 GROUP BY 1) SELECT domain, wave FROM shown"
+)
+def stream_dedupe_bounded(spark, sf_dir):
+    """First arrivals with state for 38 hours: what comes five days late is dropped; a domain is forgotten when the watermark, 38 hours behind
+    the last wave, has passed its first arrival by 38 hours, so it comes back from the sixth wave after that."""
+    path, wave = shared_path(spark, "waves"), F.col("position") % WAVES
+    raw = inputs.raw_results(spark, sf_dir).withColumn("wave", wave)
+    late = (F.col("wave") > 3) & (F.col("position") % 11 == 0)
+    raw = raw.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + 86_400 * (F.col("wave") - F.when(late, 5).otherwise(0))))
+    raw.write.partitionBy("wave").parquet(f"{path}-all")
+    for w in range(WAVES):  # one file a wave, in order of their times
+        spark.read.schema(raw.schema).parquet(f"{path}-all").filter(F.col("wave") == w).coalesce(1).write.mode("append").parquet(path)
+    stream = incremental.dedupe_stream(incremental.read_stream(spark, path, raw.schema, 1), TEST_CONFIG, "at", FORGET)
+    return _collected(stream.select("domain", "wave"), spark, "bounded")
 
 
 @query(f"WITH {sql.RAW}, {sql.cleaned('raw')}, {sql.FACTS}, m AS (SELECT l.domain, f.body, {sql.keyword_match('f.body', 'l.search_query')} AS match FROM leads l JOIN facts f ON f.page_key = {sql.visit_key('l.website_url')}) SELECT domain, {sql.grade('match', *[sql.matches('body', p) for p in sql.SIGNALS.values()], sql.noise('body'))} AS lead_quality, match AS keyword_match_pct FROM m")
@@ -816,3 +914,11 @@ def stream_counts(spark, sf_dir):
     counts.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", shared_path(spark, "counts-mark")).trigger(availableNow=True).start().awaitTermination()
     every = spark.read.parquet(f"{path}/batch=*")
     return every.groupBy("engine").agg(F.max("n").alias("n"))
+
+
+@query(f"WITH {sql.RAW} SELECT engine, count(*) AS n FROM raw GROUP BY 1")
+def stream_counts_update(spark, sf_dir):
+    """Counters that hand on changes alone; the table of the latest is read."""
+    path = shared_path(spark, "counts")
+    incremental.count_stream(_arrivals(spark, sf_dir, "arrivals"), path, shared_path(spark, "counts-mark")).awaitTermination()
+    return incremental.count_table(spark, path).read().select("engine", "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.config import LEAD_HEADERS, LeadConfig
@@ -80,6 +80,19 @@ def write_leads(leads: DataFrame, path: str, by_day: bool = False) -> None:
         out.write.csv(path, header=True)
 
 
+def write_usable(table: DataFrame, path: str, config: LeadConfig | None = None) -> dict[str, int]:
+    """Writes the targets of a table that can be enriched, as Parquet; how many were written, and how many directory rows and rows
+    without a website were left out, is counted by the job that writes."""
+    targets = as_targets(table, config)
+    directory = F.col("flagged") & (F.col("flag_reason") == "directory") & (F.col("website") != "")
+    seen = Observation("usable")
+    counted = targets.observe(
+        seen, F.count_if((F.col("website") != "") & ~directory).alias("written"), F.count_if(directory).alias("skipped"), F.count_if(F.col("website") == "").alias("no_website")
+    )
+    counted.filter((F.col("website") != "") & ~directory).write.parquet(path)
+    return seen.get
+
+
 def contact_export(contacts: DataFrame, headers: dict | None = None) -> DataFrame:
     """Contacts under display headers; phones stay text, quality columns are always there, nothing is null."""
     shown = {"name": "Company Name", "website": "Website", "email": "Email", "phone": "Phone", "category": "Category", "lead_quality": "Lead Quality", "keyword_match_pct": "Keyword Match %"} | (headers or {})
