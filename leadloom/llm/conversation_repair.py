@@ -236,7 +236,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def repair_report(conversations: DataFrame) -> DataFrame:
     """The contract's row for every conversation: what was wrong with its damaged rows, and their cheapest repair.
 
-    Nulls are one space (a null turn comes first and counts for no gap); a null conv_id is a conversation of its own. Rows with one
+    Nulls are one space (a null turn comes first and counts for no gap); an empty role has no initial and isn't kept; a null conv_id is a conversation of its own. Rows with one
     turn are ordered by content; repeated rows are duplicates. Long texts travel whole but aren't read by the decision. An
     empty table gives an empty result; other columns play no part.
     """
