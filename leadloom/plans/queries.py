@@ -17,7 +17,7 @@ from leadloom.plans.inputs import QUERY_TEXTS, TEST_CONFIG
 from leadloom.shared import shared_path
 from leadloom.sources import leads as lead_files
 from leadloom.sources import queries as query_sources
-from leadloom.sources import serp, versions
+from leadloom.sources import layouts, serp, versions
 from leadloom.streaming import incremental, sites
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -664,6 +664,53 @@ def serp_table_function(spark, sf_dir):
     return spark.sql("SELECT p.engine, p.query_idx, p.page_no, r.position, r.href, r.title FROM result_pages p, LATERAL result_rows(p.engine, p.html) r")
 
 
+#: Feeds: ten items each; of every fifth the end is missing, so that nothing can be read.
+def _feeds(spark, sf_dir) -> DataFrame:
+    r = inputs.raw_results(spark, sf_dir).withColumn("feed", F.floor(F.col("position") / 10))
+    coded = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><title>"), coded("title"), F.lit("</title><link>"), coded("url"), F.lit("</link><description>&lt;b&gt;"), coded("snippet"), F.lit("&lt;/b&gt;</description></item>"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))), lambda x: x["item"]), "")
+    page = r.groupBy("feed").agg(items.alias("items"))
+    end = F.when(F.col("feed") % 5 == 4, "</item>").otherwise("</channel></rss>")
+    html = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>results</title>'), "items", end)
+    return page.select(F.lit("bing").alias("engine"), F.col("feed").alias("query_idx"), F.lit("q").alias("query"), F.lit(1).alias("page_no"), html.alias("html"), F.lit(200).alias("http_status"))
+
+
+@query(
+    f"WITH {sql.RAW}, i AS (SELECT position // 10 AS query_idx, (row_number() OVER (PARTITION BY position // 10 ORDER BY position))::INTEGER - 1 AS position, url, trim(title) AS title, trim({sql.entities('snippet')}) AS snippet FROM raw WHERE position // 10 % 5 <> 4) "
+    f"SELECT query_idx, position, url, title, snippet FROM i WHERE {_english('title', 'snippet')}"
+)
+def feed_extract(spark, sf_dir):
+    """Results of feeds, taken apart by Spark's XML reader."""
+    return serp.extract_results(_feeds(spark, sf_dir)).select("query_idx", "position", "url", "title", "snippet")
+
+
+#: A fifth layout, by rows alone.
+FIFTH = [
+    (0, "item", 0, 0, "all", "article", "hit"), (0, "link", 0, 0, "in", "a", "go", "href"), (0, "title", 0, 0, "in", "span", "name"), (0, "title", 1, 0, "item"),
+    (0, "snippet", 0, 0, "next", "article"), (0, "snippet", 0, 1, "in", "div", "more"),
+]
+
+
+@query(f"WITH {sql.RAW}, f AS (SELECT position // 10 AS query_idx, (row_number() OVER (PARTITION BY position // 10 ORDER BY position))::INTEGER - 1 AS position, url, trim({sql.entities('title')}) AS title, trim({sql.entities('snippet')}) AS snippet, {sql.domain('url')} AS domain FROM raw), p AS (SELECT *, row_number() OVER (PARTITION BY query_idx, domain ORDER BY position) AS place FROM f) SELECT query_idx, position, url, title, snippet FROM p WHERE place = 1")
+def fifth_layout(spark, sf_dir):
+    """Pages of an engine that no code knows: its layout is a table of selectors, kept as a table and read back."""
+    path = shared_path(spark, "selectors")
+    spark.createDataFrame([(*s, *[""] * (9 - len(s))) for s in FIFTH], "form int, part string, choice int, step int, move string, tag string, cls string, attribute string, value string").write.parquet(path)
+    layout = layouts.compiled(map(tuple, spark.read.parquet(path).collect()))
+    r = inputs.raw_results(spark, sf_dir).withColumn("query_idx", F.floor(F.col("position") / 10))
+    row = F.concat(F.lit("<article class='big hit'><a class='go' href='"), "url", F.lit("'><span class=name>"), "title", F.lit("</span></a></article><article><div class='more'>"), "snippet", F.lit("</div></article>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", row.alias("row")))), lambda x: x["row"]), "<hr>")
+    pages = r.groupBy("query_idx").agg(rows.alias("html")).select(F.lit("fifth").alias("engine"), "query_idx", F.lit("q").alias("query"), F.lit(1).alias("page_no"), "html", F.lit(200).alias("http_status"))
+    return serp.extract_results(pages, {"fifth": layout}).select("query_idx", "position", "url", "title", "snippet")
+
+
+@query(f"WITH {sql.PAGES} SELECT page_id, {sql.page_text('html')} AS body FROM page_variants")
+def page_text_by_tree(spark, sf_dir):
+    """Visible text by the tree of each page; on pages without broken markup it is what page_text gives by patterns."""
+    return serp.page_texts(inputs.page_variants(spark, sf_dir)).select("page_id", "body")
+
+
 #: The reports of engine_diagnostics in SQL, over `rp` and `res`.
 REPORTS_SQL = f"""{RESULT_PAGES_SQL},
 n AS (SELECT e.engine, count(r.engine) AS n FROM (SELECT DISTINCT engine FROM rp) e LEFT JOIN res r ON r.engine = e.engine GROUP BY 1),

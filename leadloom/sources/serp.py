@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import urls
+from leadloom.functions.entities import decode_entities
 from leadloom.operators.lookup import first_by
+from leadloom.sources.layouts import TABLES, Page, Rules, Selector, compiled
 
 #: Elements inside which an element lies at most; those below are siblings of the last one, so that no page makes a deep tree.
 DEPTH = 256
@@ -118,74 +120,6 @@ def tree(html: str) -> Element:
     return parser.root
 
 
-def _first(*found: Element | None) -> str:
-    return next((e.text() for e in found if e is not None), "")
-
-
-def _ob_layout(page: Element) -> list[tuple]:
-    if len(page.text()) < 300:
-        return []
-    out = []
-    for a in page.all("a", "ob", "href"):
-        box = a.above("li", "div")
-        title = _first(*((box.find("h2"), box.find("h3"), box.find("a", "title")) if box else ()), a)
-        out.append((a.attributes["href"] or "", title, _first(box.find("p", "s"), box.find("p", "result-desc"), box.find("p")) if box else ""))
-    own = [r for r in out if r[0].startswith("http") and "mojeek.com" not in r[0]]
-    if own:
-        return own
-    for h in page.all("h2"):
-        a, box = h.find("a", attribute="href"), h.above("li", "div")
-        if a:
-            out.append((a.attributes["href"] or "", h.text(), _first(box.find("p")) if box else ""))
-    return [r for r in out if r[0].startswith("http") and "mojeek.com" not in r[0]]
-
-
-def _result_link_layout(page: Element) -> list[tuple]:
-    text, links = page.text(), page.all("a", "result-link")
-    low = text.lower()
-    if len(text) < 1000 or "captcha" in low or "select all squares" in low or (len(text) < 13_000 and not links):
-        return []
-    out, following = [], {}
-    for a in links:
-        row, snippet = a.above("tr"), ""
-        if row is not None:
-            if id(row.parent) not in following:
-                rows = [c for c in row.parent.children if isinstance(c, Element) and c.tag == "tr"]
-                following[id(row.parent)] = {id(x): y for x, y in zip(rows, rows[1:])}  # noqa: B905
-            after = following[id(row.parent)].get(id(row))
-            snippet = _first(after.find("td", "result-snippet")) if after is not None else ""
-        out.append(((a.attributes.get("href") or "").strip(), a.text(), snippet))
-    out = [r for r in out if r[0].startswith("http")]
-    if out:
-        return out
-    boxes = [e for e in page.all("div", "result") if e.has(cls="results_links_deep")] or [e for e in page.all("div", "result") if e.has(cls="web-result")] or page.all("div", "result") or page.all("article")
-    for box in boxes:
-        h2 = box.find("h2")
-        a = box.find("a", "result__a", "href") or (h2.find("a", attribute="href") if h2 else None) or next((x for x in box.all("a", attribute="href") if (x.attributes["href"] or "").startswith("http")), None)
-        if a:
-            out.append((a.attributes["href"] or "", _first(box.find("h2", "result__title"), h2), _first(box.find("a", "result__snippet"), box.find(cls="result__snippet"))))
-    return out
-
-
-def _ru_layout(page: Element) -> list[tuple]:
-    text = page.text()
-    if len(text) < 300 or "captcha" in text.lower():
-        return []
-    ru = [a for a in page.all("a", attribute="href") if "/RU=" in (a.attributes["href"] or "")]
-    titled = [a for a in ru if (a.parent.has("div", "compTitle") or (a.parent.tag == "h3" and a.parent.parent is not None and a.parent.parent.has("div", "compTitle")))]
-    titled = titled or [a for a in ru if a.above("h3")]
-    out = []
-    for a in titled:
-        box = a.above("li", "div")
-        out.append((a.attributes["href"], (a.above("h3") or a).text(), _first(box.find("div", "compText"), box.find("p", "lh-16"), box.find("span", "fc-2nd"), box.find("p")) if box else ""))
-    if out:
-        return out
-    for a in ru:
-        box = a.above("li", "div", "article")
-        out.append((a.attributes["href"], _first(box.find("h3") if box else None, a), _first(box.find("p")) if box else ""))
-    return out
-
-
 def _rss_layout(page: str) -> list[tuple]:
     from xml.etree import ElementTree
 
@@ -200,63 +134,95 @@ def _rss_layout(page: str) -> list[tuple]:
     return [(part(i, "link"), part(i, "title"), tree(i.findtext("description") or "").text()) for i in items]
 
 
-def _algo_layout(page: Element) -> list[tuple]:
-    text = page.text()
-    if len(text) < 300 or "captcha" in text.lower():
-        return []
-    boxes = page.all("li", "b_algo") or [h.parent for h in page.all("h2") if h.find("a", attribute="href")]
-    out = []
-    for box in boxes:
-        h2 = box.find("h2")
-        a = (h2.find("a", attribute="href") if h2 else None) or box.find("a", attribute="href")
-        if a:
-            out.append((a.attributes["href"] or "", _first(h2, box.find("h3")), _first(box.find("p"))))
-    return out
+#: What a link to the next page says, where no attribute does.
+NEXT_TEXTS = ("next", "›", ">>", "next »", ">")
 
 
-def _next_link(page: Element) -> str:
+def next_link(page: Page) -> str:
     """The address of the next page as it is written, or an empty text."""
-    a = next((e for e in page.all("a", attribute="href") if e.attributes.get("id") == "pg-next" or e.attributes.get("rel") == "next" or e.attributes.get("aria-label") == "Next" or e.has(cls="next")), None)
-    a = a or next((e for e in page.all("a", attribute="href") if e.above("nav", "div") and e.text().lower() in ("next", "›", ">>", "next »", ">")), None)
-    return (a.attributes["href"] or "") if a else ""
-
-
-#: Layouts by engine: functions from a page (an Element, or its source text) to (href, title, snippet) rows. Users add theirs with register().
-LAYOUTS: dict[str, Callable] = {"mojeek": _ob_layout, "duckduckgo": _result_link_layout, "yahoo": _ru_layout, "bing": _algo_layout}
+    links = page.matches(Selector(0, "", 0, 0, "all", "a", "", "href"))
+    marked = lambda e: e.attributes.get("id") == "pg-next" or e.attributes.get("rel") == "next" or e.attributes.get("aria-label") == "Next" or e.has(cls="next")
+    at = next((k for k in links if marked(page.elements[k])), None)
+    if at is None:
+        at = next((k for k in links if (page.above(k, "nav") or page.above(k, "div")) and page.text(k).lower() in NEXT_TEXTS), None)
+    return "" if at is None else page.elements[at].attributes["href"] or ""
+
+
+#: Layouts by engine: functions from a page to (href, title, snippet) rows. Users add theirs with register() or register_table().
+LAYOUTS: dict[str, Callable] = {engine: compiled(*table) for engine, table in TABLES.items()}
+#: Engines whose pages may be feeds, which Spark's own XML reader takes apart; and feeds for the table function, from source text.
+XML_FEEDS = {"bing"}
 FEEDS: dict[str, Callable] = {"bing": _rss_layout}
+FEED_SCHEMA = "channel struct<item: array<struct<link: string, title: string, description: string>>>, _broken string"
 
 
-def register(engine: str, layout: Callable[[Element], list[tuple]]) -> None:
+def register(engine: str, layout: Callable) -> None:
     """Adds a layout, or replaces one."""
     LAYOUTS[engine] = layout
 
 
+def register_table(engine: str, selectors: Iterable[Selector | tuple], rules: Rules = Rules()) -> None:  # noqa: B008
+    """Adds a layout that is a table of selectors, the rows of a DataFrame's collect() for one."""
+    register(engine, compiled(selectors, rules))
+
+
+def feed_items(html: Column) -> Column:
+    """The items of an RSS feed (link, title, description without markup), or null for what is no feed, a broken one or one without items."""
+    body = F.regexp_replace(html, "^[\\x{FEFF}\\s]+", "")
+    feed = F.when(body.startswith("<?xml") | body.startswith("<rss"), F.from_xml(body, FEED_SCHEMA, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    bare = lambda c: F.trim(decode_entities(F.regexp_replace(F.regexp_replace(said(c), "(?is)<(script|style|template)\\b.*?</\\1\\s*>|<!--.*?-->", ""), "(?s)\\s*<[a-zA-Z/!?][^>]*>\\s*", "")))
+    items = F.transform(feed["channel"]["item"], lambda i: F.struct(F.trim(said(i["link"])).alias("href"), F.trim(said(i["title"])).alias("title"), bare(i["description"]).alias("snippet")))
+    return F.when(F.size(items) > 0, items)
+
+
 _ROWS = "engine string, query_idx long, query string, page_no int, position int, href string, title string, snippet string, next_url string, is_feed boolean"
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """engine, query_idx, query, page_no, html, http_status -> rows as they are written in the pages, not unwrapped or filtered yet."""
-    layouts, feeds = dict(LAYOUTS), dict(FEEDS)
+def parse_pages(pages: DataFrame, layouts: dict[str, Callable] | None = None) -> DataFrame:
+    """engine, query_idx, query, page_no, html, http_status -> rows as they are written in the pages, not unwrapped or filtered yet.
+
+    layouts: instead of those registered. Feeds are taken apart before any Python; the source of a page that has feed items
+    doesn't reach it.
+    """
+    layouts = dict(LAYOUTS if layouts is None else layouts)
+    feeds = {k: f for k, f in FEEDS.items() if k not in XML_FEEDS}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                if not r.html or r.engine not in layouts:
+                if r.engine not in layouts:
                     continue
-                found = feeds[r.engine](r.html) if r.engine in feeds else []
-                page = tree(r.html)
-                rows = found or layouts[r.engine](page)
-                link = _next_link(page)
+                found, link = [(i["href"], i["title"], i["snippet"]) for i in r.items] if r.items is not None else [], ""
+                if not found and r.html:
+                    found = feeds[r.engine](r.html) if r.engine in feeds else []
+                rows = found
+                if not found and r.html:
+                    page = Page(tree(r.html))
+                    rows, link = layouts[r.engine](page), next_link(page)
                 out += [(r.engine, r.query_idx, r.query, r.page_no, k, *row, link, bool(found)) for k, row in enumerate(rows)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _ROWS.split(", ")])
 
-    return pages.filter("http_status = 200").select("engine", "query_idx", "query", "page_no", "html").mapInPandas(run, _ROWS)
+    asked = pages.filter("http_status = 200").withColumn("items", F.when(F.col("engine").isin(sorted(XML_FEEDS)), feed_items(F.col("html"))))
+    source = F.when(F.col("items").isNull(), F.col("html")).alias("html")
+    return asked.select("engine", "query_idx", "query", "page_no", source, "items").mapInPandas(run, _ROWS)
+
+
+def page_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, body: a page's visible text by its tree, pieces joined by blanks, in lower case, as a reader of the tree (not of tags) sees it."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "body": [Page(tree(h)).spaced_text().lower() if h else "" for h in batch["html"]]})
+
+    return pages.select(key, "html").mapInPandas(run, f"`{key}` {kind}, body string")
 
 
-def extract_results(pages: DataFrame) -> DataFrame:
+def extract_results(pages: DataFrame, layouts: dict[str, Callable] | None = None) -> DataFrame:
     """Results of stored search pages: addresses unwrapped, own-site links and feeds' foreign results gone, one a domain (or address) and page."""
-    rows, href = parse_pages(pages), F.col("href")
+    rows, href = parse_pages(pages, layouts), F.col("href")
     url = F.when(F.col("engine") == "yahoo", urls.unwrap_ru(href)).when(F.col("engine") == "duckduckgo", urls.unwrap_uddg(href)).when((F.col("engine") == "bing") & ~F.col("is_feed"), urls.unwrap_u(href)).otherwise(href)
     title = F.when(F.col("engine") == "yahoo", urls.clean_title(F.col("title"))).otherwise(F.col("title"))
     out = rows.withColumns({"url": url, "title": title}).filter("startswith(url, 'http') and not (engine = 'bing' and contains(url, 'bing.com'))")
