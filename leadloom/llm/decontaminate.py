@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import merged, steps, text_of
+from leadloom.llm.common import SpanHash, merged, steps, text_of
 
 WINDOW = 10
 #: Benchmark text that one pass over the documents looks for; larger benchmarks take several.
 BLOCK_BYTES = 8 << 20
+#: Places with items that are compared at once, and matches in one batch that goes back.
+PAIRS = 1 << 18
 _SPACES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32()), ("n_places", pa.int32())]))
 
 
 def words(text: str) -> list[bytes]:
@@ -88,78 +90,145 @@ class _Ranks:
         return n
 
 
-def search_shard(ids: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes):
-    """(hit, matches) of a shard: which words are hit, and rows (document, document word, item, item word, longest match).
+class _Located:
+    """Where the windows of items occur in a shard, and the hit words and the items met ranked together.
 
     ids: word numbers of the shard's documents in turn, 0 for a word that no item has; starts: where documents start,
     and the end. The shard's suffix array holds, in the order of their next `length` words, the suffixes that can match:
     those whose words occur in items, in one document. Every distinct test window is binary-searched in it; the range
-    found are its locations, so each location comes up once, however often words repeat.
+    found are its locations, so each location comes up once, however often words repeat. A location's items are a range
+    (first, many) of `items`; they aren't written out for each location.
+    """
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes):
+        self.ids, self.starts = ids, starts
+        change = np.zeros(len(ids) + 1, np.int64)
+        self.document = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        none = np.zeros(0, np.int64)
+        place, first, many, self.items = [none], [none], [none], none
+        for length, (keys, bounds, item, used) in suffixes.lengths.items():
+            run = np.concatenate([[0], np.cumsum(used[ids])])
+            at = np.flatnonzero(run[length:] - run[:-length] == length) if len(ids) >= length else none
+            at = at[starts[self.document[at] + 1] - at >= length]
+            if not len(at):
+                continue
+            array = _keys(ids[at[:, None] + np.arange(length)])
+            order = np.argsort(array, kind="stable")
+            array, at = array[order], at[order]
+            low, high = np.searchsorted(array, keys, "left"), np.searchsorted(array, keys, "right")
+            met = np.flatnonzero(high > low)
+            found = at[_spread(low[met], (high - low)[met])]
+            window = np.repeat(met, (high - low)[met])
+            change[found] += 1
+            change[found + length] -= 1
+            place.append(found)
+            first.append(bounds[window] + len(self.items))
+            many.append((bounds[1:] - bounds[:-1])[window])
+            self.items = np.concatenate([self.items, item])
+        self.hit = np.cumsum(change[:-1]) > 0
+        self.place, self.first, self.many = map(np.concatenate, (place, first, many))
+        if len(self.place):
+            self._rank(suffixes)
+
+    def _rank(self, suffixes: TestSuffixes) -> None:
+        # the hit words and the items that were met as one text; a word in between ends every match
+        ids, starts = self.ids, self.starts
+        ranges = np.unique(np.stack([self.first, self.many], 1), axis=0)
+        known = np.unique(self.items[_spread(ranges[:, 0], ranges[:, 1])])
+        sizes = np.diff(suffixes.starts)[known]
+        inside = np.flatnonzero(self.hit)
+        apart = np.cumsum((np.diff(inside, prepend=-2) > 1) | np.isin(inside, starts)) - 1
+        text = np.zeros(len(inside) + (apart[-1] + 1) + sizes.sum() + len(sizes), np.int64)
+        self.spot = np.zeros(len(ids), np.int64)
+        self.spot[inside] = np.arange(len(inside)) + apart
+        text[self.spot[inside]] = ids[inside]
+        base = len(inside) + (apart[-1] + 1) + np.cumsum(sizes + 1) - sizes - 1
+        text[_spread(base, sizes)] = suffixes.text[_spread(suffixes.starts[known], sizes)]
+        text[base + sizes] = -1
+        # where the run of hit words that a word is in ends
+        last = np.append(np.flatnonzero(np.diff(apart)), len(inside) - 1)
+        self.run_end = np.zeros(len(ids), np.int64)
+        self.run_end[inside] = inside[last[apart]] + 1
+        self.ranks = _Ranks(text, int(sizes.max()))
+        own = np.repeat(np.arange(len(known)), sizes)
+        theirs, rank = _spread(base, sizes), self.ranks.levels[-1]
+        order = np.lexsort((theirs, rank[theirs], own))
+        self.theirs, self.wide = theirs[order], len(text) + 1
+        self.keys = (own * self.wide + rank[theirs])[order]
+        self.known, self.base, self.ends, self.sizes = known, base, np.cumsum(sizes), sizes
+
+    def longest(self, place: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place and item the most words that they share from the place on, and the item's word at which that starts.
+
+        Of an item, the suffixes next to a location in rank share most with it.
+        """
+        k, here, rank = np.searchsorted(self.known, item), self.spot[place], self.ranks.levels[-1]
+        after = np.searchsorted(self.keys, k * self.wide + rank[here])
+        best, where = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        for beside in (after - 1, after):
+            able = (beside >= (self.ends - self.sizes)[k]) & (beside < self.ends[k])
+            other = self.theirs[np.clip(beside, 0, len(self.theirs) - 1)]
+            n = np.where(able, self.ranks.common(here, other), 0)
+            better = n > best
+            best, where = np.where(better, n, best), np.where(better, other - self.base[k], where)
+        return best, where
+
+
+def search_shard(ids: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes):
+    """(hit, matches) of a shard: which words are hit, and rows (document, document word, item, item word, longest match).
 
-    The locations' suffixes and the items' are then ranked together to their full length. Of an item, the suffixes next
-    to a location share most with it: its longest match. A match inside another one of that item isn't given.
+    All matches of all locations are written out; a match inside another one of its item isn't given.
     """
-    change = np.zeros(len(ids) + 1, np.int64)
-    document = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    places, items = [], []
-    for length, (keys, first, item, used) in suffixes.lengths.items():
-        run = np.concatenate([[0], np.cumsum(used[ids])])
-        at = np.flatnonzero(run[length:] - run[:-length] == length) if len(ids) >= length else np.zeros(0, np.int64)
-        at = at[starts[document[at] + 1] - at >= length]
-        if not len(at):
-            continue
-        array = _keys(ids[at[:, None] + np.arange(length)])
-        order = np.argsort(array, kind="stable")
-        array, at = array[order], at[order]
-        low, high = np.searchsorted(array, keys, "left"), np.searchsorted(array, keys, "right")
-        met = np.flatnonzero(high > low)
-        place = at[_spread(low[met], (high - low)[met])]
-        window = np.repeat(met, (high - low)[met])
-        change[place] += 1
-        change[place + length] -= 1
-        # each location with each item of its window
-        many = (first[1:] - first[:-1])[window]
-        places.append(np.repeat(place, many))
-        items.append(item[_spread(first[window], many)])
-    hit = np.cumsum(change[:-1]) > 0
-    if not places or not sum(map(len, places)):
-        return hit, np.zeros((0, 5), np.int64)
-    pairs = np.unique(np.concatenate(items) * len(ids) + np.concatenate(places))
+    found = _Located(ids, starts, suffixes)
+    if not len(found.place):
+        return found.hit, np.zeros((0, 5), np.int64)
+    pairs = np.unique(found.items[_spread(found.first, found.many)] * len(ids) + np.repeat(found.place, found.many))
     place, item = pairs % len(ids), pairs // len(ids)
-    # the hit words and the items that were met as one text; a word in between ends every match
-    known = np.unique(item)
-    sizes = np.diff(suffixes.starts)[known]
-    inside = np.flatnonzero(hit)
-    apart = np.cumsum((np.diff(inside, prepend=-2) > 1) | np.isin(inside, starts)) - 1
-    text = np.zeros(len(inside) + (apart[-1] + 1) + sizes.sum() + len(sizes), np.int64)
-    spot = np.zeros(len(ids), np.int64)
-    spot[inside] = np.arange(len(inside)) + apart
-    text[spot[inside]] = ids[inside]
-    base = len(inside) + (apart[-1] + 1) + np.cumsum(sizes + 1) - sizes - 1
-    text[_spread(base, sizes)] = suffixes.text[_spread(suffixes.starts[known], sizes)]
-    text[base + sizes] = -1
-    ranks = _Ranks(text, int(sizes.max()))
-    rank, wide = ranks.levels[-1], len(text) + 1
-    k = np.searchsorted(known, item)
-    own = np.repeat(np.arange(len(known)), sizes)
-    theirs = _spread(base, sizes)
-    order = np.lexsort((theirs, rank[theirs], own))
-    theirs, sorted_keys = theirs[order], (own * wide + rank[theirs])[order]
-    here = spot[place]
-    after = np.searchsorted(sorted_keys, k * wide + rank[here])
-    ends = np.cumsum(sizes)
-    best, where = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    for beside in (after - 1, after):
-        able = (beside >= (ends - sizes)[k]) & (beside < ends[k])
-        other = theirs[np.clip(beside, 0, len(theirs) - 1)]
-        n = np.where(able, ranks.common(here, other), 0)
-        better = n > best
-        best, where = np.where(better, n, best), np.where(better, other - base[k], where)
+    best, where = found.longest(place, item)
     # pairs are in order of item and place: a match that ends no later than one before it is inside that one
     end = item * (len(ids) + 1) + place + best
     keep = np.concatenate([[True], end[1:] > np.maximum.accumulate(end)[:-1]])
     place, item, best, where = place[keep], item[keep], best[keep], where[keep]
-    return hit, np.stack([document[place], place - starts[document[place]], item, where, best], 1)
+    return found.hit, np.stack([found.document[place], place - starts[found.document[place]], item, where, best], 1)
+
+
+def longest_matches(ids: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes, limit: int = PAIRS):
+    """(hit, matches) with one row for each document and item: document, document word, item, item word, words, places.
+
+    The longest match, the first in the document of equal ones, and at how many places windows of the item stand. Places
+    of one document whose words go on alike to the end of what is hit count as one, so that a template's many
+    occurrences aren't compared with its many items one by one; pairs are written out for some places at a time.
+    """
+    found = _Located(ids, starts, suffixes)
+    if not len(found.place):
+        return found.hit, np.zeros((0, 6), np.int64)
+    alike = SpanHash(ids).of(found.place, found.run_end[found.place])
+    order = np.lexsort((found.place, alike, found.first, found.document[found.place]))
+    place, first, many, alike = found.place[order], found.first[order], found.many[order], alike[order]
+    document = found.document[place]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(document) != 0) | (np.diff(first) != 0) | (alike[1:] != alike[:-1])]))
+    count = np.diff(np.append(new, len(place)))
+    place, first, many = place[new], first[new], many[new]
+    ends, at, out = np.cumsum(many), 0, []
+    while at < len(place):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        some = slice(at, stop)
+        item, spot, n = found.items[_spread(first[some], many[some])], np.repeat(place[some], many[some]), np.repeat(count[some], many[some])
+        best, where = found.longest(spot, item)
+        out.append(_strongest(np.stack([found.document[spot], spot, item, where, best, n], 1)))
+        at = stop
+    rows = _strongest(np.concatenate(out))
+    rows[:, 1] -= starts[rows[:, 0]]
+    return found.hit, rows
+
+
+def _strongest(rows: np.ndarray) -> np.ndarray:
+    """Of rows (document, place, item, item word, words, places) those with most words of each document and item, places summed."""
+    rows = rows[np.lexsort((rows[:, 1], -rows[:, 4], rows[:, 2], rows[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 2]) != 0)]))
+    out = rows[new]
+    out[:, 5] = np.add.reduceat(rows[:, 5], new)
+    return out
 
 
 def shard_matches(ids: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes):
@@ -167,11 +236,20 @@ def shard_matches(ids: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes):
     return map(tuple, search_shard(ids, starts, suffixes)[1].tolist())
 
 
+def _appended(lists: pa.ListArray, owner: np.ndarray, rows: pa.Array) -> pa.ListArray:
+    """The lists with each of the rows at the end of its owner's."""
+    owners = np.concatenate([np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), owner])
+    ends = np.cumsum(np.bincount(owners, minlength=len(lists)))
+    values = pa.concat_arrays([lists.flatten(), rows]).take(pa.array(np.argsort(owners, kind="stable")))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+
+
 def _search(suffixes, window: int):
     """Arrow batches with the columns that suffix search of one benchmark block adds to or extends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = suffixes.value
+        item_ids = pa.array(known.item_ids, pa.string())
         for batch in batches:
             for step in steps(batch):
                 get, numbers, starts = known.vocabulary.get, [], [0]
@@ -180,18 +258,23 @@ def _search(suffixes, window: int):
                     numbers.append(np.fromiter(map(get, own, repeat(0)), np.int64, len(own)))
                     starts.append(starts[-1] + len(own))
                 ids, starts = np.concatenate(numbers) if numbers else np.zeros(0, np.int64), np.array(starts)
-                hit, matches = search_shard(ids, starts, known)
-                before, spans = step.column("matches").to_pylist(), step.column("spans").to_pylist()
+                hit, matches = longest_matches(ids, starts, known)
+                spans = step.column("spans").to_pylist()
                 for d in np.unique(matches[:, 0]).tolist():
                     a, b = starts[d], starts[d + 1]
                     own = np.flatnonzero(np.diff(hit[a:b].astype(np.int8), prepend=0, append=0)).tolist()
                     spans[d] = merged([*zip(spans[d][::2], spans[d][1::2], strict=True), *zip(own[::2], own[1::2], strict=True)])
-                for d, p, item, word, n in matches.tolist():
-                    before[d].append({"item_id": known.item_ids[item], "item_word": word, "doc_word": p, "n_words": n})
-                yield pa.RecordBatch.from_arrays(
-                    [step.column("doc_id"), step.column("text").cast(pa.string()), pa.array(np.diff(starts), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(before, _MATCHES), step.column("row")],
+                parts = [item_ids.take(pa.array(matches[:, 2])), *(pa.array(matches[:, k], pa.int32()) for k in (3, 1, 4, 5))]
+                lists = _appended(step.column("matches"), matches[:, 0], pa.StructArray.from_arrays(parts, fields=list(_MATCHES.value_type)))
+                whole = pa.RecordBatch.from_arrays(
+                    [step.column("doc_id"), step.column("text").cast(pa.string()), pa.array(np.diff(starts), pa.int64()), pa.array(spans, pa.list_(pa.int32())), lists, step.column("row")],
                     ["doc_id", "text", "n_words", "spans", "matches", "row"],
                 )
+                ends, at = np.cumsum(np.asarray(lists.value_lengths())), 0
+                while at < whole.num_rows:
+                    stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                    yield whole.slice(at, stop - at)
+                    at = stop
 
     return run
 
@@ -210,7 +293,8 @@ def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
-    """For every row of docs: doc_id, n_words, n_hit, item_ids (array), matches (for each item the longest verbatim ones with locations), contaminated.
+    """For every row of docs: doc_id, n_words, n_hit, item_ids (array), matches (for each item its longest
+    verbatim one, the first of equal ones, with its location, and at how many places windows of the item stand), contaminated.
 
     A window is `window` consecutive words of an item, or a shorter item as a whole; words inside any occurrence are hit.
     Null texts have no words; items without words match nothing. An item with a null item_id hits words like any other and
@@ -221,7 +305,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.lit(None).cast("int")
     out = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"), row.alias("row"))
-    out = out.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>").alias("matches"), "row")
+    out = out.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<struct<item_id:string,item_word:int,doc_word:int,n_words:int,n_places:int>>").alias("matches"), "row")
     schema = out.schema
     blocks = 0
     for block in _blocks(benchmark, item, item_text, block_bytes):
