@@ -199,7 +199,9 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     3. The token-group matrix holds the union of the prefix tokens of each group, once for each token and group however
        many members have it. A member's overlap with another group's union bounds its overlap with the members, so it
        opens only groups with which it shares SHARED tokens or more, of fitting size; of two groups the smaller one
-       asks. A member that isn't linked to its leader opens its own group too. An opened group's members are compared in
+       asks. The rarest token that two prefixes share has SHARED - 1 shared ones after it in both, so it isn't among the
+       last of either: groups are met by the other tokens alone, and tokens of a template, which come last in the
+       order, don't bring every document to every group. A member that isn't linked to its leader opens its own group too. An opened group's members are compared in
        blocks with its queries in parts, leaving out pairs that are connected already, so members linked to the leader
        are never compared.
     """
@@ -208,7 +210,8 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     counts = spark.sparkContext.broadcast(sketch(texts, width))
     classes = saved(prefixes(texts, counts, width, percent), "sets")
     heads = classes.filter("signature is not null").groupBy("signature").agg(F.min(F.struct("doc", "n", "prefix")).alias("r")).select("r.*")
-    postings = saved(heads.filter("size(prefix) > 0").select("doc", "n", F.explode("prefix").alias("token")), "postings")
+    postings = heads.filter("size(prefix) > 0").select("doc", "n", F.size("prefix").alias("many"), F.posexplode("prefix").alias("pos", "token"))
+    postings = saved(postings.select("doc", "n", "token", F.expr(f"pos <= many - {SHARED}").alias("core")), "postings")
     leads = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("times"))
     leads = saved(leads.filter("times > 1").drop("times"), "leads")
     shared = saved(postings.join(leads, "token"), "shared")
@@ -218,12 +221,15 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     member = saved(shared.select("doc", "n").distinct().join(home, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")), "members")
     sizes = member.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum("n").alias("tokens"))
     sizes = saved(sizes.select("*", _blocks()), "sizes")
-    grouped = saved(shared.select("token", "doc", "n").join(member.join(sizes.select("grp", "members", "low", "high"), "grp"), ["doc", "n"]), "grouped")
-    matrix = grouped.groupBy("token", "grp").agg(*[F.max(c).alias(c) for c in ("members", "low", "high")])
-    own = grouped.select("token", "doc", "n", F.col("grp").alias("of"), F.col("members").alias("beside"))
+    grouped = saved(shared.select("token", "doc", "n", "core").join(member.join(sizes.select("grp", "members", "low", "high"), "grp"), ["doc", "n"]), "grouped")
+    union = ["members", "low", "high"]
+    matrix = grouped.groupBy("token", "grp").agg(*[F.max(c).alias(c) for c in union], F.max("core").alias("core"))
+    matrix = saved(matrix, "matrix")
+    own = grouped.filter("core").select("token", "doc", "n", F.col("grp").alias("of"), F.col("members").alias("beside"))
     asks = "grp <> of and (members > beside or members = beside and grp < of)"
     fits = f"100 * n >= {percent} * low and 100 * high >= {percent} * n"
-    across = own.join(matrix, "token").filter(f"{asks} and {fits}").groupBy("doc", "grp").agg(F.count("*").alias("c"))
+    met = saved(own.join(matrix.filter("core").drop("core"), "token").filter(f"{asks} and {fits}").select("doc", "grp").distinct(), "met")
+    across = met.join(grouped.select("doc", "token"), "doc").join(matrix.select("token", "grp"), ["token", "grp"]).groupBy("doc", "grp").agg(F.count("*").alias("c"))
     across = saved(across.filter(f"c >= {SHARED}").select("doc", "grp"), "across")
     asked = saved(across.select("grp").distinct(), "asked")
 
