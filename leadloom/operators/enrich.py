@@ -18,12 +18,13 @@ def visit_key(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"[?#].*$", ""), "/+$", "")
 
 
-def visit_plan(targets: DataFrame, config: LeadConfig | None = None, mode: str = "static") -> DataFrame:
-    """target key, visit and page key: the home page, then contact paths, as many as the mode allows."""
+def visit_plan(targets: DataFrame, config: LeadConfig | None = None, mode: str = "static", kept: list[str] | None = None) -> DataFrame:
+    """target key, visit and page key, and kept columns of the target: the home page, then contact paths, as many as the mode allows."""
     config = config or LeadConfig()
     paths = ["", *config.contact_paths[: config.max_contact_paths.get(mode, len(config.contact_paths))]]
     base = F.regexp_replace("website", "/+$", "")
-    return targets.select("key", base.alias("_base"), F.posexplode(F.array(*map(F.lit, paths)))).select("key", F.col("pos").alias("visit"), visit_key(F.concat("_base", "col")).alias("page_key"))
+    planned = targets.select("key", base.alias("_base"), *(kept or []), F.posexplode(F.array(*map(F.lit, paths))))
+    return planned.select("key", F.col("pos").alias("visit"), visit_key(F.concat("_base", "col")).alias("page_key"), *(kept or []))
 
 
 def page_facts(pages: DataFrame, config: LeadConfig | None = None, kept: list[str] | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from leadloom.config import LeadConfig
 from leadloom.functions import contacts
 from leadloom.operators.enrich import page_facts, relevance, visit_plan, with_found
+from leadloom.shared import shared_path
 from leadloom.streaming.runs import RunTable
 
 RESULT = "key string, email string, phone string, page_name string, pass int, lead_quality string, keyword_match_pct int, settled boolean"
@@ -23,15 +24,21 @@ KINDS = {name: {"string": "string", "int": "Int32", "boolean": "bool"}[kind] for
 MODES = ("static", "rendered")
 
 
-def visits(pages: DataFrame, targets: DataFrame, config: LeadConfig | None = None, time: str | None = None) -> DataFrame:
-    """What each arriving page says of the targets that it belongs to: no page source or text goes on.
+def visit_table(targets: DataFrame, config: LeadConfig | None = None) -> DataFrame:
+    """Every target's visits of both modes with its query, written once, so that batches join a small table and not what targets are made of."""
+    config = config or LeadConfig()
+    plans = [visit_plan(targets, config, m, ["search_query"]).withColumn("render_mode", F.lit(m)) for m in MODES]
+    path, plan = shared_path(targets.sparkSession, "visits"), plans[0].unionByName(plans[1])
+    plan.write.parquet(path)
+    return targets.sparkSession.read.schema(plan.schema).parquet(path)
+
+
+def visits(pages: DataFrame, plan: DataFrame, config: LeadConfig | None = None, time: str | None = None) -> DataFrame:
+    """What each arriving page says of the targets that it belongs to (plan: a visit_table): no page source or text goes on.
 
     key, render_mode, visit, the page's best email with its score, its first phone, its name, and of a static home page the grade.
     """
-    config = config or LeadConfig()
-    queries = targets.select("key", "search_query")
-    plan = visit_plan(targets, config, "static").withColumn("render_mode", F.lit("static")).unionByName(visit_plan(targets, config, "rendered").withColumn("render_mode", F.lit("rendered")))
-    facts = page_facts(pages, config, [time] if time else []).join(plan.join(queries, "key"), ["page_key", "render_mode"])
+    facts = page_facts(pages, config, [time] if time else []).withColumn("body", F.when(F.col("render_mode") == "static", F.col("body"))).join(plan, ["page_key", "render_mode"])
     scored = F.transform("emails", lambda e: F.struct(contacts.email_score(e, config).alias("score"), F.lower(F.trim(e)).alias("email")))
     home = (F.col("visit") == 0) & (F.col("render_mode") == "static") & (F.col("search_query") != "")
     grade = F.when(home, F.struct(*[v.alias(k) for k, v in relevance(F.col("body"), F.col("search_query")).items()]))
@@ -116,7 +123,7 @@ def site_updates(pages: DataFrame, targets: DataFrame, config: LeadConfig | None
     anew; such a stream runs until it is stopped, even when its trigger is availableNow. Without both, sites stay open.
     """
     idle_ms = 3_600_000 if time and idle_ms is None else idle_ms
-    arriving = visits(pages.withWatermark(time, lateness) if time else pages, targets, config, time)
+    arriving = visits(pages.withWatermark(time, lateness) if time else pages, visit_table(targets, config), config, time)
     timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return arriving.groupBy("key").applyInPandasWithState(_site(idle_ms, bool(time)), RESULT, STATE, "update", timeout)
 
