@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """(terms' bins, machine) from at most sample_rows labelled rows outside the held-out part, the first by a hash of the id.
 
     Labels other than 0 and 1 aren't used; an id with both counts as toxic. Of rows of docs that repeat an id one is learned
-    from, the one with the least bins. Without any usable row the machine scores everything 0.5 or, with one class
+    from, the one with the least bins. Ids are whole numbers. Without any usable row the machine scores everything 0.5 or, with one class
     only, by that class's share.
     """
     usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label"))
