@@ -185,6 +185,7 @@ def compiled(selectors: Iterable[Selector | tuple], rules: Rules = Rules()) -> C
                 return out
         return []
 
+    rows.indexed = True
     return rows
 
 

@@ -148,7 +148,7 @@ def next_link(page: Page) -> str:
     return "" if at is None else page.elements[at].attributes["href"] or ""
 
 
-#: Layouts by engine: functions from a page to (href, title, snippet) rows. Users add theirs with register() or register_table().
+#: Layouts by engine: functions from a page's tree to (href, title, snippet) rows. Users add theirs with register() or register_table().
 LAYOUTS: dict[str, Callable] = {engine: compiled(*table) for engine, table in TABLES.items()}
 #: Engines whose pages may be feeds, which Spark's own XML reader takes apart; and feeds for the table function, from source text.
 XML_FEEDS = {"bing"}
@@ -199,8 +199,9 @@ def parse_pages(pages: DataFrame, layouts: dict[str, Callable] | None = None) ->
                     found = feeds[r.engine](r.html) if r.engine in feeds else []
                 rows = found
                 if not found and r.html:
-                    page = Page(tree(r.html))
-                    rows, link = layouts[r.engine](page), next_link(page)
+                    root = tree(r.html)
+                    page, layout = Page(root), layouts[r.engine]
+                    rows, link = layout(page if getattr(layout, "indexed", False) else root), next_link(page)
                 out += [(r.engine, r.query_idx, r.query, r.page_no, k, *row, link, bool(found)) for k, row in enumerate(rows)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _ROWS.split(", ")])
 
