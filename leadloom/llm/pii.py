@@ -29,10 +29,19 @@ TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Spelled-out signs of an address, with or without brackets around them.
 SIGN = re.compile(rb"[\[({<]?(at|dot)[\])}>]?", re.I)
 SPELLED = re.compile(rb"[\[({<](?:at|dot)[\])}>]|\x20dot\x20", re.I)
+#: A local part that isn't just a word, so that it can be known again where it stands alone.
+NAME = re.compile(rb"(?=[0-9._%+-]*[a-z])(?=[a-z]*[0-9._%+-])[a-z0-9._%+-]{5,64}")
+#: Signs around a token that aren't its own.
+MARGIN = b".,;:!?#$%&*|()<>[]{}\"'"
+#: Digits at the end that make two numbers the same, and digits that are looked at.
+SAME, FAR = 7, 15
+#: Words before a number, or after it, that make it a thing's, and words before it that make it a person's.
+THING = frozenset(b"part item model order invoice serial sku version section lot batch ref reference isbn article ticket case code chapter units items pieces pages boxes copies".split())
+PERSON = frozenset(b"tel telephone phone call fax mobile cell text reach dial ring whatsapp".split())
 #: Documents that the field is fitted on at most, their nodes at most, passes over them, and the belief from which a token is reported.
-SAMPLE_DOCS, SAMPLE_NODES, EPOCHS, BELIEF = 4_000, 400, 20, 0.9
+SAMPLE_DOCS, SAMPLE_NODES, EPOCHS, BELIEF = 3_000, 250, 40, 0.9
 #: Weight of an unlabelled node that could be personal data in another form.
-DOUBT = 0.02
+DOUBT = 0.004
 #: Hash bins of the features, rounds of message passing.
 FEATURES, ROUNDS = 1 << 12, 8
 #: Label 0 is "none of them"; the others follow KINDS.
@@ -87,43 +96,86 @@ def _written_otherwise(kind: int, raw: bytes, k: int) -> list[bytes]:
         parts = [digits[i : i + 4] for i in range(0, len(digits), 4)]
         return ([b".".join(parts)], [b"_".join(parts)], [b"/".join(parts)])[k % 3]
     end = digits[-10:]
-    return ([b"(" + end[:-7] + b")", end[-7:-4] + b"-" + end[-4:]], [b"-".join([end[:-7], end[-7:-4], end[-4:]])], [b".".join([end[:-7], end[-7:-4], end[-4:]])], raw.replace(b"+", b"").split())[k % 4]
+    new = ([b"(" + end[:-7] + b")", end[-7:-4] + b"-" + end[-4:]], [b"-".join([end[:-7], end[-7:-4], end[-4:]])], [b".".join([end[:-7], end[-7:-4], end[-4:]])], raw.replace(b"+", b"").split(), [b"00" + digits], [b"0" + end])[k % 6]
+    return [(b"tel", b"call", b"phone", b"mobile")[k // 12 % 4], *new] if k // 6 % 2 or k % 6 == 5 else new
 
 
 def perturbed(body: bytes, base: list[tuple[int, int, int]]) -> tuple[bytes, list[tuple[int, int, int]]]:
-    """The text with its base spans written otherwise, and some of them again at its end, and where they are then: what the field learns from besides the text itself."""
-    out, spans, at = [], [], 0
-    last = -1
+    """The text with its base spans written otherwise, and where they are then: what the field learns forms from."""
+    out, spans, at, size = [], [], 0, 0
     for kind, a, b in sorted(base, key=lambda x: x[1]):
-        if a < last:
+        if a < at:
             continue
-        out.append(body[at:a])
         new = b" ".join(_written_otherwise(kind, body[a:b], zlib.crc32(body[a:b])))
-        start = sum(map(len, out))
-        out.append(new)
-        spans.append((kind, start, start + len(new)))
-        if zlib.crc32(body[a:b]) % 3 == 0:  # as it was, later and without anything around it that tells
-            spans.append((kind, -len(new), b - a))
-        at = last = b
-    out.append(body[at:])
-    whole = b"".join(out)
-    found = []
-    for kind, a, b in spans:
-        if a < 0:
-            whole += b" " + new if (new := whole[found[-1][1] : found[-1][2]]) else b""
-            found.append((kind, len(whole) - len(new), len(whole)))
-        else:
-            found.append((kind, a, b))
-    return whole, found
+        word = len(new.split()[0]) + 1 if new.split()[0] in PERSON else 0
+        size += a - at
+        spans.append((kind, size + word, size + len(new)))
+        out += [body[at:a], new]
+        size += len(new)
+        at = b
+    return b"".join([*out, body[at:]]), spans
+
+
+def _bare(kind: int, raw: bytes, k: int) -> bytes:
+    """What is left of a span where it is mentioned again, or nothing: what only the earlier mention tells."""
+    digits = b"".join(NUMERAL.findall(raw))
+    if kind == 0:
+        local = raw.partition(b"@")[0].lower().strip(MARGIN)
+        return local if NAME.fullmatch(local) else b""
+    if kind == 1:
+        return raw.replace(b".", b"-")
+    if kind == 2:
+        return b""
+    rest = b" ".join(raw.split()[1:])
+    return (rest if len(NUMERAL.findall(rest)) >= SAME else digits[-8:], digits[-7:-4] + b"-" + digits[-4:], digits[-10:], digits[-8:-4] + b" " + digits[-4:])[k % 4]
+
+
+def remembered(body: bytes, base: list[tuple[int, int, int]]) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """The text as it is, then two bare later mentions of each of its base spans between words of its own, and others like them.
+
+    What the field learns skip edges from. The others have changed digits, once or twice, or a thing's word beside them;
+    their kind is -1: told to be nothing.
+    """
+    words = [w for w in TOKEN.findall(body[:4_000]) if w.isalpha()][:40] or [b"and"]
+    out, spans, size = [body], list(base), len(body)
+
+    def put(kind: int, new: bytes, k: int, before: bytes = b"", after: bytes = b"") -> None:
+        nonlocal size
+        lead = b" ".join([b"", words[k % len(words)], words[(k >> 8) % len(words)], *([before] if before else [])]) + b" "
+        tail = b" ".join([b"", *([after] if after else []), words[(k >> 16) % len(words)]])
+        spans.append((kind, size + len(lead), size + len(lead) + len(new)))
+        out.append(lead + new + tail)
+        size += len(lead) + len(new) + len(tail)
+
+    for kind, a, b in base[:20]:
+        raw = body[a:b]
+        k = zlib.crc32(raw)
+        new = _bare(kind, raw, k)
+        if not new:
+            continue
+        for j in range(2):
+            put(kind, new, k >> j)
+        other = new.translate(bytes.maketrans(b"0123456789", b"7418529630"))
+        if kind != 3 or k % 4:
+            for _ in range(1 + k // 4 % 2):
+                put(-1, other, k >> 1)
+        if kind == 3 and k // 512 % 3 == 0:
+            end = b"".join(NUMERAL.findall(raw)).translate(bytes.maketrans(b"0123456789", b"2345678901"))[-10:]
+            sign = (b"-", b".", b" ", b"")[k // 8 % 4]
+            thing = sorted(THING)[k // 32 % len(THING)]
+            put(-1, sign.join([end[:-7], end[-7:-4], end[-4:]]), k >> 2, *((b"", thing) if thing.endswith(b"s") else (thing, b"")))
+    return b"".join(out), spans
 
 
 class Sequence:
     """The tokens of a document that could be personal data, and the edges between them.
 
     Nodes are tokens with a numeral or an @, and spelled-out signs of an address with the tokens beside them: those in
-    brackets, and a bare "at" that a "dot" follows. Chain edges join tokens next to each other; skip edges join a token
-    to the one before it that is the same or similar: with equal numerals, or the same last seven of them, or equal
-    letters. Edges grow with the tokens.
+    brackets, and a bare "at" that a "dot" follows; besides, local parts of addresses where they stand alone, if they aren't
+    just letters. Chain edges join tokens next to each other. Skip edges join distant tokens that are the same or similar:
+    the same address or local part, the same four numbers, or numbers (of one token or of several in a row, however
+    parted) whose last seven digits are equal; of these, tokens that hold the same digits are joined. A token is joined to
+    the last one before it, so edges grow with the tokens.
     """
 
     def __init__(self, body: bytes):
@@ -139,20 +191,50 @@ class Sequence:
                         node[j] = True
                 elif SPELLED.search(w):
                     node[k] = True
+        self.names = {n for w in words if b"@" in w and NAME.fullmatch(n := w.partition(b"@")[0].lower().strip(MARGIN))}
+        if self.names:
+            node = [x or w.lower().strip(MARGIN) in self.names for x, w in zip(node, words, strict=True)]
         place = [k for k, x in enumerate(node) if x]
         self.spans = [tokens[k] for k in place]
         self.words = [(words[k - 1] if k else b"", words[k], words[k + 1] if k + 1 < len(words) else b"") for k in place]
         self.chain = [(i - 1, i) for i in range(1, len(place)) if place[i] == place[i - 1] + 1]
+        digits = [b"" if b"@" in w else b"".join(NUMERAL.findall(w))[-FAR:] for _, w, _ in self.words]
+
+        def tail(i: int) -> list[tuple[int, int, int]]:
+            """Tokens of the number that ends with token i, the last one first, and their digits' places from the end."""
+            out = [(i, 0, len(digits[i]))]
+            while i and out[-1][2] < FAR and place[i - 1] + 1 == place[i] and digits[i - 1]:
+                i -= 1
+                out.append((i, out[-1][2], out[-1][2] + len(digits[i])))
+            return out
+
         last: dict[bytes, int] = {}
-        self.skip = []
+        skip: dict[tuple[int, int], None] = {}
         for i, (_, w, _) in enumerate(self.words):
-            digits = b"".join(NUMERAL.findall(w))
-            key = digits[-7:] if digits else w.lower().strip(b".,;:!?#$%&*|()<>\"'")
             if SIGN.fullmatch(w):
                 continue
-            if key in last and place[last[key]] + 1 != place[i]:
-                self.skip.append((last[key], i))
-            last[key] = i
+            low = w.lower().strip(MARGIN)
+            parts = RUNS.findall(w) if b"@" not in w else ()
+            for key in {low, low.partition(b"@")[0]} if b"@" in w or low in self.names else {b" ".join(parts)} if len(parts) == 4 else ():
+                if key in last and place[last[key]] + 1 != place[i]:
+                    skip[last[key], i] = None
+                last[key] = i
+            if not digits[i] or low in self.names:
+                continue
+            mine = tail(i)
+            number = b"".join(digits[k] for k, _, _ in reversed(mine))
+            key = b"#" + number[-SAME:]
+            if len(number) >= SAME and key in last:
+                before = tail(last[key])
+                other = b"".join(digits[k] for k, _, _ in reversed(before))
+                same = next((n for n in range(min(len(number), len(other))) if number[-1 - n] != other[-1 - n]), min(len(number), len(other)))
+                for k, p, q in mine:
+                    for j, x, y in before:
+                        if place[j] + 1 < place[k] and max(p, x) < min(q, y, same):
+                            skip[j, k] = None
+            if len(number) >= SAME:
+                last[key] = i
+        self.skip = list(skip)
 
     def features(self) -> list[list[int]]:
         def shape(w: bytes) -> str:
@@ -168,21 +250,26 @@ class Sequence:
                 f"luhn{13 <= n <= 19 and luhn(digits)}", "shape" + shape(w), "runs" + "-".join(str(len(x)) for x in RUNS.findall(w)[:8]), "sign" + (w.lower().decode("latin-1") if SIGN.fullmatch(w) else ""),
                 "before" + before[:20].decode("latin-1").lower(), "beforeshape" + shape(before), "aftershape" + shape(after),
                 "signs" + "".join(str(int(SIGN.fullmatch(x) is not None)) for x in (before, after)),
+                f"thing{before.lower().strip(MARGIN) in THING or after.lower().strip(MARGIN) in THING}", f"person{before.lower().strip(MARGIN) in PERSON or w.lower().partition(b':')[0] in PERSON}",
             ]
             out.append([zlib.crc32(f.encode()) % FEATURES for f in own] + [FEATURES])
         return out
 
     def silver(self, base: list[tuple[int, int, int]]) -> np.ndarray:
         """A label for each node: that of the base span which overlaps it (of several, the last kind)."""
-        out = np.zeros(len(self.spans), np.int64)
+        return self.told(base)[0]
+
+    def told(self, base: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """A label for each node, that of the span which overlaps it (of several, the last kind), and whether one does."""
+        out, told = np.zeros(len(self.spans), np.int64), np.zeros(len(self.spans), bool)
         starts = [a for a, _ in self.spans]
         for kind, a, b in base:
             i = max(0, bisect_right(starts, a) - 1)
             while i < len(starts) and starts[i] < b:
                 if self.spans[i][1] > a:
-                    out[i] = kind + 1
+                    out[i], told[i] = kind + 1, True
                 i += 1
-        return out
+        return out, told
 
 
 def weights(seq: Sequence, labels: np.ndarray) -> np.ndarray:
@@ -203,7 +290,7 @@ class SkipChainField:
         self.chain = np.zeros((LABELS, LABELS))
         self.skip = np.zeros((LABELS, LABELS))
 
-    def fit(self, docs: list[tuple], epochs: int = EPOCHS, rate: float = 0.2, shrink: float = 1e-4, seed: int = 3) -> SkipChainField:
+    def fit(self, docs: list[tuple], epochs: int = EPOCHS, rate: float = 0.3, shrink: float = 1e-4, seed: int = 3) -> SkipChainField:
         """Pseudo-likelihood: each node given its neighbours' labels; AdaGrad steps. docs: (features, labels, chain, skip, and weights if there are any)."""
         docs = [d for d in docs if len(d[1])]
         sums = [np.full_like(x, 1e-6) for x in (self.unary, self.chain, self.skip)]
@@ -212,15 +299,15 @@ class SkipChainField:
             for part in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 64)):
                 features, labels, chain, skip, count, base = [], [], [], [], [], 0
                 for f, y, c, s, *w in (docs[i] for i in part):
-                    features += f
+                    features.append(np.asarray(f))
                     labels.append(y)
                     count.append(w[0] if w else np.ones(len(y)))
-                    chain += [(a + base, b + base) for a, b in c]
-                    skip += [(a + base, b + base) for a, b in s]
+                    chain.append(np.asarray(c, np.int64).reshape(-1, 2) + base)
+                    skip.append(np.asarray(s, np.int64).reshape(-1, 2) + base)
                     base += len(y)
-                x, y = np.array(features), np.concatenate(labels)
+                x, y = np.concatenate(features), np.concatenate(labels)
                 energy = self.unary[x].sum(1)
-                edges = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
+                edges = [np.concatenate(e) for e in (chain, skip)]
                 for e, t in zip(edges, (self.chain, self.skip), strict=True):
                     np.add.at(energy, e[:, 1], t[y[e[:, 0]]])
                     np.add.at(energy, e[:, 0], t.T[y[e[:, 1]]])
@@ -239,9 +326,13 @@ class SkipChainField:
                     w -= rate * g / np.sqrt(s)
         return self
 
-    def beliefs(self, features: list[list[int]], chain: list, skip: list, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product: messages along all edges in both directions, `rounds` times, halfway damped."""
+    def beliefs(self, features: list[list[int]], chain: list, skip: list, rounds: int = ROUNDS, observed: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product: messages along all edges in both directions, `rounds` times, halfway damped. Nodes with an observed label (not 0) have it."""
         unary = self.unary[np.array(features)].sum(1)
+        if observed is not None:
+            seen = np.flatnonzero(observed)
+            unary[seen] = -50.0
+            unary[seen, observed[seen]] = 0.0
         unary -= unary.max(1, keepdims=True)
         edges = np.array([*chain, *skip], np.int64).reshape(-1, 2)
         if not len(edges):
@@ -265,11 +356,11 @@ class SkipChainField:
         return p / p.sum(1, keepdims=True)
 
 
-def plausible(kind: int, body: bytes) -> bool:
-    """What an added span must have at least."""
+def plausible(kind: int, body: bytes, names: set[bytes] = frozenset()) -> bool:
+    """What an added span must have at least. names: local parts that stand for an address."""
     n = len(NUMERAL.findall(body))
-    signs = re.search(rb"@|[\[({<]at[\])}>]| at ", body[1:-1], re.I) is not None
-    return (signs, body.count(b".") >= 3 and n >= 4, 13 <= n <= 19 and luhn(b"".join(NUMERAL.findall(body))), 7 <= n <= 15)[kind]
+    signs = re.search(rb"@|[\[({<]at[\])}>]| at ", body[1:-1], re.I) is not None or body.lower() in names
+    return (signs, len(RUNS.findall(body)) == 4 and all(int(x[-4:]) <= 255 for x in RUNS.findall(body)), 13 <= n <= 19 and luhn(b"".join(NUMERAL.findall(body))), 7 <= n <= 15)[kind]
 
 
 def added_spans(body: bytes, base: list[tuple[int, int, int]], field: SkipChainField, belief: float = BELIEF) -> list[tuple[int, int, int]]:
@@ -277,7 +368,7 @@ def added_spans(body: bytes, base: list[tuple[int, int, int]], field: SkipChainF
     seq = Sequence(body)
     if not seq.spans:
         return []
-    p = field.beliefs(seq.features(), seq.chain, seq.skip)
+    p = field.beliefs(seq.features(), seq.chain, seq.skip, observed=seq.silver(base))
     label = np.where(p.max(1) >= belief, p.argmax(1), 0)
     cover = merged([(a, b) for _, a, b in base])
     chained, out = set(seq.chain), []
@@ -293,7 +384,7 @@ def added_spans(body: bytes, base: list[tuple[int, int, int]], field: SkipChainF
     for kind, a, b, _ in out:
         raw = body[a:b]
         a, b = a + len(raw) - len(raw.lstrip(b".,;:!?#$%&*|<>\"'")), b - len(raw) + len(raw.rstrip(b".,;:!?#$%&*|<>\"'"))
-        if b > a and plausible(kind, body[a:b]):
+        if b > a and plausible(kind, body[a:b], seq.names):
             trimmed.append((kind, a, b))
     return trimmed
 
@@ -305,8 +396,8 @@ def _render(spans: list[tuple[int, int, int]], points: dict[int, int]) -> str:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> SkipChainField:
     """A field fitted on at most sample_docs documents with a numeral or an @, the first by a hash of the id.
 
-    It learns from each as it is, labelled by its base spans, and with these spans written otherwise. Documents with more
-    than SAMPLE_NODES nodes aren't learned from.
+    It learns from each as it is, labelled by its base spans, with these spans written otherwise, and with bare later
+    mentions of them and of what is like them. Texts with more than SAMPLE_NODES nodes aren't learned from.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
     sample = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -318,17 +409,17 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: i
                 for i, t in zip(step.column("doc_id").to_pylist(), step.column("text").to_pylist(), strict=True):
                     body = t.encode("utf-8", "surrogatepass")
                     base = base_spans(body)
-                    for text_, spans in [(body, base), *([perturbed(body, base)] if base else [])]:
+                    for text_, spans in [(body, base), *([perturbed(body, base), remembered(body, base)] if base else [])]:
                         seq = Sequence(text_)
                         if len(seq.spans) <= SAMPLE_NODES:
-                            y = seq.silver(spans)
-                            out.append({"doc_id": i, "x": [v for f in seq.features() for v in f], "y": y.tolist(), "chain": [v for e in seq.chain for v in e], "skip": [v for e in seq.skip for v in e], "w": weights(seq, y).tolist()})
+                            y, told = seq.told(spans)
+                            out.append({"doc_id": i, "x": [v for f in seq.features() for v in f], "y": y.tolist(), "chain": [v for e in seq.chain for v in e], "skip": [v for e in seq.skip for v in e], "w": np.where(told, 1.0 + (y > 0), weights(seq, y)).tolist()})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("x", "y", "chain", "skip")), ("w", pa.list_(pa.float64()))]))
 
     table = rows.join(F.broadcast(sample), "doc_id").mapInArrow(examples, "doc_id long, x array<int>, y array<int>, chain array<int>, skip array<int>, w array<double>").toArrow()
-    found = sorted(table.to_pylist(), key=lambda r: (r["doc_id"], r["x"]))[: 2 * sample_docs]
-    pairs = lambda v: list(zip(v[::2], v[1::2], strict=True))
-    return SkipChainField().fit([(np.array(r["x"]).reshape(len(r["y"]), -1).tolist(), np.array(r["y"], np.int64), pairs(r["chain"]), pairs(r["skip"]), np.array(r["w"])) for r in found])
+    cells = {c: [np.asarray(v.values, t) for v in table.column(c)] for c, t in (("x", np.int32), ("y", np.int64), ("chain", np.int32), ("skip", np.int32), ("w", np.float64))}
+    order = sorted(range(table.num_rows), key=lambda k: (table.column("doc_id")[k].as_py(), cells["x"][k].tobytes()))[: 3 * sample_docs]
+    return SkipChainField().fit([(cells["x"][k].reshape(len(cells["y"][k]), -1), cells["y"][k], cells["chain"][k], cells["skip"][k], cells["w"][k]) for k in order if len(cells["y"][k])])
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -336,9 +427,10 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
 
     Whole texts are read; null counts as empty and has no spans. Rows that repeat a doc_id are rows of their own; a null
     doc_id stays null; an empty table gives an empty one; other columns aren't read. Spans are in code points, the end
-    exclusive. The field learns from the base spans of a bounded sample, as they are and written otherwise (signs spelled
-    out, no plus, other separators), and adds tokens that look and stand like them, or repeat one that does; added spans
-    never overlap base ones.
+    exclusive. The field learns from the base spans of a bounded sample, as they are, written otherwise (signs spelled out,
+    no plus, other separators) and mentioned again. It adds tokens that look and stand like them, and, along its skip
+    edges, later or earlier mentions that only the other mention tells: a number without its prefix, an address's local
+    part alone. Base spans are observed labels of the field; added spans never overlap them.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, key, text, **options))
 
