@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import zstandard
@@ -26,8 +28,15 @@ SENSITIVE = (b"passw", b"passphrase", b"secret", b"token", b"apikey", b"api_key"
 REACH = 64
 #: Candidates: least length in characters, and the least compressed bytes they, or their head, must add for each of their own.
 SHORTEST, HEAD = 16, 200
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-NOVELTY = 0.6
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.!@#$%%^&*~-]{%d,}" % SHORTEST)
+#: Signs that end a sentence rather than a candidate.
+MARGIN = b".!*"
+NOVELTY = 1.0
+#: Level of compression, bytes of the dictionary's tables and samples, forms of identifiers that it is trained on, and the length of the text before a candidate.
+LEVEL, TRAINED, FORMS, LEAD = 12, 16_384, 8_000, 256
+#: Where a new word of a compound name starts, and other places where letters, capitals and numerals change.
+COMPOUND = re.compile(rb"(?<=[a-z0-9])(?=[A-Z][a-z]{2})|(?<=[A-Z])(?=[A-Z][a-z]{2})")
+CHANGE = re.compile(rb"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z0-9][A-Z])(?=[a-z])")
 #: The end of a line and what may stand around it where a key is broken.
 LINE = re.compile(rb"[\x20\x09\"'\\+,nr]{0,8}\r?\n[\x20\x09\"'>#*]{0,16}")
 #: Bytes of code on each side that prime the compressor.
@@ -51,18 +60,46 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000000000000000000000
 """
 
 
+def spelled(raw: bytes) -> bytes:
+    """Lower-cased, the words of compound names apart; every other change between letters, capitals and numerals is a byte of its own, so that it has its price."""
+    return CHANGE.sub(b"\x01", COMPOUND.sub(b"_", raw)).lower()
+
+
+@cache
+def trained() -> bytes:
+    """A zstandard dictionary whose tables know how identifiers are written: names of one to three words in the usual forms."""
+    rng = random.Random(0)
+    words = [w for w in IDENTIFIERS.split() if w.isalpha() and len(w) < 20]
+    samples = []
+    for k in range(FORMS):
+        w = [x.lower() for x in rng.sample(words, 3)]
+        samples.append((b"_".join(w), b"-".join(w), b".".join(w), b"/".join(w), b"_".join(w[:2]), b" ".join(w), w[0] + b"_%d" % rng.randint(1, 2030), b"%s-v%d.%d" % (w[0], rng.randint(1, 9), rng.randint(0, 20)))[k % 8])
+    return zstandard.train_dictionary(TRAINED, samples, level=3).as_bytes()
+
+
+@cache
+def lead() -> bytes:
+    """Letters as frequent as in identifiers, in no order: what stands before a candidate, so that a short one pays no more for a block than its part."""
+    letters = bytes(c for c in IDENTIFIERS.lower() if 97 <= c <= 122) + b"_./-" * 30
+    return bytes(random.Random(1).choices(letters, k=LEAD))
+
+
 class Novelty:
-    """Marginal compressed bytes of a string, with a dictionary of identifiers and of the code around it."""
+    """Marginal compressed bytes of a string, with dictionaries of identifiers and of the code around it."""
 
-    def __init__(self):
-        self.level = 3
+    def __init__(self, level: int = LEVEL):
+        self.level = level
 
     def bits(self, candidate: bytes, around: bytes) -> float:
-        """Compressed bytes that the candidate adds to nothing but the dictionary, for each byte of it."""
-        dictionary = zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        """Compressed bytes that the candidate, as spelled(), adds to what the dictionaries tell, for each byte of it.
+
+        The dictionary is trained on forms of identifiers, so letters have prices by their frequency there; its text is
+        the identifiers and what stands around the candidate.
+        """
+        dictionary = zstandard.ZstdCompressionDict(trained() + IDENTIFIERS + spelled(around), dict_type=zstandard.DICT_TYPE_FULLDICT)
         packer = zstandard.ZstdCompressor(level=self.level, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
-        empty = len(packer.compress(b""))
-        return (len(packer.compress(candidate)) - empty) / max(1, len(candidate))
+        empty = len(packer.compress(lead()))
+        return (len(packer.compress(lead() + spelled(candidate))) - empty) / max(1, len(candidate))
 
 
 def base_spans(body: bytes) -> list[tuple[int, int, int]]:
@@ -91,8 +128,11 @@ def novel_spans(body: bytes, known: list[tuple[int, int, int]], novelty: Novelty
             start, done = m.start(), CANDIDATE.match(body, m.start()).end()
             before = len(out)
             for a, b in _apart(start, done, cover):
-                found = body[a:b]
-                if not (re.search(rb"[0-9]", found) and re.search(rb"[A-Za-z]", found)):
+                found = body[a:b].rstrip(MARGIN)
+                b = a + len(found)
+                found = found.lstrip(MARGIN)
+                a = b - len(found)
+                if b - a < SHORTEST or not (re.search(rb"[0-9]", found) and re.search(rb"[A-Za-z]", found)):
                     continue
                 around = body[max(0, a - AROUND) : a] + body[b : b + AROUND]
                 if novelty.bits(found, around) >= threshold or b - a > HEAD and novelty.bits(found[:HEAD], around) >= threshold:
@@ -135,9 +175,10 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Whole texts are read; null counts as empty and has no spans. Rows that repeat a doc_id are rows of their own; an
     empty table gives an empty one; other columns aren't read. Spans are in code points, the end exclusive. A novel span
-    is of a run, of any length, that starts within REACH bytes of a sensitive word, or on the line after such a one; it overlaps no base span, has letters
-    and digits, and adds (or its first HEAD bytes add) at least NOVELTY compressed bytes a byte when zstandard is primed
-    with the code around it and a dictionary of identifiers.
+    is of a run of SHORTEST bytes or more, of any length, that starts within REACH bytes of a sensitive word, or on the line
+    after such a one; it overlaps no base span, has letters and digits, and adds (or its first HEAD bytes add) at least
+    NOVELTY compressed bytes a byte when zstandard is primed with the code around it and a dictionary of identifiers.
+    Names, paths, dates and addresses made of words shrink below that. Runs of digits alone aren't candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
