@@ -22,6 +22,9 @@ RESULT = "key string, email string, phone string, page_name string, pass int, le
 STATE = "visits string, grade string, latest string, shown string"
 KINDS = {name: {"string": "string", "int": "Int32", "boolean": "bool"}[kind] for name, kind in (c.split() for c in RESULT.split(", "))}
 MODES = ("static", "rendered")
+#: Visits of the table of visits for each state store: a store costs a file and a commit in every batch, however little it holds.
+STORE_VISITS = 200_000
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def visit_table(targets: DataFrame, config: LeadConfig | None = None) -> DataFrame:
@@ -33,6 +36,12 @@ def visit_table(targets: DataFrame, config: LeadConfig | None = None) -> DataFra
     return targets.sparkSession.read.schema(plan.schema).parquet(path)
 
 
+def stores(plan: DataFrame) -> int:
+    """State stores for the sites of a visit_table: by its rows, at least one for each core, at most the session's shuffle partitions."""
+    spark = plan.sparkSession
+    return min(int(spark.conf.get(PARTITIONS)), max(spark.sparkContext.defaultParallelism, -(-plan.count() // STORE_VISITS)))
+
+
 def visits(pages: DataFrame, plan: DataFrame, config: LeadConfig | None = None, time: str | None = None) -> DataFrame:
     """What each arriving page says of the targets that it belongs to (plan: a visit_table): no page source or text goes on.
 
@@ -113,7 +122,7 @@ def _site(idle_ms: int | None, timed: bool):
     return run
 
 
-def site_updates(pages: DataFrame, targets: DataFrame, config: LeadConfig | None = None, time: str | None = None, lateness: str = "1 hour", idle_ms: int | None = None) -> DataFrame:
+def site_updates(pages: DataFrame, targets: DataFrame, config: LeadConfig | None = None, time: str | None = None, lateness: str = "1 hour", idle_ms: int | None = None, plan: DataFrame | None = None) -> DataFrame:
     """A streaming table (RESULT) with a site's row each time it changes, for the update mode.
 
     State is a site's visits that still count (as many as there are contact paths, for each mode), its grade and the row last
@@ -121,9 +130,10 @@ def site_updates(pages: DataFrame, targets: DataFrame, config: LeadConfig | None
     With a time column timers follow its watermark (an hour's idleness unless said otherwise) and pages later than `lateness` are
     dropped. Without one they follow the machine's clock and nothing is dropped: a page after the timer starts its site
     anew; such a stream runs until it is stopped, even when its trigger is availableNow. Without both, sites stay open.
+    plan: the targets' visit_table where there is one already.
     """
     idle_ms = 3_600_000 if time and idle_ms is None else idle_ms
-    arriving = visits(pages.withWatermark(time, lateness) if time else pages, visit_table(targets, config), config, time)
+    arriving = visits(pages.withWatermark(time, lateness) if time else pages, visit_table(targets, config) if plan is None else plan, config, time)
     timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return arriving.groupBy("key").applyInPandasWithState(_site(idle_ms, bool(time)), RESULT, STATE, "update", timeout)
 
@@ -134,13 +144,23 @@ def site_table(spark: SparkSession, path: str) -> RunTable:
 
 
 def enrich_stream(pages: DataFrame, targets: DataFrame, path: str, checkpoint: str, config: LeadConfig | None = None, trigger: dict | None = None, **timers) -> StreamingQuery:
-    """Enriches targets (a static table) with pages as they arrive; enriched() reads the results at any time."""
+    """Enriches targets (a static table) with pages as they arrive; enriched() reads the results at any time.
+
+    The stream gets as many shuffle partitions as stores() says, taken by Spark from the session when it starts, so the
+    session's own number is set back at once. A restart keeps the number that its checkpoint has.
+    """
 
     def put(rows: DataFrame, batch: int) -> None:
         site_table(rows.sparkSession, path).put(rows.withColumn("batch", F.lit(batch).cast("long")), batch)
 
-    updates = site_updates(pages, targets, config, **timers)
-    return updates.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    spark, plan = pages.sparkSession, visit_table(targets, config)
+    updates = site_updates(pages, targets, config, plan=plan, **timers)
+    before, own = spark.conf.get(PARTITIONS), stores(plan)
+    spark.conf.set(PARTITIONS, own)
+    try:
+        return updates.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(PARTITIONS, before)
 
 
 def enriched(targets: DataFrame, path: str) -> DataFrame:

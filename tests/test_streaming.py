@@ -143,3 +143,21 @@ def test_counts_in_update_mode(spark, tmp_path):
         stream = incremental.read_stream(spark, str(tmp_path / "in"), StructType.fromDDL("engine string, i int"))
         incremental.count_stream(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     assert {r.engine: r.n for r in incremental.count_table(spark, str(tmp_path / "out")).read().collect()} == {"bing": 6, "yahoo": 1}
+
+
+def test_state_stores_follow_the_visits(spark, tmp_path):
+    """A session with many shuffle partitions doesn't give a small table many state stores, and keeps its setting."""
+    targets = spark.createDataFrame([(s, s, f"https://{s}.org/", "", "c", "roof") for s in "ab"], TARGETS)
+    path, before = str(tmp_path / "pages"), spark.conf.get(sites.PARTITIONS)
+    spark.createDataFrame(site_rows(0, ("a", "", "static", "x@a.org")), PAGES).write.parquet(path)
+    try:
+        spark.conf.set(sites.PARTITIONS, "3")
+        assert sites.stores(sites.visit_table(targets, CONFIG)) == 3
+        spark.conf.set(sites.PARTITIONS, "300")
+        stream = incremental.read_stream(spark, path, StructType.fromDDL(PAGES), 1)
+        sites.enrich_stream(stream, targets, str(tmp_path / "out"), str(tmp_path / "mark"), CONFIG).awaitTermination()
+        assert spark.conf.get(sites.PARTITIONS) == "300"
+    finally:
+        spark.conf.set(sites.PARTITIONS, before)
+    assert len([d for d in os.listdir(tmp_path / "mark" / "state" / "0") if d.isdigit()]) == spark.sparkContext.defaultParallelism
+    assert {r.email for r in sites.enriched(targets, str(tmp_path / "out")).collect()} >= {"x@a.org"}
