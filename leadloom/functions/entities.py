@@ -15,6 +15,8 @@ NAMED = {"nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy
 NAMES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
 BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
 BARE_PATTERN = f"^({'|'.join(BARE)})"
+#: An ampersand that starts neither a numeric reference nor one of NAMED with its semicolon.
+OPEN = f"&(?!#|(?:{'|'.join(NAMED)});)"
 NUMBERS = {0: "\ufffd", 13: "\r", **{c: bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}}
 
 
@@ -63,5 +65,14 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
+def as_written(text: Column) -> Column:
+    """Markup in which all named references are text, as they are written, but for those of NAMED with a semicolon.
+
+    For sources whose ampersands are mostly text, as titles that were cut after they had been escaped: whoever decodes or parses
+    the result (by patterns, by the tree or as XML) leaves `&amp`, `&notit` and `&eacute;` alone. What has none passes as it is.
+    """
+    return F.when(F.contains(text, F.lit("&")), F.regexp_replace(text, OPEN, "&amp;")).otherwise(text)
+
+
 #: The name under which callers asked for all references while decode_entities() had only some.
 decode_all_entities = decode_entities
