@@ -20,6 +20,8 @@ COUNTERS, SLICES = 1 << 19, 64
 SHARED = 3
 #: Members of a group that are compared with as many queries at a time, and their tokens, about.
 BLOCK_MEMBERS, BLOCK_TOKENS = 256, 1 << 20
+#: Words of 64 bits of a set's parities: a bit for each of 64 * WORDS classes of tokens, whether it has an odd number of them.
+WORDS = 4
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(1, 65)]
@@ -52,6 +54,32 @@ def shingle_sets(text: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """WORDS numbers for each set. Two sets differ in at least as many tokens as their parities differ in bits."""
+    tokens, ends = np.concatenate([np.zeros(0, np.uint64), *sets]), np.cumsum([0, *map(len, sets)])
+    place = (tokens >> np.uint64(48)).astype(np.int64) % (64 * WORDS)
+    bit, out = np.uint64(1) << (place % 64).astype(np.uint64), np.zeros((len(sets), WORDS), np.uint64)
+    for k in range(WORDS):
+        so_far = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(place // 64 == k, bit, np.uint64(0)))])
+        out[:, k] = so_far[ends[1:]] ^ so_far[ends[:-1]]
+    return out.view(np.int64)
+
+
+def _masks(rows: DataFrame, key: str, odd: str, even: str) -> DataFrame:
+    """For each key, `most` (its largest set) and by word the bits that any (`odd`) and that all (`even`) of its parities have."""
+    words = range(WORDS)
+    return rows.groupBy(key).agg(F.max("most").alias("most"), *[F.bit_or(f"{odd}{k}").alias(f"any{k}") for k in words], *[F.bit_and(f"{even}{k}").alias(f"all{k}") for k in words])
+
+
+def _may_link(percent: int) -> str:
+    """Whether parities leave it open that a document (own_most, own_any, own_all) links with a member of a group (most, any, all).
+
+    Sets of x and y tokens that link differ in (x + y) * (100 - percent) / (100 + percent) at most, and y is at most 100 * x / percent.
+    """
+    apart = " + ".join(f"bit_count(own_all{k} & ~any{k}) + bit_count(all{k} & ~own_any{k})" for k in range(WORDS))
+    return f"({apart}) * {percent * (100 + percent)} <= ({percent} * own_most + least({percent} * most, 100 * own_most)) * {100 - percent}"
+
+
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), text_of(text).alias("text"))
 
@@ -86,7 +114,7 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, counts, width: int, percent: int) -> DataFrame:
-    """doc, n, signature of the set (null for an empty one), and the rarest tokens: all sets of the wanted similarity share SHARED of them.
+    """doc, n, signature of the set (null for an empty one), its parities, and the rarest tokens: all sets of the wanted similarity share SHARED of them.
 
     Of sets x, y that link, both with at most o = ceil(percent * n / 100) tokens to share, the first n - o + SHARED
     tokens of each, in one order of all tokens, share SHARED. The order is by sketch count, then by hash. A set too
@@ -106,17 +134,17 @@ def prefixes(texts: DataFrame, counts, width: int, percent: int) -> DataFrame:
                         continue
                     order = np.argsort(rank[(own % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")
                     heads.append(own[order[: n - -(-percent * n // 100) + SHARED]].view(np.int64))
-                ends = np.cumsum([0, *(len(h) for h in heads)])
+                ends, odd = np.cumsum([0, *(len(h) for h in heads)]), parities(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         step.column("doc"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(heads))),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(heads))), *[pa.array(odd[:, k].copy()) for k in range(WORDS)],
                     ],
-                    ["doc", "n", "signature", "prefix"],
+                    ["doc", "n", "signature", "prefix", *[f"odd{k}" for k in range(WORDS)]],
                 )
 
-    return texts.mapInArrow(run, "doc long, n long, signature binary, prefix array<long>")
+    return texts.mapInArrow(run, "doc long, n long, signature binary, prefix array<long>" + "".join(f", odd{k} long" for k in range(WORDS)))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -199,9 +227,13 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     3. The token-group matrix holds the union of the prefix tokens of each group, once for each token and group however
        many members have it. A member's overlap with another group's union bounds its overlap with the members, so it
        opens only groups with which it shares SHARED tokens or more, of fitting size; of two groups the smaller one
-       asks. The rarest token that two prefixes share has SHARED - 1 shared ones after it in both, so it isn't among the
+       asks. Parities of whole sets are compared in that join: most groups that have one rare token of a document by
+       chance differ from it in more tokens than a link allows, so such pairs, whose number grows with the square of
+       the input, make few rows (of long sets, of over some 2,000 tokens, parities say little). The rarest token that two
+       prefixes share has SHARED - 1 shared ones after it in both, so it isn't among the
        last of either: groups are met by the other tokens alone, and tokens of a template, which come last in the
-       order, don't bring every document to every group. A member that isn't linked to its leader opens its own group too. An opened group's members are compared in
+       order, don't bring every document to every group. A token counts only where enough of both sets comes after it.
+       A member that isn't linked to its leader opens its own group too. An opened group's members are compared in
        blocks with its queries in parts, leaving out pairs that are connected already, so members linked to the leader
        are never compared.
     """
@@ -211,7 +243,7 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     classes = saved(prefixes(texts, counts, width, percent), "sets")
     heads = classes.filter("signature is not null").groupBy("signature").agg(F.min(F.struct("doc", "n", "prefix")).alias("r")).select("r.*")
     postings = heads.filter("size(prefix) > 0").select("doc", "n", F.size("prefix").alias("many"), F.posexplode("prefix").alias("pos", "token"))
-    postings = saved(postings.select("doc", "n", "token", F.expr(f"pos <= many - {SHARED}").alias("core")), "postings")
+    postings = saved(postings.select("doc", "n", "token", "pos", F.expr(f"pos <= many - {SHARED}").alias("core")), "postings")
     leads = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("times"))
     leads = saved(leads.filter("times > 1").drop("times"), "leads")
     shared = saved(postings.join(leads, "token"), "shared")
@@ -221,14 +253,21 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     member = saved(shared.select("doc", "n").distinct().join(home, "doc", "left").withColumn("grp", F.coalesce("grp", "doc")), "members")
     sizes = member.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum("n").alias("tokens"))
     sizes = saved(sizes.select("*", _blocks()), "sizes")
-    grouped = saved(shared.select("token", "doc", "n", "core").join(member.join(sizes.select("grp", "members", "low", "high"), "grp"), ["doc", "n"]), "grouped")
+    grouped = saved(shared.select("token", "doc", "n", "pos", "core").join(member.join(sizes.select("grp", "members", "low", "high"), "grp"), ["doc", "n"]), "grouped")
     union = ["members", "low", "high"]
-    matrix = grouped.groupBy("token", "grp").agg(*[F.max(c).alias(c) for c in union], F.max("core").alias("core"))
+    matrix = grouped.groupBy("token", "grp").agg(*[F.max(c).alias(c) for c in union], F.max("core").alias("core"), F.max(F.expr(f"100 * n - {100 + percent} * pos")).alias("slack"))
     matrix = saved(matrix, "matrix")
-    own = grouped.filter("core").select("token", "doc", "n", F.col("grp").alias("of"), F.col("members").alias("beside"))
+    # a doc_id that repeats has all its texts' parities
+    bits = saved(_masks(classes.filter("signature is not null").withColumn("most", F.col("n")), "doc", "odd", "odd"), "bits")
+    group_bits = saved(_masks(member.select("doc", "grp").join(bits, "doc"), "grp", "any", "all"), "group_bits")
+    own_bits = bits.select("doc", *[F.col(c).alias(f"own_{c}") for c in bits.columns if c != "doc"])
+    own = grouped.filter("core").select("token", "doc", "n", "pos", F.col("grp").alias("of"), F.col("members").alias("beside")).join(own_bits, "doc")
     asks = "grp <> of and (members > beside or members = beside and grp < of)"
     fits = f"100 * n >= {percent} * low and 100 * high >= {percent} * n"
-    met = saved(own.join(matrix.filter("core").drop("core"), "token").filter(f"{asks} and {fits}").select("doc", "grp").distinct(), "met")
+    # if this is the rarest token that two sets share, they share no more than what stands from it on in each
+    ahead = f"slack >= {percent} * n and 100 * n - {100 + percent} * pos >= {percent} * low"
+    others = matrix.filter("core").drop("core").join(group_bits, "grp")
+    met = saved(own.join(others, "token").filter(f"{asks} and {fits} and {ahead} and {_may_link(percent)}").select("doc", "grp").distinct(), "met")
     across = met.join(grouped.select("doc", "token"), "doc").join(matrix.select("token", "grp"), ["token", "grp"]).groupBy("doc", "grp").agg(F.count("*").alias("c"))
     across = saved(across.filter(f"c >= {SHARED}").select("doc", "grp"), "across")
     asked = saved(across.select("grp").distinct(), "asked")
@@ -251,7 +290,7 @@ def similar_links(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     opened = saved(opened, "opened")
     queries = _dealt(asked.select("grp", F.lit(1).alias("role"), "doc", F.lit(False).alias("linked")), opened, "part", "block")
     members = _dealt(member.select("grp", F.lit(0).alias("role"), "doc", "linked"), opened, "block", "part")
-    return classes.drop("prefix"), near.unionByName(_open(members.unionByName(queries).join(tokens, "doc"), percent))
+    return classes.select("doc", "n", "signature"), near.unionByName(_open(members.unionByName(queries).join(tokens, "doc"), percent))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
