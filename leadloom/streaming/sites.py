@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from leadloom.config import LeadConfig
 from leadloom.functions import contacts
-from leadloom.operators.enrich import page_facts, relevance, visit_plan, with_found
+from leadloom.operators.enrich import page_facts, relevance, visit_key, visit_plan, with_found
 from leadloom.shared import shared_path
 from leadloom.streaming.runs import RunTable
 
@@ -24,6 +24,8 @@ KINDS = {name: {"string": "string", "int": "Int32", "boolean": "bool"}[kind] for
 MODES = ("static", "rendered")
 #: Visits of the table of visits for each state store: a store costs a file and a commit in every batch, however little it holds.
 STORE_VISITS = 200_000
+#: Visits of the table of visits whose page keys are sent to every machine, so that nothing is worked out of pages that no target visits.
+SENT_VISITS = 200_000
 PARTITIONS = "spark.sql.shuffle.partitions"
 
 
@@ -42,12 +44,20 @@ def stores(plan: DataFrame) -> int:
     return min(int(spark.conf.get(PARTITIONS)), max(spark.sparkContext.defaultParallelism, -(-plan.count() // STORE_VISITS)))
 
 
+def visited(pages: DataFrame, plan: DataFrame) -> DataFrame:
+    """Pages that a visit of the plan asks for. Of a plan with more than SENT_VISITS rows all pages stay: pages themselves are never shuffled."""
+    if plan.count() > SENT_VISITS:
+        return pages
+    keys = F.broadcast(plan.select(F.col("page_key").alias("_key"), F.col("render_mode").alias("_mode")))
+    return pages.join(keys, (visit_key(pages["url"]) == F.col("_key")) & (pages["render_mode"] == F.col("_mode")), "left_semi")
+
+
 def visits(pages: DataFrame, plan: DataFrame, config: LeadConfig | None = None, time: str | None = None) -> DataFrame:
     """What each arriving page says of the targets that it belongs to (plan: a visit_table): no page source or text goes on.
 
     key, render_mode, visit, the page's best email with its score, its first phone, its name, and of a static home page the grade.
     """
-    facts = page_facts(pages, config, [time] if time else []).withColumn("body", F.when(F.col("render_mode") == "static", F.col("body"))).join(plan, ["page_key", "render_mode"])
+    facts = page_facts(visited(pages, plan), config, [time] if time else []).withColumn("body", F.when(F.col("render_mode") == "static", F.col("body"))).join(plan, ["page_key", "render_mode"])
     scored = F.transform("emails", lambda e: F.struct(contacts.email_score(e, config).alias("score"), F.lower(F.trim(e)).alias("email")))
     home = (F.col("visit") == 0) & (F.col("render_mode") == "static") & (F.col("search_query") != "")
     grade = F.when(home, F.struct(*[v.alias(k) for k, v in relevance(F.col("body"), F.col("search_query")).items()]))
