@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import SpanHash, merged, steps, text_of
+from leadloom.llm.common import SpanHash, merged, steps, text_of, tidy
 
 WINDOW = 10
 #: Benchmark text that one pass over the documents looks for; larger benchmarks take several.
@@ -309,10 +309,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     schema = out.schema
     blocks = 0
     for block in _blocks(benchmark, item, item_text, block_bytes):
-        out = out.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(TestSuffixes(block, window)), window), schema)
+        out = out.mapInArrow(tidy(_search(docs.sparkSession.sparkContext.broadcast(TestSuffixes(block, window)), window)), schema)
         blocks += 1
     if not blocks:
-        out = out.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(TestSuffixes([], window)), window), schema)
+        out = out.mapInArrow(tidy(_search(docs.sparkSession.sparkContext.broadcast(TestSuffixes([], window)), window)), schema)
     pairs = F.expr("transform(sequence(0, size(spans) - 1, 2), i -> spans[i + 1] - spans[i])")
     hit = F.when(F.size("spans") > 0, F.aggregate(pairs, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("long")
     items = F.array_sort(F.array_compact(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import SpanHash, flat, mix64, saved, steps, text_of
+from leadloom.llm.common import SpanHash, flat, mix64, saved, steps, text_of, tidy
 from leadloom.llm.components import components
 from leadloom.llm.exact_dedup import NULL_ID, _filtered
 
@@ -106,7 +106,7 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "counts"])
 
     kind = "slice int, counts binary"
-    rows = texts.select("text").mapInArrow(count, kind).repartition(8, "slice").mapInArrow(add, kind).collect()
+    rows = texts.select("text").mapInArrow(tidy(count), kind).repartition(8, "slice").mapInArrow(tidy(add), kind).collect()
     out = np.zeros(COUNTERS, np.uint64)
     for r in rows:
         out[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(bytes(r["counts"]), np.uint64)
@@ -144,7 +144,7 @@ def prefixes(texts: DataFrame, counts, width: int, percent: int) -> DataFrame:
                     ["doc", "n", "signature", "prefix", *[f"odd{k}" for k in range(WORDS)]],
                 )
 
-    return texts.mapInArrow(run, "doc long, n long, signature binary, prefix array<long>" + "".join(f", odd{k} long" for k in range(WORDS)))
+    return texts.mapInArrow(tidy(run), "doc long, n long, signature binary, prefix array<long>" + "".join(f", odd{k} long" for k in range(WORDS)))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             for step in steps(batch):
                 yield pa.RecordBatch.from_arrays([step.column("doc"), pa.array([s.tobytes() for s in shingle_sets(step.column("text"), width)], pa.binary())], ["doc", "tokens"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, tokens binary")
+    return docs.select("doc", "text").mapInArrow(tidy(run), "doc long, tokens binary")
 
 
 class _Joined(dict):
@@ -202,7 +202,7 @@ def _open(rows: DataFrame, percent: int) -> DataFrame:
                         joined.join(doc, other)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    return rows.repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "role", "doc").mapInArrow(run, "a long, b long")
+    return rows.repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "role", "doc").mapInArrow(tidy(run), "a long, b long")
 
 
 def _blocks():

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadloom.llm import context_coder
-from leadloom.llm.common import flat, steps, text_of
+from leadloom.llm.common import flat, steps, text_of, tidy
 from leadloom.shared import shared_path
 
-#: The id that ends each document, ids of a unit (it ends with the document that reaches them), pieces whose ids a worker remembers.
-END_ID, UNIT_IDS, REMEMBERED = 2, 64 * context_coder.BLOCK, 800_000
+#: The id that ends each document, ids of a unit (as many as are coded side by side), text bytes of a step, pieces whose ids a worker remembers.
+END_ID, UNIT_IDS, TOKEN_STEP, REMEMBERED = 2, context_coder.LANES * context_coder.BLOCK, 512 << 10, 800_000
 # The head of a unit and of its tables.
 MAGIC, HEAD = b"TKC2", struct.Struct("<4sIQII")
 
@@ -250,8 +250,9 @@ def unpack(unit: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", unit_ids: int = UNIT_IDS, special: bool = False) -> None:
     """Token ids of all texts as units below path, in ascending order of doc_id (null first; equal ids by a hash of the text).
 
-    path/part, seq order the units. Documents are dealt out by ranges of their ids; a unit ends with the document that
-    brings it to unit_ids, so a task holds one unit. Null texts are empty and have the end id alone. special: as for Tokens.
+    path/part, seq order the units. Documents are dealt out by ranges of their ids; a unit takes steps while they fit into
+    unit_ids (one with more is a unit alone), and a task holds one unit. Null texts are empty and have the end id alone.
+    special: as for Tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,20 +272,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
             return out
 
         for batch in batches:
-            for step in steps(batch):
+            for step in steps(batch, limit=TOKEN_STEP):
                 ids, own = tokens.of(step.column("text"))
+                if doc_ids and volume + len(ids) > unit_ids:
+                    yield unit()
                 doc_ids += step.column("doc_id").to_pylist()
                 held.append(ids)
                 sizes.append(own)
                 volume += len(ids)
-                if volume >= unit_ids:
-                    yield unit()
         if doc_ids:
             yield unit()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    units = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "part int, seq int, n_docs long, n_ids long, unit binary")
+    units = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), "part int, seq int, n_docs long, n_ids long, unit binary")
     units.write.option("parquet.block.size", 8 << 20).option("compression", "uncompressed").parquet(path)
 
 
@@ -315,7 +316,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    found = units.select("part", "seq", "unit").mapInArrow(run, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
+    found = units.select("part", "seq", "unit").mapInArrow(tidy(run), "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
     out = found.join(places.select("part", "seq", "before"), ["part", "seq"]).withColumn("start", F.col("before") + F.col("inside"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 

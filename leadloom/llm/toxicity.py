@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import steps, text_of
+from leadloom.llm.common import steps, text_of, tidy
 from leadloom.llm.decontaminate import words
 
 #: Labelled rows that a model is fitted on at most, and the part of ids (crc32 modulo FOLDS is 0) that is never among them.
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 found = [np.unique(np.array([b for w in set(words(t)) for b in bins(w)], np.int32)).tobytes() for t in step.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), step.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "bins"])
 
-    once = rows.mapInArrow(featurise, "doc_id long, label int, bins binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("bins").alias("bins"))
+    once = rows.mapInArrow(tidy(featurise), "doc_id long, label int, bins binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("bins").alias("bins"))
     table = once.toArrow().sort_by("doc_id")
     y = table.column("label").to_numpy().astype(float)
     parts = [np.frombuffer(b.as_buffer(), np.int32) for b in table.column("bins")]
@@ -184,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 )
 
     kind = dict(rows.dtypes)
-    out = rows.mapInArrow(run, rows.schema["doc_id"].dataType.simpleString().join(["doc_id ", f", held_out boolean, score double, row {kind['row']}"]))
+    out = rows.mapInArrow(tidy(run), rows.schema["doc_id"].dataType.simpleString().join(["doc_id ", f", held_out boolean, score double, row {kind['row']}"]))
     out = out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     return out.select("doc_id", "held_out", "score", "predicted", *(["row"] if keep else []))
 
