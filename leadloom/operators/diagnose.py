@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.config import ENOUGH_RESULTS
 from leadloom.functions.urls import is_english
 from leadloom.operators.lookup import engine_rank, running
+from leadloom.shared import shared_path
 
 # Patterns and limits.
 #: Patterns that count what a layout's results look like.
@@ -126,7 +127,13 @@ def sample_urls(urls: DataFrame, n: int = 5) -> DataFrame:
 
 
 def engine_diagnostics(pages: DataFrame, results: DataFrame, engines: list[str]) -> dict[str, DataFrame]:
-    """All reports on stored result pages (engine, http_status, html, ...) and the results extracted from them (engine, url, domain, position, ...)."""
+    """All reports on stored result pages (engine, http_status, html, ...) and the results extracted from them (engine, url, domain, position, ...).
+
+    Results are kept, so that pages are parsed once and not for each report.
+    """
+    path = shared_path(results.sparkSession, "results")
+    results.select("engine", "query_idx", "page_no", "position", "url", "title", "snippet", "domain").write.parquet(path)
+    results = results.sparkSession.read.parquet(path)
     covered = coverage(results, engines)
     found = pages.select("engine").distinct().join(results.groupBy("engine").agg(F.count("*").alias("n")), "engine", "left").select("engine", F.coalesce("n", F.lit(0)).alias("n"))
     return {
